@@ -1,0 +1,38 @@
+"""Catalog tables: overwrite-and-register, append, and namespaced lookup."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from pipewright.tables import Tables
+
+
+def save(
+    df: DataFrame,
+    name: str,
+    fmt: str = "parquet",
+    mode: str = "overwrite",
+    path: str | None = None,
+    partition_by: list[str] | None = None,
+) -> None:
+    """Write a frame and register it in the catalog. `fmt` may be `delta` where that source exists."""
+    writer = df.write.format(fmt).mode(mode)
+    if partition_by:
+        writer = writer.partitionBy(*partition_by)
+    if path:
+        writer = writer.option("path", path)
+    writer.saveAsTable(name)
+
+
+def save_all(
+    spark: SparkSession,
+    tables: Tables,
+    schema: str = "dbo",
+    fmt: str = "parquet",
+    root: str | None = None,
+) -> Tables:
+    """Overwrite and register all eight tables below one schema, and return them as read back."""
+    spark.sql(f"CREATE SCHEMA IF NOT EXISTS {schema}")
+    for name, df in tables.items():
+        save(df, f"{schema}.{name}", fmt, path=f"{root}/{name}" if root else None)
+    return Tables.from_catalog(spark, schema)
