@@ -31,6 +31,7 @@ from pipewright.plans import (
 from pipewright.policy import AcceleratePolicy, RenewalPolicy, SlipPolicy
 from pipewright.sources import star
 from pipewright.sources.definitions import definition_documents, definition_parts
+from pipewright.sources.literal import INT, TEXT, literal_table
 from pipewright.sources.scratch import scratch_path
 from pipewright.tables import Tables
 
@@ -121,14 +122,20 @@ def _generated(job: Callable[[DataFrame, date], DataFrame]):
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every free text of the given tables, cleaned whole."""
 
-    def read(table: str, key: str) -> DataFrame:
+    def read(table: str, *key: str) -> DataFrame:
         return spark.read.parquet(f"{sf_dir}/{table}.parquet").select(
             F.lit(table).alias("source"),
-            F.col(key).cast("string").alias("row_id"),
+            F.concat_ws("/", *[F.col(k).cast("string") for k in key]).alias("row_id"),
             clean_text(F.col("text")).alias("cleaned"),
         )
 
-    return stacked([read("documents", "doc_id"), read("benchmark", "item_id")])
+    return stacked(
+        [
+            read("documents", "doc_id"),
+            read("benchmark", "item_id"),
+            read("conversations", "conv_id", "turn"),
+        ]
+    )
 
 
 def _definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -201,8 +208,10 @@ def _question_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every seed varied over all closing months and all product lines of the data."""
     t = star.load(spark, sf_dir)
     seed_ids = [row[0] for row in PHRASINGS]
-    seeds = spark.createDataFrame([(s,) for s in dict.fromkeys(seed_ids)], "seed_id string")
-    phrasings = spark.createDataFrame(PHRASINGS, "seed_id string, phrasing_no int, template string")
+    seeds = literal_table(spark, [("seed_id", TEXT)], [(s,) for s in dict.fromkeys(seed_ids)])
+    phrasings = literal_table(
+        spark, [("seed_id", TEXT), ("phrasing_no", INT), ("template", TEXT)], PHRASINGS
+    )
     months = t.sales_opportunities.select(
         F.lit("horizon").alias("kind"),
         F.date_format("expected_close_date", "yyyy-MM").alias("value"),
@@ -217,8 +226,8 @@ def _runs(t: Tables) -> dict[str, DataFrame]:
     """Two evaluation runs: answers given under other policies than the expected ones."""
     expected = slip.slip_sweep(t, monthly_policies())
     return {
-        "patient": evaluate.eval_scores(
-            expected, slip.slip_sweep(t, monthly_policies(stagnant_days=24)), "policy_id"
+        "stale stages only": evaluate.eval_scores(
+            expected, slip.slip_sweep(t, monthly_policies(stagnant_days=60)), "policy_id"
         ),
         "exact tags": evaluate.eval_scores(
             expected, slip.slip_sweep(t, monthly_policies(exact_tag="risk")), "policy_id"
@@ -312,7 +321,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "ground_truth": _ground_truth,
         "ground_truth_roundtrip": _ground_truth_roundtrip,
         "question_variants": _question_variants,
-        "eval_scores": lambda spark, sf_dir: _runs(star.load(spark, sf_dir))["patient"],
+        "eval_scores": lambda spark, sf_dir: _runs(star.load(spark, sf_dir))["stale stages only"],
         "eval_details": lambda spark, sf_dir: evaluate.eval_details(_stored_runs(spark, sf_dir)),
         "eval_summary": lambda spark, sf_dir: evaluate.eval_summary(_stored_runs(spark, sf_dir)),
     }

@@ -166,7 +166,7 @@ def _scores(actual: str) -> str:
 
 
 RUNS = f"""
-  SELECT 'patient' AS evaluation_id, *, score >= 4 AS passed FROM ({_scores(_monthly(stagnant=24))})
+  SELECT 'stale stages only' AS evaluation_id, *, score >= 4 AS passed FROM ({_scores(_monthly(stagnant=60))})
   UNION ALL
   SELECT 'exact tags', *, score >= 4 FROM ({_scores(_monthly(tag='risk'))})"""
 
@@ -175,9 +175,11 @@ _PHRASING_ROWS = ", ".join(f"('{s}', {n}, {_literal(t)})" for s, n, t in PHRASIN
 
 TEXTS = {
     "clean_text": " UNION ALL ".join(
-        f"SELECT '{table}' AS source, CAST({key} AS VARCHAR) AS row_id, {_clean('text')} AS cleaned "
+        f"SELECT '{table}' AS source, concat_ws('/', {key}) AS row_id, {_clean('text')} AS cleaned "
         f"FROM {table}"
-        for table, key in (("documents", "doc_id"), ("benchmark", "item_id"))
+        for table, key in (
+            ("documents", "doc_id"), ("benchmark", "item_id"), ("conversations", "conv_id, turn")
+        )
     ),
     "definition_parts": PARTS,
     "definition_documents": f"""
@@ -197,9 +199,9 @@ TEXTS = {
         FROM sales_opportunities JOIN customers USING (customer_id)
         WHERE status = 'Open' GROUP BY customer_id""",
     "ground_truth": GROUND_TRUTH,
-    "ground_truth_roundtrip": """
-        SELECT CAST(3 AS BIGINT) AS num_source, CAST(3 AS BIGINT) AS num_copy,
-          CAST(0 AS BIGINT) AS num_different""",
+    "ground_truth_roundtrip": f"""
+        SELECT count(*) AS num_source, count(*) AS num_copy, CAST(0 AS BIGINT) AS num_different
+        FROM ({GROUND_TRUTH})""",
     "question_variants": f"""
         WITH variant AS (
           SELECT DISTINCT 'horizon' AS kind, strftime(expected_close_date, '%Y-%m') AS value
@@ -209,7 +211,7 @@ TEXTS = {
         SELECT p.seed_id, v.kind, v.value, p.phrasing_no,
           {_clean("replace(p.template, '{value}', v.value)")} AS question
         FROM variant v CROSS JOIN phrasing p""",
-    "eval_scores": _scores(_monthly(stagnant=24)),
+    "eval_scores": _scores(_monthly(stagnant=60)),
     "eval_details": f"SELECT * FROM ({RUNS}) WHERE NOT passed",
     "eval_summary": f"""
         SELECT evaluation_id, count(*) AS num_questions, round(avg(score), 4) AS mean_score,

@@ -57,3 +57,15 @@ def joined_reasons(*named_flags: tuple[str, Column]) -> Column:
 def flag(condition: Column) -> Column:
     """1 when the condition holds, else 0 (also for NULL)."""
     return F.when(condition, 1).otherwise(0)
+
+
+def row_fingerprint(columns: list[str]) -> list[Column]:
+    """128 bits that stand for a whole row, as `_high` and `_low`.
+
+    The hash functions skip NULLs, so their positions are hashed as well.
+    """
+    values = [F.col(c) for c in columns] + [F.col(c).isNull() for c in columns]
+    return [
+        F.xxhash64(F.lit(1), *values).alias("_high"),
+        F.xxhash64(F.lit(2), *values).alias("_low"),
+    ]

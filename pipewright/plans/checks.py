@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pipewright.functions.text import vocabulary_form
 from pipewright.operators.lookups import stacked
+from pipewright.sources.literal import TEXT, literal_table
 from pipewright.sources.schemas import KEYS, SCHEMAS
 from pipewright.tables import Tables
 
@@ -38,7 +39,6 @@ REFERENCES = (
 
 def vocab_violations(t: Tables) -> DataFrame:
     """Values outside their vocabulary, with the number of rows that hold them."""
-    spark = t.customers.sparkSession
     by_table: dict[str, list[str]] = {}
     for table, column in VOCABULARIES:
         by_table.setdefault(table, []).append(column)
@@ -66,9 +66,10 @@ def vocab_violations(t: Tables) -> DataFrame:
         .agg(F.count("*").alias("num_rows"))
         .withColumn("form", vocabulary_form(F.col("value")))
     )
-    allowed = spark.createDataFrame(
+    allowed = literal_table(
+        t.spark,
+        [("table_name", TEXT), ("column_name", TEXT), ("allowed", TEXT)],
         [(tb, c, v) for (tb, c), values in VOCABULARIES.items() for v in values],
-        "table_name string, column_name string, allowed string",
     ).select("table_name", "column_name", vocabulary_form(F.col("allowed")).alias("form"))
     return counts.join(allowed, ["table_name", "column_name", "form"], "left_anti").select(
         "table_name", "column_name", "value", "num_rows"

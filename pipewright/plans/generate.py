@@ -388,12 +388,15 @@ def generate(
     """All eight tables, for as many customers as `customer_ids` has rows."""
     customers = gen_customers(customer_ids)
     return Tables(
-        customers=customers.drop("customer_no"),
-        products=gen_products(product_ids),
-        csat_by_month=gen_csat(customers, as_of, seed),
-        support_tickets=gen_tickets(customers, as_of, seed),
-        support_activities=gen_support_activities(customers, as_of, seed),
-        sales_opportunities=gen_opportunities(customers, as_of, seed),
-        sales_activities=gen_sales_activities(customers, as_of, seed),
-        opportunity_notes=gen_notes(customers, as_of, seed),
+        customer_ids.sparkSession,
+        {
+            "customers": customers.drop("customer_no"),
+            "products": gen_products(product_ids),
+            "csat_by_month": gen_csat(customers, as_of, seed),
+            "support_tickets": gen_tickets(customers, as_of, seed),
+            "support_activities": gen_support_activities(customers, as_of, seed),
+            "sales_opportunities": gen_opportunities(customers, as_of, seed),
+            "sales_activities": gen_sales_activities(customers, as_of, seed),
+            "opportunity_notes": gen_notes(customers, as_of, seed),
+        },
     )

@@ -203,25 +203,50 @@ def edges_of(t: Tables, r: Relationship) -> DataFrame:
 
 
 def edges(t: Tables, relationships: dict[str, Relationship] = RELATIONSHIPS) -> DataFrame:
-    """All typed edges in one frame. A union of projections: nothing is shuffled."""
+    """All typed edges in one frame. Each bound table is read once, and nothing is shuffled."""
+    by_table: dict[str, list[Relationship]] = {}
+    for r in relationships.values():
+        by_table.setdefault(r.table, []).append(r)
     return stacked(
         [
-            edges_of(t, r).select(
-                F.lit(r.name).alias("rel"),
-                F.lit(r.source).alias("src_type"),
-                F.col("src_id").cast("string").alias("src_id"),
-                F.lit(r.target).alias("dst_type"),
-                F.col("dst_id").cast("string").alias("dst_id"),
+            getattr(t, table)
+            .select(
+                F.inline(
+                    F.array(
+                        *[
+                            F.struct(
+                                F.lit(r.name).alias("rel"),
+                                F.lit(r.source).alias("src_type"),
+                                F.col(r.source_column).cast("string").alias("src_id"),
+                                F.lit(r.target).alias("dst_type"),
+                                F.col(r.target_column).cast("string").alias("dst_id"),
+                            )
+                            for r in bound
+                        ]
+                    )
+                )
             )
-            for r in relationships.values()
+            .where(F.col("src_id").isNotNull() & F.col("dst_id").isNotNull())
+            for table, bound in by_table.items()
         ]
     )
 
 
 def entity_degree(t: Tables, relationships: dict[str, Relationship] = RELATIONSHIPS) -> DataFrame:
-    """Outgoing edges per relationship and source entity."""
-    return edges(t, relationships).groupBy("rel", "src_type", "src_id").agg(
-        F.count("*").alias("degree")
+    """Outgoing edges per relationship and source entity, counted on the native keys."""
+    return stacked(
+        [
+            edges_of(t, r)
+            .groupBy("src_id")
+            .agg(F.count("*").alias("degree"))
+            .select(
+                F.lit(r.name).alias("rel"),
+                F.lit(r.source).alias("src_type"),
+                F.col("src_id").cast("string").alias("src_id"),
+                "degree",
+            )
+            for r in relationships.values()
+        ]
     )
 
 
@@ -230,30 +255,25 @@ def traverse(
 ) -> DataFrame:
     """Where a chain of relationships leads: (src_id, dst_id, num_paths).
 
-    Paths are counted after every step instead of being listed, so a busy entity in the middle adds
-    to a number and not to the number of rows.
+    Paths are counted after every step instead of being listed, so many ways between two entities
+    make a larger number and not more rows.
     """
     steps = [relationships[name] for name in path]
     for a, b in zip(steps, steps[1:]):
         if a.target != b.source:
             raise ValueError(f"{a.name} leads to {a.target}, {b.name} starts at {b.source}")
-
-    def counted(df: DataFrame, n) -> DataFrame:
-        return df.groupBy("src_id", "dst_id").agg(n.alias("num_paths"))
-
-    reached = counted(edges_of(t, steps[0]), F.count("*"))
+    reached = edges_of(t, steps[0]).withColumn("num_paths", F.lit(1).cast("bigint"))
     for step in steps[1:]:
-        hop = counted(edges_of(t, step), F.count("*")).select(
-            F.col("src_id").alias("via"),
-            F.col("dst_id").alias("next_id"),
-            F.col("num_paths").alias("ways"),
+        hop = edges_of(t, step).select(
+            F.col("src_id").alias("dst_id"), F.col("dst_id").alias("next_id")
         )
-        joined = reached.join(hop, reached["dst_id"] == hop["via"]).select(
-            "src_id",
-            F.col("next_id").alias("dst_id"),
-            (F.col("num_paths") * F.col("ways")).alias("paths"),
+        reached = (
+            reached.join(hop, "dst_id")
+            .groupBy("src_id", F.col("next_id").alias("dst_id"))
+            .agg(F.sum("num_paths").alias("num_paths"))
         )
-        reached = counted(joined, F.sum("paths"))
+    if len(steps) == 1:
+        reached = reached.groupBy("src_id", "dst_id").agg(F.sum("num_paths").alias("num_paths"))
     return reached.select(
         F.lit(steps[0].source).alias("src_type"),
         F.col("src_id").cast("string").alias("src_id"),

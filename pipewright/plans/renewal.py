@@ -12,6 +12,7 @@ from pipewright.functions.text import flag, joined_reasons
 from pipewright.operators.lookups import total, with_names
 from pipewright.operators.sweep import chosen, month_starts
 from pipewright.policy import EXPANSION_TYPES, HIGH_SEVERITIES, RenewalPolicy
+from pipewright.sources.literal import BOOL, DAY, DOUBLE, INT, TEXT, literal_table
 from pipewright.tables import Tables
 
 
@@ -144,7 +145,6 @@ def renewal_risk_full(t: Tables, p: RenewalPolicy) -> DataFrame:
 
 def renewal_sweep(t: Tables, policies: list[RenewalPolicy]) -> DataFrame:
     """`renewal_risk` for many policies in one pass over the tables."""
-    spark = t.sales_opportunities.sparkSession
     severities = sorted({p.severities for p in policies})
     kinds = sorted({p.expansion_types for p in policies})
     incident_cols = [f"incidents_{i}" for i in range(len(severities))]
@@ -169,14 +169,27 @@ def renewal_sweep(t: Tables, policies: list[RenewalPolicy]) -> DataFrame:
             ]
         )
     )
-    rules = spark.createDataFrame(
+    rules = literal_table(
+        t.spark,
+        [
+            ("policy_id", TEXT),
+            ("close_month", DAY),
+            ("window_start", DAY),
+            ("window_end", DAY),
+            ("expansion_limit", DOUBLE),
+            ("incident_min", INT),
+            ("severity_ix", INT),
+            ("kind_ix", INT),
+            ("open_only", BOOL),
+            ("wanted_product", TEXT),
+        ],
         [
             (
                 p.policy_id,
                 month,
                 p.window_start,
                 p.window_end,
-                float(p.expansion_limit),
+                p.expansion_limit,
                 p.incident_min,
                 severities.index(p.severities),
                 kinds.index(p.expansion_types),
@@ -186,9 +199,6 @@ def renewal_sweep(t: Tables, policies: list[RenewalPolicy]) -> DataFrame:
             for p in policies
             for month in month_starts(p.window_start, p.window_end)
         ],
-        "policy_id string, close_month date, window_start date, window_end date, "
-        "expansion_limit double, incident_min int, severity_ix int, kind_ix int, "
-        "open_only boolean, wanted_product string",
     )
     renewals = t.sales_opportunities.where(
         (F.col("type") == "Renewal")

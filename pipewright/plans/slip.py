@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from datetime import date
+from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pipewright.functions.dates import in_window, older_than, since
+from pipewright.functions.dates import day, in_window, older_than, since
 from pipewright.functions.text import flag, joined_reasons, mentions_risk
 from pipewright.operators.lookups import latest, with_names
 from pipewright.operators.sweep import chosen, month_starts
 from pipewright.policy import SlipPolicy
+from pipewright.sources.literal import DAY, INT, TEXT, literal_table
 from pipewright.tables import Tables
 
 FLAGS = ("no_activity_flag", "stage_stagnant_flag", "delivery_risk_flag")
@@ -50,9 +51,17 @@ def high_sev_keys(t: Tables, p: SlipPolicy) -> DataFrame:
     )
 
 
-def _no_activity(as_of: Column | date, days: Column | int) -> Column:
-    last = F.col("last_activity_at")
-    return last.isNull() | older_than(last, as_of, days)
+def recently_active(t: Tables, p: SlipPolicy) -> DataFrame:
+    """Opportunities with an activity in the last days before `as_of`, or after it.
+
+    The latest activity is too old exactly when there is no recent one. Asking it this way round
+    lets the scan skip the whole activity history.
+    """
+    return (
+        t.sales_activities.where(since(F.col("activity_at"), p.as_of, p.activity_days))
+        .select("opp_id")
+        .distinct()
+    )
 
 
 def slip_risk_flags(t: Tables, p: SlipPolicy) -> DataFrame:
@@ -65,11 +74,7 @@ def slip_risk_flags(t: Tables, p: SlipPolicy) -> DataFrame:
         opps = opps.where(F.col("product_id") == F.lit(p.product_id))
     # Each joined side has one row per key, so no opportunity is repeated.
     joined = (
-        opps.join(
-            latest(t.sales_activities, ["opp_id"], "activity_at", "last_activity_at"),
-            "opp_id",
-            "left",
-        )
+        opps.join(recently_active(t, p).withColumn("active", F.lit(True)), "opp_id", "left")
         .join(risk_notes(t, p).withColumn("risk_note", F.lit(True)), "opp_id", "left")
         .join(
             high_sev_keys(t, p).withColumn("severe_ticket", F.lit(True)),
@@ -79,7 +84,7 @@ def slip_risk_flags(t: Tables, p: SlipPolicy) -> DataFrame:
     )
     return with_names(joined, t.customers, t.products).select(
         *DETAIL,
-        flag(_no_activity(p.as_of, p.activity_days)).alias(FLAGS[0]),
+        flag(F.col("active").isNull()).alias(FLAGS[0]),
         flag(older_than(F.col("stage_last_changed_at"), p.as_of, p.stagnant_days)).alias(FLAGS[1]),
         flag(F.col("risk_note").isNotNull() | F.col("severe_ticket").isNotNull()).alias(FLAGS[2]),
     )
@@ -137,12 +142,21 @@ def _policy_rows(spark: SparkSession, policies: list[SlipPolicy]) -> DataFrame:
         for p in policies
         for month in month_starts(p.window_start, p.window_end)
     ]
-    return spark.createDataFrame(
-        rows,
-        "policy_id string, close_month date, window_start date, window_end date, as_of date, "
-        "base date, activity_days int, stagnant_days int, signal_days int, tag_ix int, "
-        "severity_ix int, wanted_product string",
-    )
+    columns = [
+        ("policy_id", TEXT),
+        ("close_month", DAY),
+        ("window_start", DAY),
+        ("window_end", DAY),
+        ("as_of", DAY),
+        ("base", DAY),
+        ("activity_days", INT),
+        ("stagnant_days", INT),
+        ("signal_days", INT),
+        ("tag_ix", INT),
+        ("severity_ix", INT),
+        ("wanted_product", TEXT),
+    ]
+    return literal_table(spark, columns, rows)
 
 
 def slip_sweep(t: Tables, policies: list[SlipPolicy]) -> DataFrame:
@@ -152,23 +166,31 @@ def slip_sweep(t: Tables, policies: list[SlipPolicy]) -> DataFrame:
     severe ticket exists exactly when the latest one is recent, so the facts are reduced to latest
     days once, whatever the number of policies.
     """
-    spark = t.sales_opportunities.sparkSession
     tags = sorted({p.exact_tag for p in policies}, key=str)
     severities = sorted({p.severities for p in policies})
     note_cols = [f"last_risk_{i}" for i in range(len(tags))]
     ticket_cols = [f"last_severe_{i}" for i in range(len(severities))]
 
-    notes = t.opportunity_notes.groupBy("opp_id").agg(
-        *[
-            F.max(
-                F.when(mentions_risk(F.col("note_type"), F.col("tags"), tag), F.col("note_at"))
-            ).alias(name)
-            for tag, name in zip(tags, note_cols)
-        ]
+    # Facts older than any policy looks back cannot raise or clear a flag and are not read.
+    signals_from = min(p.base - timedelta(days=p.signal_days) for p in policies)
+    activity_from = min(p.as_of - timedelta(days=p.activity_days) for p in policies)
+    activities = t.sales_activities.where(F.col("activity_at") >= day(activity_from))
+    notes = (
+        t.opportunity_notes.where(F.col("note_at") >= day(signals_from))
+        .groupBy("opp_id")
+        .agg(
+            *[
+                F.max(
+                    F.when(mentions_risk(F.col("note_type"), F.col("tags"), tag), F.col("note_at"))
+                ).alias(name)
+                for tag, name in zip(tags, note_cols)
+            ]
+        )
     )
     tickets = (
         t.support_tickets.where(
-            (F.col("status") == "Open")
+            (F.col("opened_at") >= day(signals_from))
+            & (F.col("status") == "Open")
             & F.col("severity").isin(*sorted({s for group in severities for s in group}))
         )
         .groupBy("customer_id", "product_id")
@@ -185,16 +207,12 @@ def slip_sweep(t: Tables, policies: list[SlipPolicy]) -> DataFrame:
         (F.col("status") == "Open") & in_window(F.col("expected_close_date"), earliest, last_end)
     ).withColumn("close_month", F.trunc("expected_close_date", "MM"))
     facts = (
-        opps.join(
-            latest(t.sales_activities, ["opp_id"], "activity_at", "last_activity_at"),
-            "opp_id",
-            "left",
-        )
+        opps.join(latest(activities, ["opp_id"], "activity_at", "last_activity_at"), "opp_id", "left")
         .join(notes, "opp_id", "left")
         .join(tickets, ["customer_id", "product_id"], "left")
     )
     facts = with_names(facts, t.customers, t.products)
-    matched = facts.join(_policy_rows(spark, policies), "close_month").where(
+    matched = facts.join(_policy_rows(t.spark, policies), "close_month").where(
         (F.col("expected_close_date") >= F.col("window_start"))
         & (F.col("expected_close_date") < F.col("window_end"))
         & (
@@ -202,12 +220,15 @@ def slip_sweep(t: Tables, policies: list[SlipPolicy]) -> DataFrame:
             | (F.col("product_id").cast("string") == F.col("wanted_product"))
         )
     )
+    last = F.col("last_activity_at")
     bound = F.date_sub(F.col("base"), F.col("signal_days"))
     stagnant = older_than(F.col("stage_last_changed_at"), F.col("as_of"), F.col("stagnant_days"))
     return matched.select(
         "policy_id",
         *DETAIL,
-        flag(_no_activity(F.col("as_of"), F.col("activity_days"))).alias(FLAGS[0]),
+        flag(last.isNull() | older_than(last, F.col("as_of"), F.col("activity_days"))).alias(
+            FLAGS[0]
+        ),
         flag(stagnant).alias(FLAGS[1]),
         flag(
             (chosen(note_cols, "tag_ix") >= bound) | (chosen(ticket_cols, "severity_ix") >= bound)

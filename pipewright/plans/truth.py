@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from pipewright.functions.text import as_title, clean_text
 from pipewright.operators.digest import PART_ROWS, find_heavy, ordered_digest
 from pipewright.operators.lookups import stacked
+from pipewright.sources.literal import INT, TEXT, literal_table
 from pipewright.sources.scratch import scratch_path
 
 
@@ -114,8 +115,10 @@ def ground_truth(
                 heading = clean_text_literal(title)
                 heading = heading if heading.endswith(":") else heading + ":"
                 empty = f"{heading}\n\n{empty}"
-            frame = spark.createDataFrame(
-                [(number, position, empty)], "_seed int, position int, _empty string"
+            frame = literal_table(
+                spark,
+                [("_seed", INT), ("position", INT), ("_empty", TEXT)],
+                [(number, position, empty)],
             )
             items.append(
                 frame.join(rendered, "_seed", "left").select(
@@ -125,12 +128,13 @@ def ground_truth(
                     F.coalesce("markdown", "_empty").alias("result"),
                 )
             )
-    questions = spark.createDataFrame(
+    questions = literal_table(
+        spark,
+        [("_seed", INT), ("question", TEXT), ("sql", TEXT)],
         [
             (i, clean_text_literal(s.question), clean_text_literal(";\n".join(s.statements)))
             for i, s in enumerate(seeds)
         ],
-        "_seed int, question string, sql string",
     )
     tables = stacked(items)
     if not split:

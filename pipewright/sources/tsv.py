@@ -73,5 +73,9 @@ def load(
     """Read all tables of a folder, each from `<root>/<table>.csv` (a file or a folder of parts)."""
     schemas = schemas or SCHEMAS
     return Tables(
-        **{n: read_table(spark, f"{root}/{n}.csv", schemas[n], multi_line) for n in Tables.names()}
+        spark,
+        {
+            n: lambda n=n: read_table(spark, f"{root}/{n}.csv", schemas[n], multi_line)
+            for n in Tables.names()
+        },
     )
