@@ -107,34 +107,21 @@ def key_violations(t: Tables) -> DataFrame:
     reports = []
     for name, df in t.items():
         required = [f.name for f in SCHEMAS[name].fields if not f.nullable]
-        nulls = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in required]).select(
-            F.explode(
-                F.array(
-                    *[
-                        F.struct(F.lit(c).alias("column_name"), F.col(c).alias("num_rows"))
-                        for c in required
-                    ]
-                )
-            ).alias("v")
+        counted = ", ".join(
+            f"named_struct('column_name', '{c}', 'num_rows', count_if({c} IS NULL))" for c in required
         )
+        nulls = df.agg(F.expr(f"array({counted})").alias("checked"))
         reports.append(
-            nulls.select(
-                F.lit(name).alias("table_name"),
-                "v.column_name",
-                F.lit("null").alias("rule"),
-                "v.num_rows",
+            nulls.selectExpr("inline(checked)").selectExpr(
+                f"'{name}' AS table_name", "column_name", "'null' AS rule", "num_rows"
             )
         )
-        repeated = (
-            df.groupBy(*KEYS[name])
-            .agg(F.count("*").alias("n"))
-            .agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("num_rows"))
-        )
+        repeated = df.groupBy(*KEYS[name]).agg(F.count("*").alias("n"))
         reports.append(
-            repeated.select(
-                F.lit(name).alias("table_name"),
-                F.lit(",".join(KEYS[name])).alias("column_name"),
-                F.lit("duplicate").alias("rule"),
+            repeated.agg(F.expr("coalesce(sum(n - 1), 0)").alias("num_rows")).selectExpr(
+                f"'{name}' AS table_name",
+                f"'{','.join(KEYS[name])}' AS column_name",
+                "'duplicate' AS rule",
                 "num_rows",
             )
         )

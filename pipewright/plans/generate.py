@@ -1,7 +1,7 @@
 """Synthetic sales and support data of any size.
 
-Every table is computed from a frame of customers by projections and short per-row explodes, without
-a shuffle. All randomness is drawn from the row's own keys, so the output is the same for any
+Every table is computed from a frame of customers by projections and short per-row explodes; only
+the customer rows themselves are shuffled, to spread the work. All randomness is drawn from the row's own keys, so the output is the same for any
 number of executors.
 """
 
@@ -153,13 +153,20 @@ def gen_dimensions(customer_ids: DataFrame, product_ids: DataFrame) -> DataFrame
     return c.unionByName(p)
 
 
+def _spread(customers: DataFrame) -> DataFrame:
+    # A customer grows into hundreds of rows, so the few customer rows are dealt out to all cores
+    # before they grow. The number is explicit because AQE would merge such small partitions again.
+    cores = customers.sparkSession.sparkContext.defaultParallelism
+    return customers.repartition(cores, "customer_no")
+
+
 def _trending() -> Column:
     return F.col("customer_no") % len(CUSTOMERS) == TRENDING
 
 
 def gen_csat(customers: DataFrame, as_of: date, seed: int = SEED) -> DataFrame:
     """Twelve scores per customer, 30 days apart, around a base of 3 or 4."""
-    base = customers.withColumn("h", entropy(seed, "csat", F.col("customer_no"))).withColumn(
+    base = _spread(customers).withColumn("h", entropy(seed, "csat", F.col("customer_no"))).withColumn(
         "base", uniform_int(F.col("h"), 0, 3, 4)
     )
     rows = _numbered(base, F.lit(12), "m").withColumn(
@@ -177,7 +184,7 @@ def gen_csat(customers: DataFrame, as_of: date, seed: int = SEED) -> DataFrame:
 def _tickets(customers: DataFrame, as_of: date, seed: int) -> DataFrame:
     h = F.col("h")
     start = _season_start(as_of)
-    rows = customers.withColumn("h", entropy(seed, "ticket count", F.col("customer_no")))
+    rows = _spread(customers).withColumn("h", entropy(seed, "ticket count", F.col("customer_no")))
     rows = _numbered(rows, uniform_int(h, 0, 35, MAX_TICKETS), "n")
     rows = rows.withColumn("ticket_no", F.col("customer_no") * MAX_TICKETS + F.col("n") - 1)
     rows = rows.withColumn("h", entropy(seed, "ticket", F.col("ticket_no"))).withColumn(
@@ -253,7 +260,7 @@ def gen_support_activities(customers: DataFrame, as_of: date, seed: int = SEED)
 def _opportunities(customers: DataFrame, as_of: date, seed: int) -> DataFrame:
     h, h2 = F.col("h"), F.col("h2")
     start = _season_start(as_of)
-    rows = customers.withColumn("h", entropy(seed, "opp count", F.col("customer_no")))
+    rows = _spread(customers).withColumn("h", entropy(seed, "opp count", F.col("customer_no")))
     rows = rows.withColumn("n_opps", uniform_int(h, 0, 10, MAX_OPPS))
     # At most two renewals are forced per customer. Whether an opportunity asks to be forced depends
     # only on its own draw, so a customer's requests fit in one short array and the running count

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pipewright.functions.text import as_title, clean_text
-from pipewright.operators.digest import PART_ROWS, find_heavy, ordered_digest
+from pipewright.operators.digest import PART_ROWS, Heavy, find_heavy, ordered_digest
 from pipewright.operators.lookups import stacked
 from pipewright.sources.literal import INT, TEXT, literal_table
 from pipewright.sources.scratch import scratch_path
@@ -48,6 +48,7 @@ def markdown_render(
     order: list[str],
     title: str | None = None,
     part_rows: int = PART_ROWS,
+    heavy: Heavy | None = None,
 ) -> DataFrame:
     """One Markdown table per group of `keys`, rows in the given order.
 
@@ -67,7 +68,7 @@ def markdown_render(
         line="_line",
         separator="\n",
         out="_body",
-        heavy=find_heavy(df, keys, part_rows),
+        heavy=heavy or find_heavy(df, keys, part_rows),
         part_rows=part_rows,
         aggregates={"_title": F.max(title)} if title else None,
     )
@@ -105,9 +106,10 @@ def ground_truth(
             keyed = answer.withColumn("_seed", F.lit(number))
             if title:
                 keyed = keyed.withColumn("_heading", F.lit(title))
-            split = split or not find_heavy(keyed, ["_seed"], part_rows).none
+            heavy = find_heavy(keyed, ["_seed"], part_rows)
+            split = split or not heavy.none
             rendered = markdown_render(
-                keyed, ["_seed"], columns, "_heading" if title else None, part_rows
+                keyed, ["_seed"], columns, "_heading" if title else None, part_rows, heavy
             )
             # An empty answer still has a header.
             empty = clean_text_literal(header(columns))

@@ -2,27 +2,19 @@
 
 Everything is a row-wise projection of whole source tables, so reading a derived table costs one
 pruned scan; only the satisfaction scores aggregate. Dates that jobs filter on are plain casts of
-source columns, which lets Spark push the range into the scan. A few rules are broken on purpose
-(notes of unknown opportunities, a note type outside the vocabulary, tickets closed before they were
-opened, scores outside 1..5, repeated activity ids), so that the checks have something to find.
+source columns, which lets Spark push the range into the scan, and codes are spelled out by nested
+two-way choices, which Spark folds back to a test on the source column. A few rules are broken on
+purpose (notes of unknown opportunities, a note type outside the vocabulary, tickets closed before
+they were opened, scores outside 1..5, repeated activity ids), so that the checks have something to
+find.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from pipewright.tables import Tables
 
-# Vocabularies used to spell out codes.
-STAGES = ("Qualification", "Discovery", "Proposal", "Negotiation", "Procurement")
-CATEGORIES = ("Pipeline", "BestCase", "Commit")
-ACTIVITY_TYPES = ("call", "demo", "email", "meeting")
-CONTACTS = ("CIO", "Head of Compliance", "Procurement", "IT Manager")
-CHANNELS = ("Portal", "Email", "Phone")
-GROUPS = ("L1 Support", "L2 Support", "AML Specialists")
-AUTHORS = ("agent.john", "agent.ana", "agent.samir", "agent.luca")
-SUPPORT_TYPES = ("comment", "worknote", "escalation")
 # Columns the derivations read.
 COLUMNS = {
     "customer": "c_custkey bigint, c_name string, c_nationkey int",
@@ -41,155 +33,105 @@ COLUMNS = {
         "props string"
     ),
 }
-EVENT_SHIFT_DAYS = 8766  # events of January 2024 are read as January 2000
 
-
-def _by_mod(key: Column, values: tuple[str, ...]) -> Column:
-    options = F.array(*[F.lit(v) for v in values])
-    return F.element_at(options, (key % len(values) + 1).cast("int"))
-
-
-def _recode(col: Column, cases: dict[str, str], otherwise: str) -> Column:
-    # Nested two-way choices: an equality test on the result folds back to one on the source column
-    # and is pushed into the scan, which a flat CASE would prevent.
-    out = F.lit(otherwise)
-    for code, value in reversed(cases.items()):
-        out = F.when(col == code, value).otherwise(out)
-    return out
-
-
-def customers(customer: DataFrame, nation: DataFrame) -> DataFrame:
-    return customer.join(nation, customer.c_nationkey == nation.n_nationkey, "left").select(
-        F.col("c_custkey").alias("customer_id"),
-        F.col("c_name").alias("customer_name"),
-        F.col("n_name").alias("country"),
+_CLOSE = "cast(o_orderdate as date)"
+_OPENED = f"date_sub({_CLOSE}, cast(14 + o_orderkey % 107 as int))"
+# Events of January 2024 are read as January 2000.
+_EVENT_DAY = "date_sub(cast(ts as date), 8766)"
+
+# How each derived column follows from its source table.
+_OPPORTUNITIES = [
+    "o_orderkey AS opp_id",
+    "o_custkey AS customer_id",
+    "o_orderkey % 20 AS product_id",
+    "if(o_orderpriority = '1-URGENT', 'Renewal', if(o_orderpriority = '2-HIGH', 'Expansion', "
+    "if(o_orderpriority = '3-MEDIUM', 'Expansion', 'Project'))) AS type",
+    "if(o_orderstatus = 'O', 'Open', if(o_orderstatus = 'F', 'Won', 'Lost')) AS status",
+    "element_at(array('Qualification', 'Discovery', 'Proposal', 'Negotiation', 'Procurement'), "
+    "cast(o_orderkey % 5 + 1 as int)) AS stage",
+    f"{_OPENED} AS opened_at",
+    f"{_CLOSE} AS expected_close_date",
+    f"if(o_orderstatus = 'O', null, date_add({_OPENED}, cast(14 + o_orderkey % 60 as int))) "
+    "AS closed_at",
+    "o_orderstatus = 'O' AS is_forecast",
+    "if(o_orderstatus = 'O', element_at(array('Pipeline', 'BestCase', 'Commit'), "
+    "cast(o_orderkey % 3 + 1 as int)), null) AS forecast_category",
+    f"date_add({_OPENED}, cast(3 + o_orderkey % 88 as int)) AS stage_last_changed_at",
+    "o_totalprice AS amount",
+    "'EUR' AS currency",
+    "cast(if(o_orderstatus = 'O', 30 + 10 * (o_orderkey % 5), if(o_orderstatus = 'F', 100, 0)) "
+    "as int) AS probability",
+    "if(o_orderpriority = '1-URGENT', 12, null) AS renewal_term_months",
+]
+_SALES_ACTIVITIES = [
+    "l_orderkey * 8 + l_linenumber AS activity_id",
+    "l_orderkey AS opp_id",
+    "cast(l_shipdate as date) AS activity_at",
+    "concat('line ', l_linenumber, ' ', l_returnflag, l_linestatus) AS description",
+    "element_at(array('call', 'demo', 'email', 'meeting'), l_linenumber % 4 + 1) AS type",
+    "element_at(array('CIO', 'Head of Compliance', 'Procurement', 'IT Manager'), "
+    "cast(l_suppkey % 4 + 1 as int)) AS contact_name",
+]
+_NOTES = [
+    "event_id AS note_id",
+    "(event_id - event_id % 3) * 2 AS opp_id",
+    f"date_sub({_EVENT_DAY}, cast(event_id * 13 % 180 as int)) AS note_at",
+    "if(event_type = 'error', 'risk', if(event_type = 'signup', 'progress', "
+    "if(event_type = 'purchase', 'progress', if(event_type = 'click', 'neutral', 'comment')))) "
+    "AS note_type",
+    "concat(event_type, ' ', props) AS note_text",
+    "if(event_type = 'error', 'risk;delivery', "
+    "if(event_type = 'click' AND value > 50, 'timeline;at_risk', 'positive')) AS tags",
+]
+_TICKETS = [
+    "event_id AS ticket_id",
+    "user_id AS customer_id",
+    "event_id % 20 AS product_id",
+    "if(event_id % 4 = 0, 'Open', 'Closed') AS status",
+    f"{_EVENT_DAY} AS opened_at",
+    f"if(event_id % 4 = 0, null, date_add({_EVENT_DAY}, cast(event_id % 30 - 1 as int))) "
+    "AS closed_at",
+    "if(event_type = 'error', 'Critical', if(event_type = 'purchase', 'High', "
+    "if(event_type = 'signup', 'Medium', 'Low'))) AS severity",
+    "if(event_type = 'error', 'P1', if(event_type = 'purchase', 'P2', "
+    "if(event_type = 'signup', 'P3', 'P4'))) AS priority",
+    "element_at(array('Portal', 'Email', 'Phone'), cast(event_id % 3 + 1 as int)) AS channel",
+    "concat('Issue on product ', event_id % 20) AS title",
+    "event_id % 4 = 0 AND event_type IN ('error', 'purchase') AND event_id % 3 = 0 "
+    "AS sla_breach_flag",
+    "element_at(array('L1 Support', 'L2 Support', 'AML Specialists'), "
+    "cast(event_id % 3 + 1 as int)) AS assigned_group",
+]
+_SUPPORT_ACTIVITIES = [
+    "event_id AS activity_id",
+    "event_id - event_id % 2 AS ticket_id",
+    f"date_add({_EVENT_DAY}, cast(event_id % 20 as int)) AS activity_at",
+    "concat('handled ', event_type) AS description",
+    "element_at(array('agent.john', 'agent.ana', 'agent.samir', 'agent.luca'), "
+    "cast(user_id % 4 + 1 as int)) AS author",
+    "element_at(array('comment', 'worknote', 'escalation'), cast(event_id % 3 + 1 as int)) "
+    "AS activity_type",
+    "cast(5 + event_id % 116 as int) AS minutes_spent",
+]
+
+
+def _customers(customer: DataFrame, nation: DataFrame) -> DataFrame:
+    return customer.join(nation, customer.c_nationkey == nation.n_nationkey, "left").selectExpr(
+        "c_custkey AS customer_id", "c_name AS customer_name", "n_name AS country"
     )
 
 
-def products(part: DataFrame) -> DataFrame:
-    return part.select(
-        F.col("p_partkey").alias("product_id"),
-        F.col("p_name").alias("product_name"),
-        F.col("p_type").alias("product_line"),
+def _csat(orders: DataFrame) -> DataFrame:
+    return (
+        orders.selectExpr(
+            "o_custkey AS customer_id", f"trunc({_CLOSE}, 'MM') AS month", "o_orderkey"
+        )
+        .groupBy("customer_id", "month")
+        .agg({"o_orderkey": "min"})
+        .selectExpr("customer_id", "month", "cast(`min(o_orderkey)` % 7 as int) AS csat")
     )
 
 
-def sales_opportunities(orders: DataFrame) -> DataFrame:
-    key = F.col("o_orderkey")
-    status = _recode(F.col("o_orderstatus"), {"O": "Open", "F": "Won"}, "Lost")
-    kind = _recode(
-        F.col("o_orderpriority"),
-        {"1-URGENT": "Renewal", "2-HIGH": "Expansion", "3-MEDIUM": "Expansion"},
-        "Project",
-    )
-    close = F.col("o_orderdate").cast("date")
-    opened = F.date_sub(close, (14 + key % 107).cast("int"))
-    is_open = F.col("o_orderstatus") == "O"
-    return orders.select(
-        key.alias("opp_id"),
-        F.col("o_custkey").alias("customer_id"),
-        (key % 20).alias("product_id"),
-        kind.alias("type"),
-        status.alias("status"),
-        _by_mod(key, STAGES).alias("stage"),
-        opened.alias("opened_at"),
-        close.alias("expected_close_date"),
-        F.when(~is_open, F.date_add(opened, (14 + key % 60).cast("int"))).alias("closed_at"),
-        is_open.alias("is_forecast"),
-        F.when(is_open, _by_mod(key, CATEGORIES)).alias("forecast_category"),
-        F.date_add(opened, (3 + key % 88).cast("int")).alias("stage_last_changed_at"),
-        F.col("o_totalprice").alias("amount"),
-        F.lit("EUR").alias("currency"),
-        F.when(is_open, 30 + 10 * (key % 5))
-        .when(F.col("o_orderstatus") == "F", 100)
-        .otherwise(0)
-        .cast("int")
-        .alias("probability"),
-        F.when(F.col("o_orderpriority") == "1-URGENT", 12).alias("renewal_term_months"),
-    )
-
-
-def sales_activities(lineitem: DataFrame) -> DataFrame:
-    return lineitem.select(
-        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("activity_id"),
-        F.col("l_orderkey").alias("opp_id"),
-        F.col("l_shipdate").cast("date").alias("activity_at"),
-        F.concat(
-            F.lit("line "),
-            F.col("l_linenumber").cast("string"),
-            F.lit(" "),
-            F.col("l_returnflag"),
-            F.col("l_linestatus"),
-        ).alias("description"),
-        _by_mod(F.col("l_linenumber"), ACTIVITY_TYPES).alias("type"),
-        _by_mod(F.col("l_suppkey"), CONTACTS).alias("contact_name"),
-    )
-
-
-def _event_day() -> Column:
-    return F.date_sub(F.col("ts").cast("date"), EVENT_SHIFT_DAYS)
-
-
-def opportunity_notes(events: DataFrame) -> DataFrame:
-    key, kind = F.col("event_id"), F.col("event_type")
-    return events.select(
-        key.alias("note_id"),
-        ((key - key % 3) * 2).alias("opp_id"),
-        F.date_sub(_event_day(), (key * 13 % 180).cast("int")).alias("note_at"),
-        _recode(
-            kind,
-            {"error": "risk", "signup": "progress", "purchase": "progress", "click": "neutral"},
-            "comment",
-        ).alias("note_type"),
-        F.concat(kind, F.lit(" "), F.col("props")).alias("note_text"),
-        F.when(kind == "error", "risk;delivery")
-        .when((kind == "click") & (F.col("value") > 50), "timeline;at_risk")
-        .otherwise("positive")
-        .alias("tags"),
-    )
-
-
-def support_tickets(events: DataFrame) -> DataFrame:
-    key, kind = F.col("event_id"), F.col("event_type")
-    is_open = key % 4 == 0
-    return events.select(
-        key.alias("ticket_id"),
-        F.col("user_id").alias("customer_id"),
-        (key % 20).alias("product_id"),
-        F.when(is_open, "Open").otherwise("Closed").alias("status"),
-        _event_day().alias("opened_at"),
-        F.when(~is_open, F.date_add(_event_day(), (key % 30 - 1).cast("int"))).alias("closed_at"),
-        _recode(kind, {"error": "Critical", "purchase": "High", "signup": "Medium"}, "Low").alias(
-            "severity"
-        ),
-        _recode(kind, {"error": "P1", "purchase": "P2", "signup": "P3"}, "P4").alias("priority"),
-        _by_mod(key, CHANNELS).alias("channel"),
-        F.concat(F.lit("Issue on product "), (key % 20).cast("string")).alias("title"),
-        (is_open & kind.isin("error", "purchase") & (key % 3 == 0)).alias("sla_breach_flag"),
-        _by_mod(key, GROUPS).alias("assigned_group"),
-    )
-
-
-def support_activities(events: DataFrame) -> DataFrame:
-    key = F.col("event_id")
-    return events.select(
-        key.alias("activity_id"),
-        (key - key % 2).alias("ticket_id"),
-        F.date_add(_event_day(), (key % 20).cast("int")).alias("activity_at"),
-        F.concat(F.lit("handled "), F.col("event_type")).alias("description"),
-        _by_mod(F.col("user_id"), AUTHORS).alias("author"),
-        _by_mod(key, SUPPORT_TYPES).alias("activity_type"),
-        (5 + key % 116).cast("int").alias("minutes_spent"),
-    )
-
-
-def csat_by_month(orders: DataFrame) -> DataFrame:
-    return orders.groupBy(
-        F.col("o_custkey").alias("customer_id"),
-        F.trunc(F.col("o_orderdate").cast("date"), "MM").alias("month"),
-    ).agg((F.min("o_orderkey") % 7).cast("int").alias("csat"))
-
-
 def load(spark: SparkSession, folder: str) -> Tables:
     """Derive the eight tables from the parquet files of a folder."""
 
@@ -200,13 +142,15 @@ def load(spark: SparkSession, folder: str) -> Tables:
     return Tables(
         spark,
         {
-            "customers": lambda: customers(read("customer"), read("nation")),
-            "products": lambda: products(read("part")),
-            "csat_by_month": lambda: csat_by_month(read("orders")),
-            "support_tickets": lambda: support_tickets(read("events")),
-            "support_activities": lambda: support_activities(read("events")),
-            "sales_opportunities": lambda: sales_opportunities(read("orders")),
-            "sales_activities": lambda: sales_activities(read("lineitem")),
-            "opportunity_notes": lambda: opportunity_notes(read("events")),
+            "customers": lambda: _customers(read("customer"), read("nation")),
+            "products": lambda: read("part").selectExpr(
+                "p_partkey AS product_id", "p_name AS product_name", "p_type AS product_line"
+            ),
+            "csat_by_month": lambda: _csat(read("orders")),
+            "support_tickets": lambda: read("events").selectExpr(*_TICKETS),
+            "support_activities": lambda: read("events").selectExpr(*_SUPPORT_ACTIVITIES),
+            "sales_opportunities": lambda: read("orders").selectExpr(*_OPPORTUNITIES),
+            "sales_activities": lambda: read("lineitem").selectExpr(*_SALES_ACTIVITIES),
+            "opportunity_notes": lambda: read("events").selectExpr(*_NOTES),
         },
     )
