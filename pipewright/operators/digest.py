@@ -94,6 +94,21 @@ def ordered_digest(
     )
 
 
+def attach_digest(
+    rows: DataFrame, digest: DataFrame, key: str, part: str, heavy: Heavy
+) -> DataFrame:
+    """Left join of unique rows with their digest. Rows without one get part 1 and NULL texts."""
+    if heavy.none:
+        joined = rows.join(digest, key, "left")
+    else:
+        # The many parts of a heavy group meet a single row. An outer join would do that in one
+        # task; an inner join is split by AQE, and rows without a digest are added afterwards.
+        matched = rows.join(digest, key)
+        missing = rows.join(digest.select(key).distinct(), key, "left_anti")
+        joined = matched.unionByName(missing, allowMissingColumns=True)
+    return joined.withColumn(part, F.coalesce(part, F.lit(1).cast("bigint")))
+
+
 def _entries(order: list[str], line: str) -> Column:
     fields = [*order, line] if line not in order else order
     return F.collect_list(F.struct(*[F.col(c).alias(c) for c in fields]))

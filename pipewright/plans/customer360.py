@@ -8,8 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pipewright.operators.digest import PART_ROWS, find_heavy, ordered_digest
-from pipewright.plans.notes import SEPARATOR, dated, note_digest
+from pipewright.operators.digest import PART_ROWS, attach_digest, find_heavy, ordered_digest
+from pipewright.plans.notes import SEPARATOR, dated, heavy_notes, note_digest
 from pipewright.tables import Tables
 
 
@@ -52,8 +52,9 @@ def customer_360_opps(
     )
     selective = any(v is not None for v in (customer_name, product_name, customer_id, product_id))
     only = opps if selective else t.sales_opportunities.where(F.col("status") == "Open")
-    digest = note_digest(t, only=only, part_rows=part_rows).drop("last_signal")
-    return opps.join(digest, "opp_id", "left").select(
+    heavy = heavy_notes(t, part_rows)
+    digest = note_digest(t, only, part_rows, heavy).drop("last_signal")
+    return attach_digest(opps, digest, "opp_id", "notes_part", heavy).select(
         "customer_name",
         "type",
         "opp_id",
@@ -64,7 +65,7 @@ def customer_360_opps(
         "is_forecast",
         "forecast_category",
         "amount",
-        F.coalesce("notes_part", F.lit(1).cast("bigint")).alias("notes_part"),
+        "notes_part",
         "opp_notes",
     )
 
@@ -147,13 +148,13 @@ def critical_ticket_actions(
         part="actions_part",
         part_rows=part_rows,
     )
-    return tickets.join(actions, "ticket_id", "left").select(
+    return attach_digest(tickets, actions, "ticket_id", "actions_part", heavy).select(
         "ticket_id",
         "customer_name",
         "product_name",
         "status",
         "priority",
         "title",
-        F.coalesce("actions_part", F.lit(1).cast("bigint")).alias("actions_part"),
+        "actions_part",
         "actions",
     )

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pipewright.functions.text import tag_list
-from pipewright.operators.digest import PART_ROWS, find_heavy, ordered_digest
+from pipewright.operators.digest import PART_ROWS, Heavy, find_heavy, ordered_digest
 from pipewright.tables import Tables
 
 SEPARATOR = ";\n\n"
@@ -16,8 +16,16 @@ def dated(at: str, text: Column) -> Column:
     return F.concat(F.date_format(F.col(at), "M/d/yyyy"), F.lit(": "), text)
 
 
+def heavy_notes(t: Tables, part_rows: int = PART_ROWS) -> Heavy:
+    """Opportunities with more notes than one text may hold."""
+    return find_heavy(t.opportunity_notes, ["opp_id"], part_rows)
+
+
 def note_digest(
-    t: Tables, only: DataFrame | None = None, part_rows: int = PART_ROWS
+    t: Tables,
+    only: DataFrame | None = None,
+    part_rows: int = PART_ROWS,
+    heavy: Heavy | None = None,
 ) -> DataFrame:
     """Last signal and all notes of each opportunity, oldest first.
 
@@ -26,7 +34,7 @@ def note_digest(
     opportunity with more than `part_rows` notes gets several rows, numbered by `notes_part`.
     """
     notes = t.opportunity_notes
-    heavy = find_heavy(notes, ["opp_id"], part_rows)
+    heavy = heavy or heavy_notes(t, part_rows)
     if only is not None:
         notes = notes.join(only.select("opp_id"), "opp_id", "left_semi")
     lines = notes.select(

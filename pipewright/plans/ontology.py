@@ -185,12 +185,24 @@ def entity_index(t: Tables, entities: dict[str, Entity] = ENTITIES) -> DataFrame
 def entity_timeseries(
     t: Tables, series: TimeSeries = CSAT_SERIES, entities: dict[str, Entity] = ENTITIES
 ) -> DataFrame:
-    """Static properties of each entity next to every observation of its time series."""
+    """Static properties of each entity next to every observation of its time series. Entities
+    without observations appear once, with NULLs."""
     e = entities[series.entity]
-    observed = getattr(t, series.table).select(
-        F.col(series.key).cast("string").alias(e.key), *_typed(series.properties)
+    source = getattr(t, series.table).withColumnRenamed(series.key, "_entity")
+    static = getattr(t, e.table).withColumn("_entity", F.col(e.key)).select(
+        "_entity", *_typed(e.properties)
+    )
+    observed = source.select("_entity", *_typed(series.properties))
+    # An inner join can be split when one entity holds most observations; an outer join from the
+    # entity side could not.
+    return (
+        static.join(observed, "_entity")
+        .unionByName(
+            static.join(source.select("_entity").distinct(), "_entity", "left_anti"),
+            allowMissingColumns=True,
+        )
+        .drop("_entity")
     )
-    return entity_view(t, e.name, entities).join(observed, e.key, "left")
 
 
 def edges_of(t: Tables, r: Relationship) -> DataFrame:
