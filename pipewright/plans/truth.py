@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from pipewright.functions.text import as_title, clean_text
 from pipewright.operators.digest import PART_ROWS, Heavy, find_heavy, ordered_digest
 from pipewright.operators.lookups import stacked
-from pipewright.sources.literal import INT, TEXT, literal_table
+from pipewright.sources.literal import BIGINT, INT, TEXT, literal_table
 from pipewright.sources.scratch import scratch_path
 
 
@@ -85,6 +85,13 @@ def clean_text_literal(text: str) -> str:
     ).strip()
 
 
+def _headed(title: str | None, table: str) -> str:
+    if not title:
+        return clean_text_literal(table)
+    title = title if title.endswith(":") else title + ":"
+    return clean_text_literal(f"{title}\n\n{table}")
+
+
 def ground_truth(
     spark: SparkSession, seeds: list[Seed], part_rows: int = PART_ROWS
 ) -> DataFrame:
@@ -106,28 +113,26 @@ def ground_truth(
             keyed = answer.withColumn("_seed", F.lit(number))
             if title:
                 keyed = keyed.withColumn("_heading", F.lit(title))
+            if answer.isEmpty():
+                items.append(
+                    literal_table(
+                        spark,
+                        [("_seed", INT), ("position", INT), ("part", BIGINT), ("result", TEXT)],
+                        [(number, position, 1, _headed(title, header(columns)))],
+                    )
+                )
+                continue
             heavy = find_heavy(keyed, ["_seed"], part_rows)
             split = split or not heavy.none
             rendered = markdown_render(
                 keyed, ["_seed"], columns, "_heading" if title else None, part_rows, heavy
             )
-            # An empty answer still has a header.
-            empty = clean_text_literal(header(columns))
-            if title:
-                heading = clean_text_literal(title)
-                heading = heading if heading.endswith(":") else heading + ":"
-                empty = f"{heading}\n\n{empty}"
-            frame = literal_table(
-                spark,
-                [("_seed", INT), ("position", INT), ("_empty", TEXT)],
-                [(number, position, empty)],
-            )
             items.append(
-                frame.join(rendered, "_seed", "left").select(
+                rendered.select(
                     "_seed",
-                    "position",
-                    F.coalesce("part", F.lit(1).cast("bigint")).alias("part"),
-                    F.coalesce("markdown", "_empty").alias("result"),
+                    F.lit(position).alias("position"),
+                    "part",
+                    F.col("markdown").alias("result"),
                 )
             )
     questions = literal_table(
