@@ -139,32 +139,20 @@ def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Definition documents made of the events: one item per user and event type.
-
-    Errors carry broken JSON, views are not encoded, clicks have no `.json` path.
-    """
-    kind = F.col("event_type")
-    plain = F.when(kind == "error", F.concat(F.lit("broken "), F.col("props"))).otherwise(
-        F.col("props")
-    )
-    part = F.struct(
-        F.concat(
-            F.lit("items/"),
-            F.col("event_id").cast("string"),
-            F.when(kind == "click", ".txt").otherwise(".json"),
-        ).alias("path"),
-        F.when(kind == "view", plain)
-        .otherwise(F.base64(plain.cast("binary")))
-        .alias("payload"),
-        F.when(kind == "view", "InlineText").otherwise("InlineBase64").alias("payloadType"),
-    )
-    # Eight neighbouring events make one small definition.
-    item = F.col("event_id") - F.col("event_id") % 8
-    return (
-        spark.read.parquet(f"{sf_dir}/events.parquet")
-        .groupBy(item.alias("item"))
-        .agg(F.collect_list(part).alias("parts"))
-        .select("item", F.to_json(F.struct(F.struct("parts").alias("definition"))).alias("document"))
+    """One definition document per event, with an encoded JSON part (broken for errors), an encoded
+    text part and a part that is not encoded."""
+    name = "concat('items/', event_id, '/"
+    return spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr(
+        "event_id AS item",
+        f"""to_json(struct(struct(array(
+            struct({name}definition.json') AS path,
+                   base64(cast(if(event_type = 'error', concat('broken ', props), props) AS binary))
+                     AS payload,
+                   'InlineBase64' AS payloadType),
+            struct({name}notes.txt') AS path, base64(cast(props AS binary)) AS payload,
+                   'InlineBase64' AS payloadType),
+            struct('.platform' AS path, event_type AS payload, 'InlineText' AS payloadType)
+        ) AS parts) AS definition)) AS document""",
     )
 
 
@@ -283,10 +271,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "entity_timeseries": ontology.entity_timeseries,
         "edges": ontology.edges,
         "entity_degree": ontology.entity_degree,
-        "traverse_customer_ticket_product": lambda t: ontology.traverse(
+        "traverse_path_customer_ticket_product": lambda t: ontology.traverse(
             t, ["has_ticket", "has_support_product"]
         ),
-        "traverse_customer_opportunity_note": lambda t: ontology.traverse(
+        "traverse_path_customer_opportunity_note": lambda t: ontology.traverse(
             t, ["has_opportunity", "has_opportunity_note"]
         ),
         "vocab_violations": checks.vocab_violations,

@@ -119,11 +119,11 @@ MODEL = {
     "entity_degree": f"""
         SELECT rel, src_type, src_id, count(*) AS degree FROM ({EDGES})
         GROUP BY rel, src_type, src_id""",
-    "traverse_customer_ticket_product": """
+    "traverse_path_customer_ticket_product": """
         SELECT 'customer' AS src_type, CAST(customer_id AS VARCHAR) AS src_id,
           'product' AS dst_type, CAST(product_id AS VARCHAR) AS dst_id, count(*) AS num_paths
         FROM support_tickets GROUP BY customer_id, product_id""",
-    "traverse_customer_opportunity_note": """
+    "traverse_path_customer_opportunity_note": """
         SELECT 'customer' AS src_type, CAST(o.customer_id AS VARCHAR) AS src_id,
           'sales_note' AS dst_type, CAST(n.note_id AS VARCHAR) AS dst_id, count(*) AS num_paths
         FROM sales_opportunities o JOIN opportunity_notes n ON n.opp_id = o.opp_id

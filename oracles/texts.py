@@ -31,15 +31,14 @@ def _literal(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-KIND_CONTENT = """
-  CASE event_type WHEN 'error' THEN 'broken ' || props ELSE props END"""
-PARTS = f"""
-  SELECT event_id - event_id % 8 AS item,
-    'items/' || event_id || CASE WHEN event_type = 'click' THEN '.txt' ELSE '.json' END AS path,
-    CASE WHEN event_type IN ('error', 'click', 'view') THEN {KIND_CONTENT}
-      ELSE CAST(json(props) AS VARCHAR) END AS content,
-    event_type NOT IN ('error', 'click', 'view') AS is_json
-  FROM events"""
+PARTS = """
+  SELECT event_id AS item, CAST(0 AS INTEGER) AS position, 'items/' || event_id || '/definition.json' AS path,
+    CASE event_type WHEN 'error' THEN 'broken ' || props ELSE CAST(json(props) AS VARCHAR) END
+      AS content,
+    event_type <> 'error' AS is_json
+  FROM events
+  UNION ALL SELECT event_id, 1, 'items/' || event_id || '/notes.txt', props, false FROM events
+  UNION ALL SELECT event_id, 2, '.platform', event_type, false FROM events"""
 
 
 def _num(col: str) -> str:

@@ -56,15 +56,21 @@ def ordered_digest(
     part: str = "part",
     part_rows: int = PART_ROWS,
     aggregates: dict[str, Column] | None = None,
+    only: DataFrame | None = None,
 ) -> DataFrame:
     """Join the `line` texts of every group in the given order.
 
     `heavy` must come from `find_heavy` over the same rows or a superset. Lines that tie in `order`
-    come in the order of their texts. `aggregates` are further per-group results, repeated on every part of a heavy group.
+    come in the order of their texts. `aggregates` are further per-group results, repeated on every part of a heavy group. `only` keeps
+    the groups whose keys it holds.
     """
     aggregates = aggregates or {}
     named = [c.alias(n) for n, c in aggregates.items()]
     columns = [*keys, part, *aggregates, out]
+    if only is not None:
+        only = only.select(*keys)
+    if heavy.none or heavy.keys is None:
+        df = df if only is None else df.join(only, keys, "left_semi")
     if heavy.none:
         return _whole(df, keys, order, line, separator, out, part, named).select(columns)
     if heavy.keys is None:
@@ -83,6 +89,12 @@ def ordered_digest(
     rows = df.alias("rows")
     light = rows.join(marks, same, "left_anti")
     loaded = rows.join(marks, same, "left_semi")
+    if only is not None:
+        # Heavy groups are set apart before the join, so that none of them meets it in one task;
+        # at most MAX_HEAVY of their keys are wanted, which bounds the broadcast.
+        light = light.join(only, keys, "left_semi")
+        wanted = only.join(spark.createDataFrame(heavy.keys, schema), keys, "left_semi").distinct()
+        loaded = loaded.join(F.broadcast(wanted), keys, "left_semi")
     return (
         _whole(light, keys, order, line, separator, out, part, named)
         .select(columns)

@@ -134,7 +134,7 @@ def critical_ticket_actions(
     critical = t.support_tickets.where(
         (F.col("status") == "Open") & (F.col("severity") == "Critical")
     ).select("ticket_id")
-    lines = t.support_activities.join(critical, "ticket_id", "left_semi").select(
+    lines = t.support_activities.select(
         "ticket_id", "activity_at", dated("activity_at", F.col("description")).alias("line")
     )
     actions = ordered_digest(
@@ -147,6 +147,7 @@ def critical_ticket_actions(
         heavy=heavy,
         part="actions_part",
         part_rows=part_rows,
+        only=critical,
     )
     return attach_digest(tickets, actions, "ticket_id", "actions_part", heavy).select(
         "ticket_id",

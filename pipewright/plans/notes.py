@@ -33,11 +33,8 @@ def note_digest(
     answer never depends on row order. `only` restricts the work to some opportunities. An
     opportunity with more than `part_rows` notes gets several rows, numbered by `notes_part`.
     """
-    notes = t.opportunity_notes
     heavy = heavy or heavy_notes(t, part_rows)
-    if only is not None:
-        notes = notes.join(only.select("opp_id"), "opp_id", "left_semi")
-    lines = notes.select(
+    lines = t.opportunity_notes.select(
         "opp_id",
         "note_at",
         "note_id",
@@ -55,6 +52,7 @@ def note_digest(
         part="notes_part",
         part_rows=part_rows,
         aggregates={"last_signal": F.max_by("note_type", F.struct("note_at", "note_id"))},
+        only=only,
     )
 
 

@@ -26,14 +26,18 @@ SPARK_TYPES = {
 
 @dataclass(frozen=True)
 class Entity:
-    """A typed node: properties of one table, its identifier and its display property."""
+    """A typed node: properties of one table, its identifier and its display column.
+
+    A property is (name, value type), or (name, value type, column) where the column is named
+    differently.
+    """
 
     name: str
     type_id: str
     table: str
     key: str
     display: str
-    properties: tuple[tuple[str, str], ...]  # (property, value type), named like the source column
+    properties: tuple[tuple[str, ...], ...]
 
 
 @dataclass(frozen=True)
@@ -44,7 +48,7 @@ class TimeSeries:
     table: str
     key: str
     timestamp: str
-    properties: tuple[tuple[str, str], ...]
+    properties: tuple[tuple[str, ...], ...]
 
 
 @dataclass(frozen=True)
@@ -157,8 +161,8 @@ RELATIONSHIPS = {
 }
 
 
-def _typed(properties: tuple[tuple[str, str], ...]):
-    return [F.col(name).cast(SPARK_TYPES[kind]).alias(name) for name, kind in properties]
+def _typed(properties: tuple[tuple[str, ...], ...]):
+    return [F.col(p[-1] if len(p) == 3 else p[0]).cast(SPARK_TYPES[p[1]]).alias(p[0]) for p in properties]
 
 
 def entity_view(t: Tables, name: str, entities: dict[str, Entity] = ENTITIES) -> DataFrame:

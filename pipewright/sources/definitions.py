@@ -29,9 +29,13 @@ def definition_parts(documents: DataFrame, key: str, document: str) -> DataFrame
     JSON content is returned in compact form. Parts that are not Base64 pass through unchanged.
     """
     parts = documents.select(
-        key, F.explode(F.from_json(F.col(document), _PARTS)["definition"]["parts"]).alias("p")
+        key,
+        F.posexplode(F.from_json(F.col(document), _PARTS)["definition"]["parts"]).alias(
+            "position", "p"
+        ),
     ).select(
         key,
+        "position",
         F.col("p.path").alias("path"),
         F.col("p.payloadType").alias("payload_type"),
         _content(F.col("p.payload"), F.col("p.payloadType")).alias("raw"),
@@ -40,6 +44,7 @@ def definition_parts(documents: DataFrame, key: str, document: str) -> DataFrame
         "json", _parsed(F.col("path"), F.col("payload_type"), F.col("raw"))
     ).select(
         key,
+        "position",
         "path",
         F.coalesce(F.to_json("json"), "raw").alias("content"),
         F.col("json").isNotNull().alias("is_json"),
@@ -51,11 +56,17 @@ def definition_documents(
 ) -> DataFrame:
     """One JSON text per definition, mapping each path to its content, in the order of paths.
 
-    JSON parts are embedded as values, all others as strings. A path given more than once keeps its
-    greatest content. A definition of more than `part_rows` paths becomes several JSON objects.
+    JSON parts are embedded as values, all others as strings. Of a path given more than once the
+    last part counts. A definition of more than `part_rows` paths becomes several JSON objects.
     """
-    unique = parts.groupBy(key, "path").agg(
-        F.max_by("is_json", "content").alias("is_json"), F.max("content").alias("content")
+    heavy = find_heavy(parts, [key], part_rows)
+    if heavy.none:
+        # One shuffle by definition serves both aggregations.
+        parts = parts.repartition(key)
+    unique = (
+        parts.groupBy(key, "path")
+        .agg(F.max_by(F.struct("content", "is_json"), "position").alias("last"))
+        .select(key, "path", "last.content", "last.is_json")
     )
     value = F.when(F.col("is_json"), F.try_parse_json("content")).otherwise(
         F.col("content").cast("variant")
@@ -71,7 +82,7 @@ def definition_documents(
         line="member",
         separator=",",
         out="body",
-        heavy=find_heavy(parts, [key], part_rows),
+        heavy=heavy,
         part_rows=part_rows,
     )
     return body.select(key, "part", F.concat(F.lit("{"), "body", F.lit("}")).alias("document"))

@@ -114,6 +114,7 @@ def parts_of(spark):
         ("a/broken.json", b64("not json {"), "InlineBase64"),
         ("a/readme.txt", b64('{"kept": "as text"}'), "InlineBase64"),
         ("a/plain.json", '{"raw": true}', "Other"),
+        ("é.json", b64("replaced by the next part"), "InlineBase64"),
         ("é.json", b64('"ünïcode"'), "InlineBase64"),
     ]
     document = json.dumps(
@@ -125,7 +126,9 @@ def parts_of(spark):
 def test_definition_parts(spark):
     got = {
         r["path"]: (r["content"], r["is_json"])
-        for r in definitions.definition_parts(parts_of(spark), "item", "document").collect()
+        for r in definitions.definition_parts(parts_of(spark), "item", "document")
+        .orderBy("position")
+        .collect()
     }
     assert got == {
         "a/definition.json": ('{"deep":{"x":[1,2.5,null]},"id":"1"}', True),
