@@ -61,8 +61,8 @@ def ordered_digest(
     """Join the `line` texts of every group in the given order.
 
     `heavy` must come from `find_heavy` over the same rows or a superset. Lines that tie in `order`
-    come in the order of their texts. `aggregates` are further per-group results, repeated on every part of a heavy group. `only` keeps
-    the groups whose keys it holds.
+    come in the order of their texts. `aggregates` are further per-group results, repeated on every
+    part of a heavy group. `only` keeps the groups whose keys it holds.
     """
     aggregates = aggregates or {}
     named = [c.alias(n) for n, c in aggregates.items()]
@@ -72,6 +72,7 @@ def ordered_digest(
     if heavy.none or heavy.keys is None:
         df = df if only is None else df.join(only, keys, "left_semi")
     if heavy.none:
+        df = df if only is not None else df.repartition(*keys)
         return _whole(df, keys, order, line, separator, out, part, named).select(columns)
     if heavy.keys is None:
         return _sliced(
@@ -89,7 +90,9 @@ def ordered_digest(
     rows = df.alias("rows")
     light = rows.join(marks, same, "left_anti")
     loaded = rows.join(marks, same, "left_semi")
-    if only is not None:
+    if only is None:
+        light = light.repartition(*keys)
+    else:
         # Heavy groups are set apart before the join, so that none of them meets it in one task;
         # at most MAX_HEAVY of their keys are wanted, which bounds the broadcast.
         light = light.join(only, keys, "left_semi")
@@ -127,9 +130,12 @@ def _entries(order: list[str], line: str) -> Column:
 
 
 def _joined(entries: str, line: str, separator: str) -> Column:
-    return F.concat_ws(separator, F.transform(F.array_sort(entries), lambda e: e[line]))
+    return F.concat_ws(separator, F.transform(F.sort_array(entries), lambda e: e[line]))
 
 
+# Lists cannot be combined on the map side: collecting there would only sort every task's rows before
+# the shuffle. Rows of bounded groups are therefore shuffled as they are (`repartition`) and collected
+# once; a semi join on the keys has already put them in place.
 def _whole(df, keys, order, line, separator, out, part, named) -> DataFrame:
     grouped = df.groupBy(*keys).agg(_entries(order, line).alias("_entries"), *named)
     return grouped.withColumn(out, _joined("_entries", line, separator)).withColumn(

@@ -147,7 +147,7 @@ def ground_truth(
     if not split:
         # As many short texts per question as it has statements.
         texts = F.transform(
-            F.array_sort(F.collect_list(F.struct("position", "result"))), lambda e: e["result"]
+            F.sort_array(F.collect_list(F.struct("position", "result"))), lambda e: e["result"]
         )
         tables = tables.groupBy("_seed").agg(F.concat_ws("\n\n", texts).alias("result"))
         tables = tables.withColumn("part", F.lit(1).cast("bigint"))
