@@ -106,11 +106,13 @@ def _on_tables(job: Callable[[Tables], DataFrame]) -> Callable[[SparkSession, st
 
 
 def _customer_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("id"))
+    rows = spark.read.schema(star.COLUMNS["customer"]).parquet(f"{sf_dir}/customer.parquet")
+    return rows.select(F.col("c_custkey").alias("id"))
 
 
 def _product_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("id"))
+    rows = spark.read.schema(star.COLUMNS["part"]).parquet(f"{sf_dir}/part.parquet")
+    return rows.select(F.col("p_partkey").alias("id"))
 
 
 def _generated(job: Callable[[DataFrame, date], DataFrame]):
@@ -123,7 +125,8 @@ def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every free text of the given tables, cleaned whole."""
 
     def read(table: str, *key: str) -> DataFrame:
-        return spark.read.parquet(f"{sf_dir}/{table}.parquet").select(
+        columns = ", ".join(f"{k} bigint" for k in key) + ", text string"
+        return spark.read.schema(columns).parquet(f"{sf_dir}/{table}.parquet").select(
             F.lit(table).alias("source"),
             F.concat_ws("/", *[F.col(k).cast("string") for k in key]).alias("row_id"),
             clean_text(F.col("text")).alias("cleaned"),
@@ -142,7 +145,8 @@ def _definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One definition document per event, with an encoded JSON part (broken for errors), an encoded
     text part and a part that is not encoded."""
     name = "concat('items/', event_id, '/"
-    return spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr(
+    events = spark.read.schema(star.COLUMNS["events"]).parquet(f"{sf_dir}/events.parquet")
+    return events.selectExpr(
         "event_id AS item",
         f"""to_json(struct(struct(array(
             struct({name}definition.json') AS path,

@@ -17,7 +17,7 @@ def clean_text(text: Column) -> Column:
     """Make a text safe for tab-terminated records: no tabs, quotes escaped, single spaces, stripped."""
     t = F.replace(text, F.lit("\t"), F.lit(" "))
     t = F.replace(t, F.lit('"'), F.lit('\\"'))
-    t = F.regexp_replace(t, " +", " ")
+    t = F.regexp_replace(t, " {2,}", " ")
     return F.btrim(t, F.lit(BLANKS))
 
 
