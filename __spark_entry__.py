@@ -165,7 +165,7 @@ def _definition_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _definition_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return definition_documents(_definition_parts(spark, sf_dir), "item")
+    return definition_documents(_definitions(spark, sf_dir), "item", "document")
 
 
 def _markdown(t: Tables) -> DataFrame:

@@ -182,7 +182,7 @@ TEXTS = {
     ),
     "definition_parts": PARTS,
     "definition_documents": f"""
-        SELECT item, CAST(1 AS BIGINT) AS part,
+        SELECT item,
           '{{' || string_agg(CAST(to_json(path) AS VARCHAR) || ':'
             || CASE WHEN is_json THEN content ELSE CAST(to_json(content) AS VARCHAR) END, ','
             ORDER BY path) || '}}' AS document

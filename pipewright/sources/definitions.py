@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pipewright.operators.digest import PART_ROWS, find_heavy, ordered_digest
-
 _PARTS = (
     "definition struct<parts: array<struct<path: string, payload: string, payloadType: string>>>"
 )
@@ -51,41 +49,31 @@ def definition_parts(documents: DataFrame, key: str, document: str) -> DataFrame
     )
 
 
-def definition_documents(
-    parts: DataFrame, key: str, part_rows: int = PART_ROWS
-) -> DataFrame:
-    """One JSON text per definition, mapping each path to its content, in the order of paths.
+def definition_documents(documents: DataFrame, key: str, document: str) -> DataFrame:
+    """Every definition as one JSON text, mapping each path to its content, in the order of paths.
 
     JSON parts are embedded as values, all others as strings. Of a path given more than once the
-    last part counts. A definition of more than `part_rows` paths becomes several JSON objects.
+    last part counts. Each document is rewritten inside its own row: nothing is shuffled.
     """
-    heavy = find_heavy(parts, [key], part_rows)
-    if heavy.none:
-        # One shuffle by definition serves both aggregations.
-        parts = parts.repartition(key)
-    unique = (
-        parts.groupBy(key, "path")
-        .agg(F.max_by(F.struct("content", "is_json"), "position").alias("last"))
-        .select(key, "path", "last.content", "last.is_json")
-    )
-    value = F.when(F.col("is_json"), F.try_parse_json("content")).otherwise(
-        F.col("content").cast("variant")
-    )
-    member = F.to_json(F.create_map(F.col("path"), value))
-    members = unique.select(
-        key, "path", F.substring(member, F.lit(2), F.length(member) - 2).alias("member")
+
+    def member(p: Column) -> Column:
+        text = _content(p["payload"], p["payloadType"])
+        value = F.coalesce(_parsed(p["path"], p["payloadType"], text), text.cast("variant"))
+        pair = F.to_json(F.create_map(p["path"], value))
+        return F.substring(pair, F.lit(2), F.length(pair) - 2)
+
+    def numbered(p: Column, i: Column) -> Column:
+        return F.struct(p["path"].alias("path"), (-i).alias("age"), member(p).alias("member"))
+
+    parts = F.from_json(F.col(document), _PARTS)["definition"]["parts"]
+    members = documents.select(key, F.sort_array(F.transform(parts, numbered)).alias("members"))
+    latest = F.filter(
+        "members", lambda m, i: (i == 0) | (m["path"] != F.get(F.col("members"), i - 1)["path"])
     )
-    body = ordered_digest(
-        members,
-        keys=[key],
-        order=["path"],
-        line="member",
-        separator=",",
-        out="body",
-        heavy=heavy,
-        part_rows=part_rows,
+    texts = F.transform(latest, lambda m: m["member"])
+    return members.select(
+        key, F.concat(F.lit("{"), F.concat_ws(",", texts), F.lit("}")).alias("document")
     )
-    return body.select(key, "part", F.concat(F.lit("{"), "body", F.lit("}")).alias("document"))
 
 
 def write_documents(documents: DataFrame, path: str, document: str = "document") -> None:
