@@ -45,6 +45,46 @@ def find_heavy(df: DataFrame, keys: list[str], part_rows: int = PART_ROWS) -> He
     return Heavy(None, df.count())
 
 
+@dataclass(frozen=True)
+class Digest:
+    """Texts per group: `whole` holds one row per ordinary group, `parts` the rows of heavy ones."""
+
+    keys: list[str]
+    part: str
+    heavy: Heavy
+    whole: DataFrame | None
+    parts: DataFrame | None
+
+    def frame(self) -> DataFrame:
+        if self.parts is None:
+            return self.whole
+        return self.parts if self.whole is None else self.whole.unionByName(self.parts)
+
+    def attach(self, rows: DataFrame) -> DataFrame:
+        """Left join of rows that are unique on the keys. Rows without lines get part 1 and NULL.
+
+        If the digest was restricted by `only`, that must hold the keys of all these rows.
+        """
+        if self.heavy.none:
+            joined = rows.join(self.whole, self.keys, "left")
+        elif self.heavy.keys is None:
+            matched = rows.join(self.parts, self.keys)
+            missing = rows.join(self.parts.select(*self.keys).distinct(), self.keys, "left_anti")
+            joined = matched.unionByName(missing, allowMissingColumns=True)
+        else:
+            # The large parts stay where they are; their few rows come to them.
+            marks = _marks(rows.select(*self.keys), self.heavy)
+            few = F.broadcast(rows.join(marks, self.keys, "left_semi"))
+            light = rows.join(marks, self.keys, "left_anti").join(self.whole, self.keys, "left")
+            joined = light.unionByName(self.parts.join(few, self.keys))
+        return joined.withColumn(self.part, F.coalesce(self.part, F.lit(1).cast("bigint")))
+
+
+def _marks(keys: DataFrame, heavy: Heavy) -> DataFrame:
+    # At most MAX_HEAVY rows, so the broadcast has a fixed bound.
+    return F.broadcast(keys.sparkSession.createDataFrame(heavy.keys, keys.schema))
+
+
 def ordered_digest(
     df: DataFrame,
     keys: list[str],
@@ -57,7 +97,7 @@ def ordered_digest(
     part_rows: int = PART_ROWS,
     aggregates: dict[str, Column] | None = None,
     only: DataFrame | None = None,
-) -> DataFrame:
+) -> Digest:
     """Join the `line` texts of every group in the given order.
 
     `heavy` must come from `find_heavy` over the same rows or a superset. Lines that tie in `order`
@@ -69,59 +109,48 @@ def ordered_digest(
     columns = [*keys, part, *aggregates, out]
     if only is not None:
         only = only.select(*keys)
-    if heavy.none or heavy.keys is None:
-        df = df if only is None else df.join(only, keys, "left_semi")
-    if heavy.none:
-        df = df if only is not None else df.repartition(*keys)
-        return _whole(df, keys, order, line, separator, out, part, named).select(columns)
-    if heavy.keys is None:
-        return _sliced(
-            df, keys, order, line, separator, out, part, part_rows, heavy.rows, named
-        ).select(columns)
 
-    schema = df.select(*keys).schema
-    spark = df.sparkSession
-    # At most MAX_HEAVY rows, so the broadcast has a fixed bound.
-    marks = F.broadcast(spark.createDataFrame(heavy.keys, schema)).alias("marks")
-    same = None
-    for k in keys:
-        eq = F.col(f"rows.{k}").eqNullSafe(F.col(f"marks.{k}"))
-        same = eq if same is None else same & eq
-    rows = df.alias("rows")
-    light = rows.join(marks, same, "left_anti")
-    loaded = rows.join(marks, same, "left_semi")
-    if only is None:
-        light = light.repartition(*keys)
-    else:
-        # Heavy groups are set apart before the join, so that none of them meets it in one task;
-        # at most MAX_HEAVY of their keys are wanted, which bounds the broadcast.
-        light = light.join(only, keys, "left_semi")
-        wanted = only.join(spark.createDataFrame(heavy.keys, schema), keys, "left_semi").distinct()
-        loaded = loaded.join(F.broadcast(wanted), keys, "left_semi")
-    return (
-        _whole(light, keys, order, line, separator, out, part, named)
-        .select(columns)
-        .unionByName(
-            _sliced(
-                loaded, keys, order, line, separator, out, part, part_rows, heavy.rows, named
-            ).select(columns)
+    def whole(rows: DataFrame) -> DataFrame:
+        # Lists cannot be combined on the map side: collecting there would only sort every task's
+        # rows before the shuffle. They are shuffled as they are and collected once; a semi join on
+        # the keys has already put them in place.
+        if only is None:
+            rows = rows.repartition(*keys)
+        else:
+            rows = rows.join(only, keys, "left_semi")
+        return (
+            rows.groupBy(*keys)
+            .agg(_entries(order, line).alias("_entries"), *named)
+            .withColumn(out, _joined("_entries", line, separator))
+            .withColumn(part, F.lit(1).cast("bigint"))
+            .select(columns)
         )
-    )
 
+    def parts(rows: DataFrame) -> DataFrame:
+        texts = _sliced(rows, keys, order, line, separator, out, part, part_rows, heavy.rows)
+        if not named:
+            return texts.select(columns)
+        # One short row per group, computed with map-side combine.
+        facts = rows.groupBy(*keys).agg(*named)
+        if heavy.keys is not None:
+            facts = F.broadcast(facts)  # at most MAX_HEAVY rows
+        return _join_null_safe(texts, facts, keys).select(columns)
 
-def attach_digest(
-    rows: DataFrame, digest: DataFrame, key: str, part: str, heavy: Heavy
-) -> DataFrame:
-    """Left join of unique rows with their digest. Rows without one get part 1 and NULL texts."""
     if heavy.none:
-        joined = rows.join(digest, key, "left")
-    else:
-        # The many parts of a heavy group meet a single row. An outer join would do that in one
-        # task; an inner join is split by AQE, and rows without a digest are added afterwards.
-        matched = rows.join(digest, key)
-        missing = rows.join(digest.select(key).distinct(), key, "left_anti")
-        joined = matched.unionByName(missing, allowMissingColumns=True)
-    return joined.withColumn(part, F.coalesce(part, F.lit(1).cast("bigint")))
+        return Digest(keys, part, heavy, whole(df), None)
+    if heavy.keys is None:
+        if only is not None:
+            df = df.join(only, keys, "left_semi")
+        return Digest(keys, part, heavy, None, parts(df))
+
+    marks = _marks(df.select(*keys), heavy)
+    light = _join_null_safe(df, marks, keys, "left_anti")
+    loaded = _join_null_safe(df, marks, keys, "left_semi")
+    if only is not None:
+        # Heavy groups are set apart before the join with `only`, so that none meets it in one task.
+        wanted = only.join(marks, keys, "left_semi").distinct()
+        loaded = loaded.join(F.broadcast(wanted), keys, "left_semi")
+    return Digest(keys, part, heavy, whole(light), parts(loaded))
 
 
 def _entries(order: list[str], line: str) -> Column:
@@ -133,46 +162,33 @@ def _joined(entries: str, line: str, separator: str) -> Column:
     return F.concat_ws(separator, F.transform(F.sort_array(entries), lambda e: e[line]))
 
 
-# Lists cannot be combined on the map side: collecting there would only sort every task's rows before
-# the shuffle. Rows of bounded groups are therefore shuffled as they are (`repartition`) and collected
-# once; a semi join on the keys has already put them in place.
-def _whole(df, keys, order, line, separator, out, part, named) -> DataFrame:
-    grouped = df.groupBy(*keys).agg(_entries(order, line).alias("_entries"), *named)
-    return grouped.withColumn(out, _joined("_entries", line, separator)).withColumn(
-        part, F.lit(1).cast("bigint")
-    )
-
-
-def _sliced(
-    df, keys, order, line, separator, out, part, part_rows, total_rows, named
-) -> DataFrame:
+def _sliced(df, keys, order, line, separator, out, part, part_rows, total_rows) -> DataFrame:
     slices = max(1, min(MAX_SLICES, -(-total_rows // part_rows)))
     sort = [*keys, *order] if line in order else [*keys, *order, line]
     # One range shuffle sorts the heavy groups over many tasks; the position in that global order
     # says which part a line belongs to. Positions depend on values only, so a task that runs again
     # assigns the same ones.
-    placed = (
+    return (
         df.repartitionByRange(slices, *sort)
         .sortWithinPartitions(*sort)
         .withColumn("_position", F.monotonically_increasing_id())
         .withColumn(part, F.expr(f"_position div {part_rows} + 1"))
-    )
-    parts = (
-        placed.groupBy(*keys, part)
+        .groupBy(*keys, part)
         .agg(_entries(order, line).alias("_entries"))
         .withColumn(out, _joined("_entries", line, separator))
     )
-    if not named:
-        return parts
-    # One short row per heavy group, computed with map-side combine.
-    return _join_null_safe(parts, df.groupBy(*keys).agg(*named), keys)
 
 
-def _join_null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+def _join_null_safe(
+    left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner"
+) -> DataFrame:
     left, right = left.alias("l"), right.alias("r")
     same = None
     for k in keys:
         eq = F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}"))
         same = eq if same is None else same & eq
+    joined = left.join(right, same, how)
+    if how != "inner":
+        return joined
     extra = [F.col(f"r.{c}") for c in right.columns if c not in keys]
-    return left.join(right, same).select("l.*", *extra)
+    return joined.select("l.*", *extra)

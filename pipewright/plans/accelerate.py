@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pipewright.functions.dates import in_window
-from pipewright.operators.digest import PART_ROWS, attach_digest
+from pipewright.operators.digest import PART_ROWS
 from pipewright.operators.lookups import with_names
 from pipewright.plans.activity import delivered_activities
-from pipewright.plans.notes import heavy_notes, note_digest
+from pipewright.plans.notes import note_texts
 from pipewright.policy import AcceleratePolicy
 from pipewright.tables import Tables
 
@@ -29,11 +29,10 @@ def accelerate(t: Tables, p: AcceleratePolicy, part_rows: int = PART_ROWS) -> Da
     )
     candidates = opps.join(delivered.select("opp_id"), "opp_id", "left_semi")
     # Only notes of candidate deals are worth collecting.
-    heavy = heavy_notes(t, part_rows)
-    digest = note_digest(t, only=opps, part_rows=part_rows, heavy=heavy)
+    texts = note_texts(t, only=opps, part_rows=part_rows)
     # A customer must exist, a product need not.
     rows = (
-        attach_digest(candidates, digest, "opp_id", "notes_part", heavy)
+        texts.attach(candidates)
         .where(~F.col("last_signal").eqNullSafe(p.blocking_signal))
         .join(t.customers.select("customer_id", "customer_name"), "customer_id")
     )

@@ -8,8 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pipewright.operators.digest import PART_ROWS, attach_digest, find_heavy, ordered_digest
-from pipewright.plans.notes import SEPARATOR, dated, heavy_notes, note_digest
+from pipewright.operators.digest import PART_ROWS, find_heavy, ordered_digest
+from pipewright.plans.notes import SEPARATOR, dated, note_texts
 from pipewright.tables import Tables
 
 
@@ -52,9 +52,7 @@ def customer_360_opps(
     )
     selective = any(v is not None for v in (customer_name, product_name, customer_id, product_id))
     only = opps if selective else t.sales_opportunities.where(F.col("status") == "Open")
-    heavy = heavy_notes(t, part_rows)
-    digest = note_digest(t, only, part_rows, heavy).drop("last_signal")
-    return attach_digest(opps, digest, "opp_id", "notes_part", heavy).select(
+    return note_texts(t, only, part_rows).attach(opps).select(
         "customer_name",
         "type",
         "opp_id",
@@ -149,7 +147,7 @@ def critical_ticket_actions(
         part_rows=part_rows,
         only=critical,
     )
-    return attach_digest(tickets, actions, "ticket_id", "actions_part", heavy).select(
+    return actions.attach(tickets).select(
         "ticket_id",
         "customer_name",
         "product_name",

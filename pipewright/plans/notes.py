@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pipewright.functions.text import tag_list
-from pipewright.operators.digest import PART_ROWS, Heavy, find_heavy, ordered_digest
+from pipewright.operators.digest import PART_ROWS, Digest, find_heavy, ordered_digest
 from pipewright.tables import Tables
 
 SEPARATOR = ";\n\n"
@@ -16,24 +16,13 @@ def dated(at: str, text: Column) -> Column:
     return F.concat(F.date_format(F.col(at), "M/d/yyyy"), F.lit(": "), text)
 
 
-def heavy_notes(t: Tables, part_rows: int = PART_ROWS) -> Heavy:
-    """Opportunities with more notes than one text may hold."""
-    return find_heavy(t.opportunity_notes, ["opp_id"], part_rows)
-
-
-def note_digest(
-    t: Tables,
-    only: DataFrame | None = None,
-    part_rows: int = PART_ROWS,
-    heavy: Heavy | None = None,
-) -> DataFrame:
+def note_texts(t: Tables, only: DataFrame | None = None, part_rows: int = PART_ROWS) -> Digest:
     """Last signal and all notes of each opportunity, oldest first.
 
     `last_signal` is the type of the latest note; notes of the same day are told apart by id, so the
     answer never depends on row order. `only` restricts the work to some opportunities. An
     opportunity with more than `part_rows` notes gets several rows, numbered by `notes_part`.
     """
-    heavy = heavy or heavy_notes(t, part_rows)
     lines = t.opportunity_notes.select(
         "opp_id",
         "note_at",
@@ -48,7 +37,7 @@ def note_digest(
         line="line",
         separator=SEPARATOR,
         out="opp_notes",
-        heavy=heavy,
+        heavy=find_heavy(t.opportunity_notes, ["opp_id"], part_rows),
         part="notes_part",
         part_rows=part_rows,
         aggregates={"last_signal": F.max_by("note_type", F.struct("note_at", "note_id"))},
@@ -56,6 +45,11 @@ def note_digest(
     )
 
 
+def note_digest(t: Tables, part_rows: int = PART_ROWS) -> DataFrame:
+    """`note_texts` of all opportunities that have notes."""
+    return note_texts(t, part_rows=part_rows).frame()
+
+
 def tag_counts(t: Tables) -> DataFrame:
     """Number of notes per tag and note type."""
     return (

@@ -71,7 +71,7 @@ def markdown_render(
         heavy=heavy or find_heavy(df, keys, part_rows),
         part_rows=part_rows,
         aggregates={"_title": F.max(title)} if title else None,
-    )
+    ).frame()
     table = F.concat(F.lit(clean_text_literal(header([f.name for f in fields])) + "\n"), "_body")
     if title:
         table = F.concat(clean_text(as_title(F.col("_title"))), F.lit("\n\n"), table)

@@ -1,4 +1,4 @@
-"""Lead-to-cash tables derived from an order/line/event star schema.
+"""Sales and support tables derived from an order/line/event star schema.
 
 Everything is a row-wise projection of whole source tables, so reading a derived table costs one
 pruned scan; only the satisfaction scores aggregate. Dates that jobs filter on are plain casts of

@@ -1,4 +1,4 @@
-"""The eight lead-to-cash tables as one value."""
+"""The eight sales and support tables as one value."""
 
 from __future__ import annotations
 

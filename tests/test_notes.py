@@ -85,7 +85,7 @@ def test_too_many_heavy_groups_to_list(spark, rows, monkeypatch):
     assert longest <= 4
 
 
-def test_heavy_notes_keep_their_opportunity(spark, rows):
+def test_heavy_notes_keep_their_opportunity(spark, rows, monkeypatch):
     opps = [{"opp_id": o} for o in ["hot", "silent", *{r["opp_id"] for r in rows} - {"hot"}]]
     t = tables(
         spark,
@@ -103,6 +103,17 @@ def test_heavy_notes_keep_their_opportunity(spark, rows):
     assert whole.count() == len(opps)
     assert {r["opp_id"] for r in split.collect()} == {o["opp_id"] for o in opps}
     assert split.where("opp_id = 'silent'").collect()[0]["notes_part"] == 1
+    monkeypatch.setattr(digests, "MAX_HEAVY", 2)
+    sorted_route = customer360.customer_360_opps(t, part_rows=4)
+
+    def texts(df):
+        out = {}
+        for r in sorted(df.collect(), key=lambda r: r["notes_part"]):
+            out.setdefault(r["opp_id"], []).append(r["opp_notes"])
+        return {o: None if x == [None] else ";\n\n".join(x) for o, x in out.items()}
+
+    assert texts(whole) == texts(split) == texts(sorted_route)
+    monkeypatch.undo()
     policy = AcceleratePolicy(*month_window(2026, 2))
     quiet = {o for o, (signal, _) in brute_force(rows).items() if signal != "risk"} | {"silent"}
     for size in (1000, 12):

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pipewright.functions.text import BLANKS, clean_text
 from pipewright.plans import exchange, slip
 from pipewright.policy import SlipPolicy
-from pipewright.sources import answers, definitions, lakehouse, literal, scratch, tsv
+from pipewright.sources import answers, catalog, definitions, literal, scratch, tsv
 from pipewright.sources.schemas import SCHEMAS
 from pipewright.tables import Tables
 from tests.small import tables
@@ -157,17 +157,17 @@ def test_definition_documents(spark, tmp_path):
 
 def test_catalog_tables(spark, t, tmp_path):
     schema = f"ops_{uuid.uuid4().hex[:8]}"
-    saved = lakehouse.save_all(spark, t, schema, root=str(tmp_path / "plain"))
+    saved = catalog.save_all(spark, t, schema, root=str(tmp_path / "plain"))
     for name, df in t.items():
         assert exchange.difference(df, getattr(saved, name)).collect()[0]["num_different"] == 0
-    lakehouse.save(t.customers, f"{schema}.customers", mode="append", path=str(tmp_path / "plain/customers"))
+    catalog.save(t.customers, f"{schema}.customers", mode="append", path=str(tmp_path / "plain/customers"))
     assert Tables.from_catalog(spark, schema).customers.count() == 2
     spark.sql(f"DROP SCHEMA {schema} CASCADE")
 
 
 def test_bucketed_tables_join_without_shuffling_facts(spark, t, tmp_path):
     schema = f"ops_{uuid.uuid4().hex[:8]}"
-    saved = lakehouse.save_all(spark, t, schema, root=str(tmp_path / "bucketed"), buckets=4)
+    saved = catalog.save_all(spark, t, schema, root=str(tmp_path / "bucketed"), buckets=4)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
     try:
         last = saved.sales_activities.groupBy("opp_id").agg(F.max("activity_at").alias("at"))
