@@ -107,13 +107,14 @@ def ground_truth(
             raise ValueError("give one title per statement, or none")
         for position, (statement, title) in enumerate(zip(seed.statements, titles)):
             path = scratch_path(spark, "answer")
-            spark.sql(statement).write.parquet(path)
-            answer = spark.read.parquet(path)
+            answer = spark.sql(statement)
             columns = answer.columns
-            keyed = answer.withColumn("_seed", F.lit(number))
+            answer = answer.withColumn("_seed", F.lit(number))
             if title:
-                keyed = keyed.withColumn("_heading", F.lit(title))
-            if answer.isEmpty():
+                answer = answer.withColumn("_heading", F.lit(title))
+            answer.write.parquet(path)
+            keyed = spark.read.parquet(path)
+            if keyed.isEmpty():
                 items.append(
                     literal_table(
                         spark,
