@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 from datetime import date
 
@@ -240,6 +241,28 @@ def entry(spark: SparkSession) -> DataFrame:
     return slip.slip_risk_top(star.load(spark, SF_DIR), SLIP)
 
 
+def _optional(module: str):
+    """A module, or None where it is not there; any other import error is one."""
+    try:
+        return importlib.import_module(module)
+    except ModuleNotFoundError as missing:
+        if missing.name not in (module, "pipewright.llm"):
+            raise
+        return None
+
+
+def _training_data() -> tuple[dict, dict]:
+    """Queries and SQL of the optional subpackage and of the pipeline over it."""
+    jobs, sql = {}, {}
+    if llm := _optional("pipewright.llm.queries"):
+        jobs, sql = llm.queries(), llm.oracle_sql()
+    if pipe := _optional("corpus_pipeline"):
+        jobs["pipeline"] = pipe.run
+        if pipe.ORACLE_SQL:
+            sql["pipeline"] = pipe.ORACLE_SQL
+    return jobs, sql
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     jobs = {
         "opp_last_activity": activity.opp_last_activity,
@@ -316,8 +339,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "eval_scores": lambda spark, sf_dir: _runs(star.load(spark, sf_dir))["stale stages only"],
         "eval_details": lambda spark, sf_dir: evaluate.eval_details(_stored_runs(spark, sf_dir)),
         "eval_summary": lambda spark, sf_dir: evaluate.eval_summary(_stored_runs(spark, sf_dir)),
+        **_training_data()[0],
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracle_statements()
+    return {**oracle_statements(), **_training_data()[1]}
