@@ -19,6 +19,40 @@ WITH v AS (
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
 """
 
+_WORDS = (
+    "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', "
+    "'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+)
+_BENCHMARK = f"""
+WITH item AS (
+  SELECT item_id, {_WORDS} AS w FROM benchmark
+), phrase AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS n,
+         array_to_string(w[i : i + least(len(w), 10) - 1], ' ') AS phrase
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM item WHERE len(w) > 0)
+), doc AS (
+  SELECT doc_id, {_WORDS} AS w FROM documents
+), place AS (
+  SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM doc
+), found AS (
+  SELECT place.doc_id, place.i, phrase.n, phrase.item_id
+  FROM (SELECT DISTINCT n FROM phrase) size
+  JOIN place ON place.i + size.n - 1 <= len(place.w)
+  JOIN phrase ON phrase.n = size.n
+    AND phrase.phrase = array_to_string(place.w[place.i : place.i + size.n - 1], ' ')
+), hit AS (
+  SELECT doc_id, count(DISTINCT spot) AS n_hit
+  FROM (SELECT doc_id, unnest(range(i, i + n)) AS spot FROM found) GROUP BY doc_id
+), items AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM found) GROUP BY doc_id
+)
+SELECT doc.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
+       coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AS contaminated
+FROM doc LEFT JOIN hit ON hit.doc_id = doc.doc_id LEFT JOIN items ON items.doc_id = doc.doc_id
+"""
+
 _LINE_KEY = (
     "translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), "
     "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -43,4 +77,4 @@ SELECT doc_id, count(*) AS n_lines, CAST(count(*) FILTER (WHERE gone) AS BIGINT)
 FROM marked GROUP BY doc_id
 """
 
-ORACLES = {"op4_exact_top_k": _TOP_K, "op6_line_dedup": _LINES}
+ORACLES = {"op5_decontamination": _BENCHMARK, "op4_exact_top_k": _TOP_K, "op6_line_dedup": _LINES}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pipewright.llm import line_dedup, secrets, sharding, topk
+from pipewright.llm import decontaminate, line_dedup, secrets, sharding, topk
 from pipewright.llm.common import read_table
 from pipewright.llm.oracles import ORACLES
 
@@ -30,6 +30,21 @@ def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, F.col("vec_id") % 100 == 0)
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.decontaminated(
+        read_table(spark, sf_dir, "documents").select("doc_id", "text"),
+        read_table(spark, sf_dir, "benchmark"),
+    )
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_dedup.drop_repeated_lines(docs).select(
@@ -45,6 +60,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_sharding": op2_sharding,
         "op4_exact_top_k": op4_exact_top_k,
+        "op5_decontamination": op5_decontamination,
         "op6_line_dedup": op6_line_dedup,
         "op7_secret_scan": op7_secret_scan,
     }
