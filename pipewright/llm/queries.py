@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pipewright.llm import decontaminate, jaccard_join, line_dedup, secrets, sharding, topk
+from pipewright.llm import decontaminate, jaccard_join, language, line_dedup, secrets, sharding, topk
 from pipewright.llm.common import read_table
 from pipewright.llm.oracles import ORACLES
 
@@ -56,6 +56,12 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.secret_scan(read_table(spark, sf_dir, "documents")))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(read_table(spark, sf_dir, "documents")).select(
+        "doc_id", "held_out", "lang_pred", "score", "entropy", "rejected"
+    )
+
+
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(read_table(spark, sf_dir, "documents"))
 
@@ -67,6 +73,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_decontamination": op5_decontamination,
         "op6_line_dedup": op6_line_dedup,
         "op7_secret_scan": op7_secret_scan,
+        "op9_language_id": op9_language_id,
         "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
     }
 
