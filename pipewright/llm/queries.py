@@ -7,10 +7,35 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pipewright.llm import decontaminate, jaccard_join, language, line_dedup, secrets, sharding, topk
+from pipewright.llm import (
+    decontaminate,
+    jaccard_join,
+    language,
+    licenses,
+    line_dedup,
+    mixing,
+    quality,
+    secrets,
+    sharding,
+    topk,
+)
 from pipewright.llm.common import read_table
 from pipewright.llm.oracles import ORACLES
 
+# Shares of a thousand: the largest source is held down, the others are about even.
+WEIGHTS = {"src0": 100, **{f"src{i}": 45 if i <= 10 else 50 for i in range(1, 20)}}
+OTHER_WEIGHT = 25
+
+
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.classify(
+        read_table(spark, sf_dir, "documents"),
+        read_table(spark, sf_dir, "labels"),
+        ["quality", "toxic"],
+    )
+    keep = (F.col("quality") >= 0.5) & (F.col("toxic") < 0.5)
+    return judged.select("doc_id", "quality", "quality_site", "toxic", "toxic_site", keep.alias("keep"))
+
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
@@ -25,6 +50,13 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return licenses.license_scan(docs).select(
+        "doc_id", F.array_join("licenses", ",").alias("licenses"), "license", "dice"
+    )
+
+
 def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = read_table(spark, sf_dir, "embeddings")
     return topk.top_k(vectors, F.col("vec_id") % 100 == 0)
@@ -56,6 +88,13 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.secret_scan(read_table(spark, sf_dir, "documents")))
 
 
+def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return mixing.mixed(docs, WEIGHTS, other=OTHER_WEIGHT).select(
+        "doc_id", "mix_source", "block", "slot", "position"
+    )
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(read_table(spark, sf_dir, "documents")).select(
         "doc_id", "held_out", "lang_pred", "score", "entropy", "rejected"
@@ -68,11 +107,14 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_quality": op1_quality,
         "op2_sharding": op2_sharding,
+        "op3_license_scan": op3_license_scan,
         "op4_exact_top_k": op4_exact_top_k,
         "op5_decontamination": op5_decontamination,
         "op6_line_dedup": op6_line_dedup,
         "op7_secret_scan": op7_secret_scan,
+        "op8_source_mixing": op8_source_mixing,
         "op9_language_id": op9_language_id,
         "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
     }
