@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import importlib
+import uuid
 from collections.abc import Callable
+from dataclasses import replace
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from oracles import oracle_statements
-from oracles.seeds import PHRASINGS, SEEDS
+from oracles.definition import MODEL_DOCUMENT
+from oracles.seeds import ALTERED, PHRASINGS, SEEDS
 from pipewright.functions.dates import month_window
 from pipewright.functions.text import clean_text
 from pipewright.operators.lookups import stacked
@@ -30,9 +33,16 @@ from pipewright.plans import (
     truth,
 )
 from pipewright.policy import AcceleratePolicy, RenewalPolicy, SlipPolicy
-from pipewright.sources import star
-from pipewright.sources.definitions import definition_documents, definition_parts
+from pipewright.sources import catalog, star
+from pipewright.sources.answers import evaluation_input, read_answers, write_answers
+from pipewright.sources.definitions import (
+    definition_documents,
+    definition_parts,
+    read_documents,
+    write_documents,
+)
 from pipewright.sources.literal import INT, TEXT, literal_table
+from pipewright.sources.model import load_model
 from pipewright.sources.scratch import scratch_path
 from pipewright.tables import Tables
 
@@ -116,21 +126,25 @@ def _product_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("p_partkey").alias("id"))
 
 
-def _generated(job: Callable[[DataFrame, date], DataFrame]):
-    return lambda spark, sf_dir: job(
-        generate.gen_customers(_customer_ids(spark, sf_dir)), date(2026, 3, 8)
-    )
+def _generated(job: Callable[..., DataFrame], products: bool = False):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        frames = [generate.gen_customers(_customer_ids(spark, sf_dir))]
+        if products:
+            frames.append(generate.gen_products(_product_ids(spark, sf_dir)))
+        return job(*frames, date(2026, 3, 8))
+
+    return run
 
 
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every free text of the given tables, cleaned whole."""
 
-    def read(table: str, *key: str) -> DataFrame:
-        columns = ", ".join(f"{k} bigint" for k in key) + ", text string"
+    def read(table: str, *key: str, text: str = "text") -> DataFrame:
+        columns = ", ".join(f"{k} bigint" for k in key) + f", {text} string"
         return spark.read.schema(columns).parquet(f"{sf_dir}/{table}.parquet").select(
             F.lit(table).alias("source"),
             F.concat_ws("/", *[F.col(k).cast("string") for k in key]).alias("row_id"),
-            clean_text(F.col("text")).alias("cleaned"),
+            clean_text(F.col(text)).alias("cleaned"),
         )
 
     return stacked(
@@ -138,13 +152,14 @@ def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
             read("documents", "doc_id"),
             read("benchmark", "item_id"),
             read("conversations", "conv_id", "turn"),
+            read("pages", "page_id", text="html"),
         ]
     )
 
 
 def _definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One definition document per event, with an encoded JSON part (broken for errors), an encoded
-    text part and a part that is not encoded."""
+    text part (broken for some) and a part that is not encoded; some documents are cut off."""
     name = "concat('items/', event_id, '/"
     events = spark.read.schema(star.COLUMNS["events"]).parquet(f"{sf_dir}/events.parquet")
     return events.selectExpr(
@@ -154,11 +169,12 @@ def _definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
                    base64(cast(if(event_type = 'error', concat('broken ', props), props) AS binary))
                      AS payload,
                    'InlineBase64' AS payloadType),
-            struct({name}notes.txt') AS path, base64(cast(props AS binary)) AS payload,
+            struct({name}notes.txt') AS path,
+                   if(event_id % 59 = 0, '%%%', base64(cast(props AS binary))) AS payload,
                    'InlineBase64' AS payloadType),
             struct('.platform' AS path, event_type AS payload, 'InlineText' AS payloadType)
-        ) AS parts) AS definition)) AS document""",
-    )
+        ) AS parts) AS definition)) AS whole""",
+    ).selectExpr("item", "if(item % 53 = 0, substr(whole, 1, 30), whole) AS document")
 
 
 def _definition_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -169,8 +185,33 @@ def _definition_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return definition_documents(_definitions(spark, sf_dir), "item", "document")
 
 
+def _documents_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Definition documents written, one a line, read back and compared."""
+    documents = _definition_documents(spark, sf_dir).where("document IS NOT NULL").select("document")
+    path = scratch_path(spark, "documents")
+    write_documents(documents, path)
+    return exchange.difference(documents, read_documents(spark, path))
+
+
+def _model(spark: SparkSession, sf_dir: str):
+    """The model as its own definition document, read back, and the tables it binds."""
+    document = literal_table(spark, [("item", TEXT), ("document", TEXT)], [("model", MODEL_DOCUMENT)])
+    return load_model(definition_parts(document, "item", "document")), star.load(spark, sf_dir)
+
+
+def _defined_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model, tables = _model(spark, sf_dir)
+    return ontology.entity_index(tables, model.entities)
+
+
+def _defined_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model, tables = _model(spark, sf_dir)
+    return ontology.edges(tables, model.relationships)
+
+
 def _markdown(t: Tables) -> DataFrame:
-    """Open opportunities of every customer as one table under the customer's name."""
+    """Open opportunities of every customer, a table for each closing year under the customer's
+    name."""
     rows = (
         t.sales_opportunities.where(F.col("status") == "Open")
         .join(t.customers, "customer_id")
@@ -185,12 +226,14 @@ def _markdown(t: Tables) -> DataFrame:
             "renewal_term_months",
         )
     )
-    return truth.markdown_render(rows, ["customer_id"], ["opp_id"], title="customer_name")
+    rows = rows.withColumn("close_year", F.year("expected_close_date"))
+    return truth.markdown_render(
+        rows, ["customer_id", "close_year"], ["opp_id"], title="customer_name"
+    )
 
 
 def _ground_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    star.load(spark, sf_dir).register()
-    return truth.ground_truth(spark, SEEDS)
+    return truth.ground_truth(star.load(spark, sf_dir), SEEDS)
 
 
 def _ground_truth_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -210,30 +253,80 @@ def _question_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.date_format("expected_close_date", "yyyy-MM").alias("value"),
     )
     lines = t.products.select(F.lit("product").alias("kind"), F.col("product_line").alias("value"))
+    overrides = literal_table(
+        spark,
+        [("kind", TEXT), ("value", TEXT)],
+        [("policy", f"{p.window_start:%Y-%m} with {p.activity_days} quiet days") for p in SLIP_SWEEP],
+    )
     each_seed = F.explode(F.array(*[F.lit(s) for s in dict.fromkeys(seed_ids)])).alias("seed_id")
-    variants = months.unionByName(lines).distinct().select("kind", "value", each_seed)
+    variants = months.unionByName(lines).unionByName(overrides).distinct().select("kind", "value", each_seed)
     return truth.question_variants(seeds, variants, phrasings)
 
 
-def _runs(t: Tables) -> dict[str, DataFrame]:
-    """Two evaluation runs: answers given under other policies than the expected ones."""
-    expected = slip.slip_sweep(t, monthly_policies())
-    return {
-        "stale stages only": evaluate.eval_scores(
-            expected, slip.slip_sweep(t, monthly_policies(stagnant_days=60)), "policy_id"
-        ),
-        "exact tags": evaluate.eval_scores(
-            expected, slip.slip_sweep(t, monthly_policies(exact_tag="risk")), "policy_id"
-        ),
-    }
+EXPECTED = "expected"
+RUNS = ["stale stages only", "exact tags"]
 
 
-def _stored_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Both runs appended to one results table in the shared folder."""
-    path = scratch_path(spark, "evaluation")
-    for run, scores in _runs(star.load(spark, sf_dir)).items():
-        evaluate.recorded(scores, run).write.mode("append").parquet(path)
-    return spark.read.parquet(path)
+def _asked_policies(run: str, **overrides) -> list[SlipPolicy]:
+    """The monthly questions as one run asks them, and one that no opportunity answers."""
+    nothing = SlipPolicy(
+        *month_window(2030, 1), as_of=AS_OF, base=date(2030, 1, 1), policy_id="2030-01", **overrides
+    )
+    return [
+        replace(p, policy_id=f"{run}/{p.policy_id}")
+        for p in [*monthly_policies(**overrides), nothing]
+    ]
+
+
+def _eval_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two runs that answer under other policies than the expected ones, in one sweep."""
+    policies = [
+        *_asked_policies(EXPECTED),
+        *_asked_policies(RUNS[0], stagnant_days=60),
+        *_asked_policies(RUNS[1], exact_tag="risk"),
+    ]
+    swept = slip.slip_sweep(star.load(spark, sf_dir), policies)
+    answers = swept.withColumn("run", F.substring_index("policy_id", "/", 1)).withColumn(
+        "policy_id", F.substring_index("policy_id", "/", -1)
+    )
+    asked = [(p.policy_id.split("/")[1],) for p in _asked_policies(EXPECTED)]
+    questions = literal_table(spark, [("policy_id", TEXT)], asked)
+    return evaluate.eval_scores(answers, questions, "policy_id", EXPECTED, RUNS)
+
+
+def _stored_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scores appended to a named results table, and the table read back."""
+    spark.sql("CREATE SCHEMA IF NOT EXISTS evaluation")
+    name = f"evaluation.results_{uuid.uuid4().hex}"
+    path = scratch_path(spark, "results")
+    for run in RUNS:
+        scores = _eval_scores(spark, sf_dir).where(F.col("evaluation_id") == run)
+        catalog.save(scores, name, mode="append", path=path)
+    return spark.table(name)
+
+
+def _eval_written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Written answers against those to questions asked a little differently: the expected side is
+    read from the file of questions and answers."""
+    tables = star.load(spark, sf_dir)
+    path = scratch_path(spark, "answers")
+    write_answers(truth.ground_truth(tables, SEEDS).where("part = 'all'"), path)
+    schema = "question string, sql string, part string, result string"
+    expected = evaluation_input(read_answers(spark, path, schema))
+    changed = [replace(s, statements=(ALTERED.get(s.question, s.statements[0]), *s.statements[1:])) for s in SEEDS]
+    actual = truth.ground_truth(tables, changed).where("part = 'all'")
+    answers = evaluate.answer_lines(
+        expected.withColumnRenamed("expected_answer", "answer"), EXPECTED
+    ).union(evaluate.answer_lines(actual.select("question", F.col("result").alias("answer")), "altered"))
+    return evaluate.eval_scores(answers, expected, "question", EXPECTED, ["altered"])
+
+
+def _catalog_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All tables saved below a schema, read by `schema.table` and compared."""
+    tables = star.load(spark, sf_dir)
+    schema = f"exchange_{uuid.uuid4().hex}"
+    copy = catalog.save_all(spark, tables, schema, root=scratch_path(spark, "catalog"))
+    return exchange.differences(tables, copy)
 
 
 def entry(spark: SparkSession) -> DataFrame:
@@ -291,6 +384,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "customer_360_tickets": customer360.customer_360_tickets,
         "customer_top_opps": customer360.customer_top_opps,
         "critical_ticket_actions": customer360.critical_ticket_actions,
+        "customer_360_opps_scoped": lambda t: customer360.customer_360_opps(
+            t, customer_id=1, product_id=6
+        ),
+        "customer_360_tickets_scoped": lambda t: customer360.customer_360_tickets(
+            t, customer_id=2, product_id=72
+        ),
+        "critical_ticket_actions_scoped": lambda t: customer360.critical_ticket_actions(
+            t, customer_id=7
+        ),
         "pipeline_health": pipeline.pipeline_health,
         "pipeline_by_line": pipeline.pipeline_by_line,
         "support_performance": pipeline.support_performance,
@@ -304,6 +406,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "traverse_path_customer_opportunity_note": lambda t: ontology.traverse(
             t, ["has_opportunity", "has_opportunity_note"]
         ),
+        "traverse_path_customer_opportunity_product": lambda t: ontology.traverse(
+            t, ["has_opportunity", "has_opportunity_product"]
+        ),
+        "traverse_path_customer_opportunity_activity": lambda t: ontology.traverse(
+            t, ["has_opportunity", "has_opportunity_activity"]
+        ),
+        "traverse_path_customer_ticket_activity": lambda t: ontology.traverse(
+            t, ["has_ticket", "has_support_activity"]
+        ),
         "vocab_violations": checks.vocab_violations,
         "orphan_rows": checks.orphan_rows,
         "key_violations": checks.key_violations,
@@ -315,30 +426,35 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         jobs[f"entity_view_{name}"] = lambda t, name=name: ontology.entity_view(t, name)
     generators = {
         "gen_csat": generate.gen_csat,
-        "gen_tickets": generate.gen_tickets,
         "gen_support_activities": generate.gen_support_activities,
-        "gen_opportunities": generate.gen_opportunities,
         "gen_sales_activities": generate.gen_sales_activities,
         "gen_notes": generate.gen_notes,
     }
     return {
         **{name: _on_tables(job) for name, job in jobs.items()},
         **{name: _generated(job) for name, job in generators.items()},
+        "gen_tickets": _generated(generate.gen_tickets, products=True),
+        "gen_opportunities": _generated(generate.gen_opportunities, products=True),
         "gen_dimensions": lambda spark, sf_dir: generate.gen_dimensions(
             _customer_ids(spark, sf_dir), _product_ids(spark, sf_dir)
         ),
         "clean_text": _texts,
         "definition_parts": _definition_parts,
         "definition_documents": _definition_documents,
+        "documents_roundtrip": _documents_roundtrip,
+        "entity_index_from_definition": _defined_entities,
+        "edges_from_definition": _defined_edges,
         "tsv_roundtrip": lambda spark, sf_dir: exchange.tsv_roundtrip(
             spark, star.load(spark, sf_dir)
         ),
         "ground_truth": _ground_truth,
         "ground_truth_roundtrip": _ground_truth_roundtrip,
         "question_variants": _question_variants,
-        "eval_scores": lambda spark, sf_dir: _runs(star.load(spark, sf_dir))["stale stages only"],
-        "eval_details": lambda spark, sf_dir: evaluate.eval_details(_stored_runs(spark, sf_dir)),
-        "eval_summary": lambda spark, sf_dir: evaluate.eval_summary(_stored_runs(spark, sf_dir)),
+        "eval_scores": _eval_scores,
+        "eval_details": lambda spark, sf_dir: evaluate.eval_details(_stored_scores(spark, sf_dir)),
+        "eval_summary": lambda spark, sf_dir: evaluate.eval_summary(_stored_scores(spark, sf_dir)),
+        "eval_written_answers": _eval_written,
+        "catalog_roundtrip": _catalog_roundtrip,
         **_training_data()[0],
     }
 

@@ -128,6 +128,21 @@ MODEL = {
           'sales_note' AS dst_type, CAST(n.note_id AS VARCHAR) AS dst_id, count(*) AS num_paths
         FROM sales_opportunities o JOIN opportunity_notes n ON n.opp_id = o.opp_id
         GROUP BY o.customer_id, n.note_id""",
+    "traverse_path_customer_opportunity_product": """
+        SELECT 'customer' AS src_type, CAST(customer_id AS VARCHAR) AS src_id,
+          'product' AS dst_type, CAST(product_id AS VARCHAR) AS dst_id, count(*) AS num_paths
+        FROM sales_opportunities GROUP BY customer_id, product_id""",
+    "traverse_path_customer_opportunity_activity": """
+        SELECT 'customer' AS src_type, CAST(customer_id AS VARCHAR) AS src_id,
+          'sales_activity' AS dst_type, CAST(activity_id AS VARCHAR) AS dst_id, count(*) AS num_paths
+        FROM sales_opportunities JOIN sales_activities USING (opp_id)
+        GROUP BY customer_id, activity_id""",
+    "traverse_path_customer_ticket_activity": """
+        SELECT 'customer' AS src_type, CAST(customer_id AS VARCHAR) AS src_id,
+          'support_activity' AS dst_type, CAST(activity_id AS VARCHAR) AS dst_id,
+          count(*) AS num_paths
+        FROM support_tickets JOIN support_activities USING (ticket_id)
+        GROUP BY customer_id, activity_id""",
     "vocab_violations": " UNION ALL ".join(
         f"SELECT '{table}' AS table_name, '{column}' AS column_name, {column} AS value, "
         f"count(*) AS num_rows FROM {table} WHERE {column} NOT IN ({values}) GROUP BY {column}"
@@ -165,3 +180,6 @@ MODEL = {
         for table in _TABLES
     ),
 }
+MODEL["entity_index_from_definition"] = MODEL["entity_index"]
+MODEL["edges_from_definition"] = MODEL["edges"]
+MODEL["catalog_roundtrip"] = MODEL["tsv_roundtrip"]

@@ -4,76 +4,67 @@ from __future__ import annotations
 
 from pipewright.plans.truth import Seed
 
-SLIP_QUESTION = """
-Which open deals closing in February 2000 may slip, and why?
-A deal may slip when nothing was done for two weeks, when its stage is older than three weeks,
-or when recent notes or severe tickets put the delivery at risk.
-Show opportunity, customer, amount and the three "signals".
+QUIET_QUESTION = """
+Which open deals closing in February 2000 saw no activity since the "first" of that month?
+Show when they close, their amount, and how many notes of type risk they have.
 """
 
-SLIP_SQL = """
-SELECT o.opp_id, c.customer_name, o.amount,
-       int(a.last_day IS NULL OR a.last_day < DATE'2000-02-01') AS no_activity_flag,
-       int(o.stage_last_changed_at < DATE'2000-01-25') AS stage_stagnant_flag,
-       int(EXISTS (SELECT 1 FROM opportunity_notes n
-                   WHERE n.opp_id = o.opp_id AND n.note_at >= DATE'1999-12-03'
-                     AND (contains(n.tags, 'risk') OR n.note_type = 'risk'))
-           OR EXISTS (SELECT 1 FROM support_tickets s
-                   WHERE s.customer_id = o.customer_id AND s.product_id = o.product_id
-                     AND s.opened_at >= DATE'1999-12-03' AND s.status = 'Open'
-                     AND s.severity IN ('High', 'Critical'))) AS delivery_risk_flag
-FROM sales_opportunities o
-LEFT JOIN (SELECT opp_id, max(activity_at) AS last_day FROM sales_activities GROUP BY opp_id) a
-       USING (opp_id)
-LEFT JOIN customers c USING (customer_id)
-WHERE o.status = 'Open'
-  AND o.expected_close_date >= DATE'2000-02-01' AND o.expected_close_date < DATE'2000-03-01'
+QUIET_SQL = """
+SELECT deal.expected_close_date, deal.opp_id, deal.amount, count(note.note_id) AS risk_notes
+FROM {sales_opportunities} AS deal
+LEFT ANTI JOIN {sales_activities} AS recent
+  ON recent.opp_id = deal.opp_id AND recent.activity_at >= DATE'2000-02-01'
+LEFT JOIN {opportunity_notes} AS note ON note.opp_id = deal.opp_id AND note.note_type = 'risk'
+WHERE deal.status = 'Open' AND trunc(deal.expected_close_date, 'month') = DATE'2000-02-01'
+GROUP BY ALL
 """
 
-RENEWAL_QUESTION = """
-Which renewals of February to April 2000 are at risk?
-Little expansion means less than 100000 of open expansion and project deals;
-many incidents means at least three open tickets of high or critical severity.
+LOAD_QUESTION = """
+How many open tickets of each severity do customers with a renewal in the second quarter
+of 2000 have, and how many such customers are there?
 """
 
-RENEWAL_SQL = """
-WITH growth AS (
-  SELECT customer_id, sum(amount) AS expansion_amount FROM sales_opportunities
-  WHERE status = 'Open' AND type IN ('Expansion', 'Project') GROUP BY customer_id
-), trouble AS (
-  SELECT customer_id, count(*) AS num_incidents FROM support_tickets
-  WHERE status = 'Open' AND severity IN ('High', 'Critical') GROUP BY customer_id
-)
-SELECT r.opp_id, r.expected_close_date, ifnull(g.expansion_amount, 0D) AS expansion_amount,
-       ifnull(b.num_incidents, 0L) AS num_incidents
-FROM sales_opportunities r
-LEFT JOIN growth g USING (customer_id)
-LEFT JOIN trouble b USING (customer_id)
-WHERE r.type = 'Renewal'
-  AND r.expected_close_date >= DATE'2000-02-01' AND r.expected_close_date < DATE'2000-05-01'
-  AND (ifnull(g.expansion_amount, 0D) < 100000 OR ifnull(b.num_incidents, 0L) >= 3)
+LOAD_SQL = """
+SELECT severity, count(DISTINCT customer_id) AS num_customers, count(*) AS num_tickets
+FROM {support_tickets}
+WHERE status = 'Open' AND customer_id IN (
+  SELECT customer_id FROM {sales_opportunities}
+  WHERE type = 'Renewal' AND expected_close_date BETWEEN DATE'2000-04-01' AND DATE'2000-06-30')
+GROUP BY severity
 """
 
+NOTHING_QUESTION = "Which products have a name of a single letter?"
+
+NOTHING_SQL = "SELECT product_id, product_name FROM {products} WHERE length(product_name) = 1"
+
 OVERVIEW_QUESTION = """
 Give an overview of the book: open opportunities per stage, and open tickets per severity.
 """
 
 STAGE_SQL = """
 SELECT stage, count(*) AS num_opps, max(is_forecast) AS any_forecast
-FROM sales_opportunities WHERE status = 'Open' GROUP BY stage
+FROM {sales_opportunities} WHERE status = 'Open' GROUP BY stage
 """
 
 SEVERITY_SQL = """
 SELECT severity, count(*) AS num_tickets, max(nullif(channel, 'Portal')) AS last_channel
-FROM support_tickets WHERE status = 'Open' GROUP BY severity
+FROM {support_tickets} WHERE status = 'Open' GROUP BY severity
 """
 
 SEEDS = [
-    Seed(SLIP_QUESTION, (SLIP_SQL,)),
-    Seed(RENEWAL_QUESTION, (RENEWAL_SQL,)),
+    Seed(QUIET_QUESTION, (QUIET_SQL,), part_by="expected_close_date"),
+    Seed(LOAD_QUESTION, (LOAD_SQL,)),
+    Seed(NOTHING_QUESTION, (NOTHING_SQL,)),
     Seed(OVERVIEW_QUESTION, (STAGE_SQL, SEVERITY_SQL), ("Opportunities", "Tickets:")),
 ]
 
+# The same questions, answered by other statements.
+ALTERED = {
+    QUIET_QUESTION: QUIET_SQL.replace("count(note.note_id)", "0 * count(note.note_id)"),
+    LOAD_QUESTION: LOAD_SQL.replace("status = 'Open' AND", "status = 'Open' AND severity <> 'Low' AND"),
+    OVERVIEW_QUESTION: STAGE_SQL.replace("max(is_forecast)", "min(NOT is_forecast)"),
+}
+
 PHRASINGS = [
     ("slip", 1, "Which open deals may slip for {value}, and why?"),
     ("slip", 2, "List opportunities at risk of slipping for {value} with the reason."),

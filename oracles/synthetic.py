@@ -1,5 +1,7 @@
 """Generated tables, drawn again with DuckDB's md5."""
 
+from pipewright.plans import generate
+
 SEED = 42
 AS_OF = "DATE '2026-03-08'"
 START = "DATE '2025-07-01'"
@@ -30,17 +32,38 @@ def _capped(day: str, cap: str = AS_OF) -> str:
     return f"least({day}, {cap})"
 
 
-NAMES = ("Banco Aurora", "Cassa Nova", "EuroTrust Bank", "Mediterraneo Credito", "Alpine Bank")
-COUNTRIES = ("IT", "IT", "DE", "ES", "CH")
-PRODUCTS = ("Account Ledger", "Loan Origination", "Customer 360", "AML Monitor",
-            "KYC Orchestrator", "Stress Test Pro", "Real-Time Payments", "Treasury Manager")
-LINES = ("Core Banking Suite",) * 3 + ("Risk & Compliance",) * 3 + ("Payments & Treasury",) * 2
+# The fixed lists of the synthetic business are stated once, in the generator.
+NAMES, COUNTRIES = zip(*generate.CUSTOMERS)
+PRODUCTS, LINES = zip(*generate.PRODUCTS)
+
+
+def _wide(h: str, n: str) -> str:
+    return f"CAST('0x' || substr({h}, 1, 8) AS BIGINT) % {n}"
+
 
 
 def _list(values: tuple) -> str:
     return "[" + ", ".join(f"'{v}'" for v in values) + "]"
 
 
+_NAMED = f"""
+  SELECT printf('P%03d', p_partkey + 1) AS product_id,
+    ({_list(PRODUCTS)})[p_partkey % {len(PRODUCTS)} + 1]
+      || CASE WHEN p_partkey < {len(PRODUCTS)} THEN '' ELSE ' ' || (p_partkey + 1) END AS product_name
+  FROM part"""
+_PLACED = f"""
+  SELECT product_id, product_name,
+    row_number() OVER (ORDER BY {_wide(_h('product place', 'product_id'), '1024')}, product_id) - 1
+      AS place
+  FROM ({_NAMED})"""
+
+
+def _product(label: str, key: str) -> str:
+    """A join with the product that a row draws."""
+    drawn = _wide(_h(label, key), "(SELECT count(*) FROM part)")
+    return f"JOIN ({_PLACED}) ON place = {drawn}"
+
+
 CUSTOMER = "SELECT c_custkey AS no, printf('C%03d', c_custkey + 1) AS customer_id FROM customer"
 
 TICKET_BASE = f"""
@@ -81,16 +104,15 @@ OPPORTUNITIES = f"""
 SYNTHETIC = {
     "gen_dimensions": f"""
         SELECT 'customer' AS dimension, printf('C%03d', c_custkey + 1) AS id,
-          ({_list(NAMES)})[c_custkey % 5 + 1]
+          ({_list(NAMES)})[c_custkey % {len(NAMES)} + 1]
             || CASE WHEN c_custkey < 5 THEN '' ELSE ' ' || (c_custkey + 1) END AS name,
-          ({_list(COUNTRIES)})[c_custkey % 5 + 1] AS attribute
+          ({_list(COUNTRIES)})[c_custkey % {len(NAMES)} + 1] AS attribute
         FROM customer
         UNION ALL
-        SELECT 'product', printf('P%03d', p_partkey + 1),
-          ({_list(PRODUCTS)})[p_partkey % 8 + 1]
-            || CASE WHEN p_partkey < 8 THEN '' ELSE ' ' || (p_partkey + 1) END,
-          ({_list(LINES)})[p_partkey % 8 + 1]
-        FROM part""",
+        SELECT 'product', product_id, product_name,
+          ({_list(LINES)})[CAST(substr(product_id, 2) AS BIGINT) % {len(LINES)}
+            + if(CAST(substr(product_id, 2) AS BIGINT) % {len(LINES)} = 0, {len(LINES)}, 0)]
+        FROM ({_NAMED})""",
     "gen_csat": f"""
         SELECT customer_id, CAST({AS_OF} - 30 * m AS DATE) AS month,
           CAST(greatest(1, least(5, {_int(_h('csat', 'no'), 0, 3, 4)}
@@ -99,26 +121,24 @@ SYNTHETIC = {
         FROM (SELECT *, CAST(unnest(range(1, 13)) AS INTEGER) AS m FROM ({CUSTOMER}))""",
     "gen_tickets": f"""
         SELECT 'T' || (1000 + ticket_no) AS ticket_id, customer_id,
-          printf('P%03d', {_int('h', 0, 1, 8)}) AS product_id, status, opened_at,
+          product_id, status, opened_at,
           CASE WHEN status = 'Closed'
             THEN CAST({_capped(f"opened_at + {_int('h', 4, 1, 30)}")} AS DATE) END AS closed_at,
           severity,
           CASE severity WHEN 'Low' THEN 'P4' WHEN 'Medium' THEN 'P3' WHEN 'High' THEN 'P2'
             ELSE 'P1' END AS priority,
           {_pick('h', 6, ('Portal', 'Email', 'Phone'))} AS channel,
-          'Issue on ' || ({_list(PRODUCTS)})[{_int('h', 0, 1, 8)}] AS title,
+          'Issue on ' || product_name AS title,
           severity IN ('High', 'Critical') AND status = 'Open' AND {_percent('h', 7, 30)}
             AS sla_breach_flag,
-          {_pick('h2', 0, ('L1 Support', 'L2 Support', 'AML Specialists'))} AS assigned_group
-        FROM ({TICKETS})""",
+          {_pick('h2', 0, generate.GROUPS)} AS assigned_group
+        FROM ({TICKETS}) {_product('ticket product', 'ticket_no')}""",
     "gen_support_activities": f"""
         SELECT 'SA' || (20000 + activity_no) AS activity_id, 'T' || (1000 + ticket_no) AS ticket_id,
           CAST({_capped(f"opened_at + {_int('a', 0, 0, 30)}")} AS DATE) AS activity_at,
-          {_pick('a', 1, ('Acknowledged issue', 'Requested logs', 'Provided workaround',
-                          'Patch applied', 'Escalated to L2', 'Awaiting customer response'))}
-            AS description,
-          {_pick('a', 2, ('agent.john', 'agent.ana', 'agent.samir', 'agent.luca'))} AS author,
-          {_pick('a', 3, ('comment', 'worknote', 'escalation'))} AS activity_type,
+          {_pick('a', 1, generate.SUPPORT_STEPS)} AS description,
+          {_pick('a', 2, generate.AUTHORS)} AS author,
+          {_pick('a', 3, generate.SUPPORT_TYPES)} AS activity_type,
           CAST({_int('a', 4, 5, 120)} AS INTEGER) AS minutes_spent
         FROM (SELECT *, ticket_no * 5 + k - 1 AS activity_no,
                 {_h('support', 'ticket_no * 5 + k - 1')} AS a
@@ -126,7 +146,7 @@ SYNTHETIC = {
                       AS k FROM ({TICKETS})))""",
     "gen_opportunities": f"""
         SELECT 'O' || (5000 + opp_no) AS opp_id, customer_id,
-          printf('P%03d', {_int('h', 0, 1, 8)}) AS product_id, type, status,
+          product_id, type, status,
           {_pick('h', 6, ('Qualification', 'Discovery', 'Proposal', 'Negotiation',
                           'Procurement'))} AS stage,
           opened_at, expected_close_date,
@@ -142,20 +162,17 @@ SYNTHETIC = {
           CAST(CASE status WHEN 'Won' THEN 100 WHEN 'Lost' THEN 0
             ELSE {_pick('h2', 3, (30, 40, 50, 60, 70))} END AS INTEGER) AS probability,
           CASE WHEN type = 'Renewal' THEN 12 END AS renewal_term_months
-        FROM ({OPPORTUNITIES})""",
+        FROM ({OPPORTUNITIES}) {_product('opp product', 'opp_no')}""",
     "gen_sales_activities": f"""
         SELECT 'A' || (60000 + activity_no) AS activity_id, 'O' || (5000 + opp_no) AS opp_id,
           CAST(CASE WHEN stale THEN {AS_OF} - {_pick('a', 0, (15, 21, 28))}
             ELSE {_capped(f"opened_at + {_int('a', 1, 1, 90)}")} END AS DATE) AS activity_at,
           CASE WHEN stale
-            THEN {_pick('a', 2, ('Follow-up email', 'Internal review', 'Waiting on customer'))}
-            ELSE {_pick('a', 3, ('Intro call with bank stakeholders', 'Demo delivered to ops team',
-                                 'Proposal shared with legal', 'Negotiation on pricing',
-                                 'Security questionnaire sent', 'Management review scheduled'))}
-            END AS description,
-          CASE WHEN stale THEN {_pick('a', 4, ('email', 'meeting', 'call'))}
-            ELSE {_pick('a', 5, ('call', 'demo', 'email', 'meeting'))} END AS type,
-          {_pick('a', 6, ('CIO', 'Head of Compliance', 'Procurement', 'IT Manager'))} AS contact_name
+            THEN {_pick('a', 2, generate.STALE_STEPS)}
+            ELSE {_pick('a', 3, generate.SALES_STEPS)} END AS description,
+          CASE WHEN stale THEN {_pick('a', 4, generate.STALE_TYPES)}
+            ELSE {_pick('a', 5, generate.SALES_TYPES)} END AS type,
+          {_pick('a', 6, generate.CONTACTS)} AS contact_name
         FROM (
           SELECT *, opp_no * 5 + k - 1 AS activity_no, {_h('sales', 'opp_no * 5 + k - 1')} AS a
           FROM (
@@ -169,8 +186,7 @@ SYNTHETIC = {
         SELECT 'N' || (70000 + opp_no) AS note_id, 'O' || (5000 + opp_no) AS opp_id,
           CAST({_capped(f"opened_at + {_int('g', 1, 10, 90)}")} AS DATE) AS note_at,
           'risk' AS note_type,
-          'Delivery risk flagged: scope creep and integration uncertainty.' AS note_text,
-          'delivery risk;scope creep;integration' AS tags
+          '{generate.RISK_TEXT}' AS note_text, '{generate.RISK_TAGS}' AS tags
         FROM (SELECT *, {_h('note', 'opp_no')} AS g FROM ({OPPORTUNITIES}) WHERE status = 'Open')
         WHERE {_percent('g', 0, 25)}""",
 }

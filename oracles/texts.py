@@ -2,13 +2,15 @@
 
 from oracles.business import slip_sweep_sql
 from oracles.seeds import (
+    LOAD_QUESTION,
+    LOAD_SQL,
+    NOTHING_QUESTION,
+    NOTHING_SQL,
     OVERVIEW_QUESTION,
     PHRASINGS,
-    RENEWAL_QUESTION,
-    RENEWAL_SQL,
+    QUIET_QUESTION,
+    QUIET_SQL,
     SEVERITY_SQL,
-    SLIP_QUESTION,
-    SLIP_SQL,
     STAGE_SQL,
 )
 
@@ -35,10 +37,15 @@ PARTS = """
   SELECT event_id AS item, CAST(0 AS INTEGER) AS position, 'items/' || event_id || '/definition.json' AS path,
     CASE event_type WHEN 'error' THEN 'broken ' || props ELSE CAST(json(props) AS VARCHAR) END
       AS content,
-    event_type <> 'error' AS is_json
-  FROM events
-  UNION ALL SELECT event_id, 1, 'items/' || event_id || '/notes.txt', props, false FROM events
-  UNION ALL SELECT event_id, 2, '.platform', event_type, false FROM events"""
+    event_type <> 'error' AS is_json, if(event_type = 'error', 'not json', 'json') AS status
+  FROM events WHERE event_id % 53 <> 0
+  UNION ALL SELECT event_id, 1, 'items/' || event_id || '/notes.txt',
+    if(event_id % 59 = 0, NULL, props), false, if(event_id % 59 = 0, 'not base64', 'text')
+  FROM events WHERE event_id % 53 <> 0
+  UNION ALL SELECT event_id, 2, '.platform', event_type, false, 'text'
+  FROM events WHERE event_id % 53 <> 0
+  UNION ALL SELECT event_id, NULL, NULL, NULL, false, 'no definition'
+  FROM events WHERE event_id % 53 = 0"""
 
 
 def _num(col: str) -> str:
@@ -57,39 +64,32 @@ def _row(*cells: str) -> str:
     return _clean("'| ' || " + " || ' | ' || ".join(cells) + " || ' |'")
 
 
+def _head(title: str | None, columns: list[str]) -> str:
+    head = f"| {' | '.join(columns)} |\n|{':-|' * len(columns)}"
+    return _literal(f"{title}\n\n{head}" if title else head)
+
+
 def _table(title: str | None, columns: list[str], body: str, order: str, source: str) -> str:
-    head = f"| {' | '.join(columns)} |\n|{':-|' * len(columns)}\n"
-    if title:
-        head = f"{title}\n\n{head}"
-    return f"(SELECT {_literal(head)} || string_agg({body}, chr(10) ORDER BY {order}) FROM ({source}))"
-
-
-SLIP_ROWS = """
-  SELECT o.opp_id, c.customer_name, o.amount,
-    CASE WHEN a.last_day IS NULL OR a.last_day < DATE '2000-02-01' THEN 1 ELSE 0 END AS f1,
-    CASE WHEN o.stage_last_changed_at < DATE '2000-01-25' THEN 1 ELSE 0 END AS f2,
-    CASE WHEN EXISTS (SELECT 1 FROM opportunity_notes n WHERE n.opp_id = o.opp_id
-        AND n.note_at >= DATE '1999-12-03' AND (contains(n.tags, 'risk') OR n.note_type = 'risk'))
-      OR EXISTS (SELECT 1 FROM support_tickets s WHERE s.customer_id = o.customer_id
-        AND s.product_id = o.product_id AND s.opened_at >= DATE '1999-12-03'
-        AND s.status = 'Open' AND s.severity IN ('High', 'Critical')) THEN 1 ELSE 0 END AS f3
+    return (
+        f"(SELECT {_head(title, columns)} || coalesce(chr(10) || "
+        f"string_agg({body}, chr(10) ORDER BY {order}), '') FROM ({source}))"
+    )
+
+
+QUIET_ROWS = """
+  SELECT o.expected_close_date, o.opp_id, o.amount,
+    (SELECT count(*) FROM opportunity_notes n WHERE n.opp_id = o.opp_id AND n.note_type = 'risk')
+      AS risk_notes
   FROM sales_opportunities o
-  LEFT JOIN (SELECT opp_id, max(activity_at) AS last_day FROM sales_activities GROUP BY opp_id) a
-    ON a.opp_id = o.opp_id
-  LEFT JOIN customers c ON c.customer_id = o.customer_id
-  WHERE o.status = 'Open' AND o.expected_close_date BETWEEN DATE '2000-02-01' AND DATE '2000-02-29'"""
-RENEWAL_ROWS = """
-  SELECT r.opp_id, r.expected_close_date, COALESCE(g.total, 0) AS total, COALESCE(b.n, 0) AS n
-  FROM sales_opportunities r
-  LEFT JOIN (SELECT customer_id, sum(amount) AS total FROM sales_opportunities
-    WHERE status = 'Open' AND type IN ('Expansion', 'Project') GROUP BY customer_id) g
-    ON g.customer_id = r.customer_id
-  LEFT JOIN (SELECT customer_id, count(*) AS n FROM support_tickets
-    WHERE status = 'Open' AND severity IN ('High', 'Critical') GROUP BY customer_id) b
-    ON b.customer_id = r.customer_id
-  WHERE r.type = 'Renewal'
-    AND r.expected_close_date BETWEEN DATE '2000-02-01' AND DATE '2000-04-30'
-    AND (COALESCE(g.total, 0) < 100000 OR COALESCE(b.n, 0) >= 3)"""
+  WHERE o.status = 'Open' AND strftime(o.expected_close_date, '%Y-%m') = '2000-02'
+    AND o.opp_id NOT IN (SELECT opp_id FROM sales_activities WHERE activity_at >= DATE '2000-02-01')"""
+QUIET_COLUMNS = ["expected_close_date", "opp_id", "amount", "risk_notes"]
+LOAD_ROWS = """
+  SELECT severity, count(DISTINCT customer_id) AS c, count(*) AS n
+  FROM support_tickets SEMI JOIN (
+    SELECT customer_id FROM sales_opportunities WHERE type = 'Renewal'
+      AND year(expected_close_date) = 2000 AND quarter(expected_close_date) = 2) USING (customer_id)
+  WHERE status = 'Open' GROUP BY severity"""
 STAGE_ROWS = """
   SELECT stage, count(*) AS n, bool_or(is_forecast) AS f FROM sales_opportunities
   WHERE status = 'Open' GROUP BY stage"""
@@ -97,26 +97,13 @@ SEVERITY_ROWS = """
   SELECT severity, count(*) AS n, max(nullif(channel, 'Portal')) AS ch FROM support_tickets
   WHERE status = 'Open' GROUP BY severity"""
 
-ANSWERS = (
-    (
-        SLIP_QUESTION, SLIP_SQL,
-        _table(
-            None,
-            ["opp_id", "customer_name", "amount", "no_activity_flag", "stage_stagnant_flag",
-             "delivery_risk_flag"],
-            _row(_text("opp_id"), _text("customer_name"), _num("amount"), _text("f1"), _text("f2"),
-                 _text("f3")),
-            "opp_id", SLIP_ROWS,
-        ),
-    ),
+WHOLE = (
     (
-        RENEWAL_QUESTION, RENEWAL_SQL,
-        _table(
-            None, ["opp_id", "expected_close_date", "expansion_amount", "num_incidents"],
-            _row(_text("opp_id"), _text("expected_close_date"), _num("total"), _text("n")),
-            "opp_id", RENEWAL_ROWS,
-        ),
+        LOAD_QUESTION, LOAD_SQL,
+        _table(None, ["severity", "num_customers", "num_tickets"],
+               _row(_text("severity"), _text("c"), _text("n")), "severity", LOAD_ROWS),
     ),
+    (NOTHING_QUESTION, NOTHING_SQL, _head(None, ["product_id", "product_name"])),
     (
         OVERVIEW_QUESTION, f"{STAGE_SQL};\n{SEVERITY_SQL}",
         _table("Opportunities:", ["stage", "num_opps", "any_forecast"],
@@ -126,10 +113,24 @@ ANSWERS = (
                  _row(_text("severity"), _text("n"), _text("ch")), "severity", SEVERITY_ROWS),
     ),
 )
+
+
+def _asked(question: str, statement: str) -> str:
+    plain = statement.replace("{", "").replace("}", "")
+    return f"{_clean(_literal(question))} AS question, {_clean(_literal(plain))} AS sql"
+
+
+_QUIET_LINE = _row(
+    _text("expected_close_date"), _text("opp_id"), _num("amount"), _text("risk_notes")
+)
 GROUND_TRUTH = " UNION ALL ".join(
-    f"SELECT {_clean(_literal(q))} AS question, {_clean(_literal(s))} AS sql, "
-    f"CAST(1 AS BIGINT) AS part, {result} AS result"
-    for q, s, result in ANSWERS
+    [f"SELECT {_asked(q, s)}, 'all' AS part, {result} AS result" for q, s, result in WHOLE]
+    + [
+        f"SELECT {_asked(QUIET_QUESTION, QUIET_SQL)}, 'head', {_head(None, QUIET_COLUMNS)}",
+        f"SELECT {_asked(QUIET_QUESTION, QUIET_SQL)}, CAST(expected_close_date AS VARCHAR), "
+        f"string_agg({_QUIET_LINE}, chr(10) ORDER BY opp_id) FROM ({QUIET_ROWS}) "
+        "GROUP BY expected_close_date",
+    ]
 )
 
 
@@ -144,32 +145,55 @@ def _monthly(stagnant: int = 21, tag: str | None = None) -> str:
     )
 
 
-def _scores(actual: str) -> str:
+def _scores(run: str, question: str, questions: str, expected: str, actual: str) -> str:
+    """Both sides as one multiset: rows of the truth count up, rows of the run count down."""
     return f"""
-      SELECT policy_id, CAST(sum(e) AS BIGINT) AS expected_rows, CAST(sum(a) AS BIGINT) AS actual_rows,
-        CAST(sum(least(e, a)) AS BIGINT) AS common_rows,
-        CAST(sum(greatest(e, a)) AS BIGINT) AS all_rows,
-        CAST(CASE WHEN sum(least(e, a)) = sum(greatest(e, a)) THEN 5
-          WHEN sum(least(e, a)) / sum(greatest(e, a)) >= 0.8 THEN 4
-          WHEN sum(least(e, a)) / sum(greatest(e, a)) >= 0.5 THEN 3
-          WHEN sum(least(e, a)) > 0 THEN 2 ELSE 1 END AS INTEGER) AS score
-      FROM (
-        SELECT COALESCE(x.policy_id, y.policy_id) AS policy_id, COALESCE(x.n, 0) AS e,
-          COALESCE(y.n, 0) AS a
-        FROM (SELECT r.policy_id, r AS row_value, count(*) AS n
-              FROM (SELECT * FROM ({_monthly()})) r GROUP BY ALL) x
-        FULL JOIN (SELECT r.policy_id, r AS row_value, count(*) AS n
-              FROM (SELECT * FROM ({actual})) r GROUP BY ALL) y
-          ON x.row_value IS NOT DISTINCT FROM y.row_value)
-      GROUP BY policy_id"""
-
-
-RUNS = f"""
-  SELECT 'stale stages only' AS evaluation_id, *, score >= 4 AS passed FROM ({_scores(_monthly(stagnant=60))})
-  UNION ALL
-  SELECT 'exact tags', *, score >= 4 FROM ({_scores(_monthly(tag='risk'))})"""
+      SELECT '{run}' AS evaluation_id, {question},
+        CAST(coalesce(e, 0) AS BIGINT) AS expected_rows, CAST(coalesce(a, 0) AS BIGINT) AS actual_rows,
+        CAST((coalesce(e, 0) + coalesce(a, 0) - coalesce(off, 0)) // 2 AS BIGINT) AS common_rows,
+        CAST((coalesce(e, 0) + coalesce(a, 0) + coalesce(off, 0)) // 2 AS BIGINT) AS all_rows,
+        CAST(CASE WHEN coalesce(off, 0) = 0 THEN 5 WHEN common_rows = 0 THEN 1
+          WHEN 5 * common_rows >= 4 * all_rows THEN 4 WHEN 2 * common_rows >= all_rows THEN 3
+          ELSE 2 END AS INTEGER) AS score,
+        score > 3 AS passed
+      FROM (SELECT DISTINCT {question} FROM ({questions})) LEFT JOIN (
+        SELECT {question}, sum(up) AS e, sum(down) AS a, sum(abs(up - down)) AS off
+        FROM (
+          SELECT {question}, r, count_if(side = 1) AS up, count_if(side = 0) AS down
+          FROM (SELECT {question}, x AS r, 1 AS side FROM ({expected}) x
+                UNION ALL SELECT {question}, y, 0 FROM ({actual}) y)
+          GROUP BY ALL)
+        GROUP BY {question}) USING ({question})"""
+
+
+_ASKED = "SELECT unnest([" + ", ".join(
+    f"'{q}'" for q in [*(f"2000-{m:02d}" for m in range(1, 13)), "2030-01"]
+) + "]) AS policy_id"
+RUNS = " UNION ALL ".join(
+    _scores(run, "policy_id", _ASKED, _monthly(), actual)
+    for run, actual in (
+        ("stale stages only", _monthly(stagnant=60)),
+        ("exact tags", _monthly(tag="risk")),
+    )
+)
+
+_LOAD_ALTERED = LOAD_ROWS.replace("status = 'Open'", "status = 'Open' AND severity <> 'Low'")
+_STAGE_ALTERED = STAGE_ROWS.replace("bool_or(is_forecast)", "bool_and(NOT is_forecast)")
+_WRITTEN = f"""
+  SELECT question, unnest(string_split(result, chr(10))) AS line FROM ({GROUND_TRUTH})
+  WHERE part = 'all'"""
+_WRITTEN_ALTERED = _WRITTEN.replace(LOAD_ROWS, _LOAD_ALTERED).replace(STAGE_ROWS, _STAGE_ALTERED)
+EVAL_WRITTEN = _scores(
+    "altered", "question", f"SELECT question FROM ({GROUND_TRUTH}) WHERE part = 'all'",
+    f"SELECT * FROM ({_WRITTEN}) WHERE line <> ''",
+    f"SELECT * FROM ({_WRITTEN_ALTERED}) WHERE line <> ''",
+)
 
 _SEED_IDS = ", ".join(f"'{s}'" for s in dict.fromkeys(p[0] for p in PHRASINGS))
+_POLICIES = ", ".join(
+    f"'{month} with {days} quiet days'"
+    for month, days in [(f"2000-{m:02d}", 14) for m in range(1, 13)] + [("2000-01", 30)]
+)
 _PHRASING_ROWS = ", ".join(f"('{s}', {n}, {_literal(t)})" for s, n, t in PHRASINGS)
 
 TEXTS = {
@@ -179,16 +203,21 @@ TEXTS = {
         for table, key in (
             ("documents", "doc_id"), ("benchmark", "item_id"), ("conversations", "conv_id, turn")
         )
-    ),
+    )
+    + f" UNION ALL SELECT 'pages', CAST(page_id AS VARCHAR), {_clean('html')} FROM pages",
     "definition_parts": PARTS,
     "definition_documents": f"""
         SELECT item,
           '{{' || string_agg(CAST(to_json(path) AS VARCHAR) || ':'
-            || CASE WHEN is_json THEN content ELSE CAST(to_json(content) AS VARCHAR) END, ','
-            ORDER BY path) || '}}' AS document
+            || CASE WHEN is_json THEN content ELSE coalesce(CAST(to_json(content) AS VARCHAR), 'null')
+               END, ',' ORDER BY path) || '}}' AS document,
+          if(any_value(path) IS NULL, 'no definition', 'json') AS status
         FROM ({PARTS}) GROUP BY item""",
+    "documents_roundtrip": """
+        SELECT count(*) AS num_source, count(*) AS num_copy, CAST(0 AS BIGINT) AS num_different
+        FROM events WHERE event_id % 53 <> 0""",
     "markdown_render": f"""
-        SELECT customer_id, CAST(1 AS BIGINT) AS part,
+        SELECT customer_id, CAST(year(expected_close_date) AS INTEGER) AS close_year,
           max(customer_name) || ':' || chr(10) || chr(10)
           || '| opp_id | type | expected_close_date | amount | is_forecast | renewal_term_months |'
           || chr(10) || '|:-|:-|:-|:-|:-|:-|' || chr(10)
@@ -196,7 +225,7 @@ TEXTS = {
                               _bool('is_forecast'), _text('renewal_term_months'))},
              chr(10) ORDER BY opp_id) AS markdown
         FROM sales_opportunities JOIN customers USING (customer_id)
-        WHERE status = 'Open' GROUP BY customer_id""",
+        WHERE status = 'Open' GROUP BY customer_id, year(expected_close_date)""",
     "ground_truth": GROUND_TRUTH,
     "ground_truth_roundtrip": f"""
         SELECT count(*) AS num_source, count(*) AS num_copy, CAST(0 AS BIGINT) AS num_different
@@ -205,16 +234,18 @@ TEXTS = {
         WITH variant AS (
           SELECT DISTINCT 'horizon' AS kind, strftime(expected_close_date, '%Y-%m') AS value
           FROM sales_opportunities
-          UNION SELECT DISTINCT 'product', product_line FROM products),
+          UNION SELECT DISTINCT 'product', product_line FROM products
+          UNION SELECT 'policy', unnest([{_POLICIES}])),
         phrasing(seed_id, phrasing_no, template) AS (VALUES {_PHRASING_ROWS})
         SELECT p.seed_id, v.kind, v.value, p.phrasing_no,
           {_clean("replace(p.template, '{value}', v.value)")} AS question
         FROM variant v CROSS JOIN phrasing p""",
-    "eval_scores": _scores(_monthly(stagnant=60)),
+    "eval_scores": RUNS,
     "eval_details": f"SELECT * FROM ({RUNS}) WHERE NOT passed",
     "eval_summary": f"""
         SELECT evaluation_id, count(*) AS num_questions, round(avg(score), 4) AS mean_score,
           round(avg(CAST(passed AS INTEGER)), 4) AS pass_rate,
           {', '.join(f'count(*) FILTER (WHERE score = {s}) AS score_{s}' for s in range(1, 6))}
         FROM ({RUNS}) GROUP BY evaluation_id""",
+    "eval_written_answers": EVAL_WRITTEN,
 }

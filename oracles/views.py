@@ -7,7 +7,7 @@ VIEWS = {
     "products": """
         SELECT p_partkey AS product_id, p_name AS product_name, p_type AS product_line FROM part""",
     "sales_opportunities": """
-        SELECT o_orderkey AS opp_id, o_custkey AS customer_id, o_orderkey % 20 AS product_id,
+        SELECT o_orderkey AS opp_id, o_custkey AS customer_id, (o_custkey * 3 + o_orderkey % 4) % 200 AS product_id,
           CASE o_orderpriority WHEN '1-URGENT' THEN 'Renewal' WHEN '2-HIGH' THEN 'Expansion'
             WHEN '3-MEDIUM' THEN 'Expansion' ELSE 'Project' END AS type,
           CASE o_orderstatus WHEN 'O' THEN 'Open' WHEN 'F' THEN 'Won' ELSE 'Lost' END AS status,
@@ -23,7 +23,7 @@ VIEWS = {
             WHEN 1 THEN 'BestCase' ELSE 'Commit' END END AS forecast_category,
           CAST(o_orderdate AS DATE) - CAST(14 + o_orderkey % 107 AS INTEGER)
             + CAST(3 + o_orderkey % 88 AS INTEGER) AS stage_last_changed_at,
-          o_totalprice AS amount, 'EUR' AS currency,
+          o_totalprice AS amount, CASE WHEN o_orderkey % 997 <> 0 THEN 'EUR' END AS currency,
           CAST(CASE o_orderstatus WHEN 'O' THEN 30 + 10 * (o_orderkey % 5) WHEN 'F' THEN 100
             ELSE 0 END AS INTEGER) AS probability,
           CASE WHEN o_orderpriority = '1-URGENT' THEN 12 END AS renewal_term_months
@@ -49,17 +49,18 @@ VIEWS = {
             ELSE 'positive' END AS tags
         FROM events""",
     "support_tickets": """
-        SELECT event_id AS ticket_id, user_id AS customer_id, event_id % 20 AS product_id,
+        SELECT event_id AS ticket_id, user_id AS customer_id, event_id % 200 AS product_id,
           CASE WHEN event_id % 4 = 0 THEN 'Open' ELSE 'Closed' END AS status,
           CAST(ts AS DATE) - 8766 AS opened_at,
           CASE WHEN event_id % 4 <> 0 THEN CAST(ts AS DATE) - 8766
             + CAST(event_id % 30 - 1 AS INTEGER) END AS closed_at,
           CASE event_type WHEN 'error' THEN 'Critical' WHEN 'purchase' THEN 'High'
             WHEN 'signup' THEN 'Medium' ELSE 'Low' END AS severity,
-          CASE event_type WHEN 'error' THEN 'P1' WHEN 'purchase' THEN 'P2'
-            WHEN 'signup' THEN 'P3' ELSE 'P4' END AS priority,
+          CASE WHEN event_id % 499 = 0 THEN NULL WHEN event_id % 101 = 0 THEN 'P5'
+            ELSE CASE event_type WHEN 'error' THEN 'P1' WHEN 'purchase' THEN 'P2'
+              WHEN 'signup' THEN 'P3' ELSE 'P4' END END AS priority,
           CASE event_id % 3 WHEN 0 THEN 'Portal' WHEN 1 THEN 'Email' ELSE 'Phone' END AS channel,
-          'Issue on product ' || (event_id % 20) AS title,
+          'Issue on product ' || (event_id % 200) AS title,
           event_id % 4 = 0 AND event_type IN ('error', 'purchase') AND event_id % 3 = 0
             AS sla_breach_flag,
           CASE event_id % 3 WHEN 0 THEN 'L1 Support' WHEN 1 THEN 'L2 Support'

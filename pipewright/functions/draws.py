@@ -26,6 +26,11 @@ def uniform_int(digits: Column, i: int, low: int, high: int) -> Column:
     return F.lit(low) + slot(digits, i) % (high - low + 1)
 
 
+def wide_int(digits: Column, i: int, n: int) -> Column:
+    """Uniform integer in [0, n) for large n, from 32 bits: draw i (0..3)."""
+    return F.conv(F.substring(digits, 8 * i + 1, 8), 16, 10).cast("bigint") % n
+
+
 def chance(digits: Column, i: int, percent: int) -> Column:
     """True with the given probability in percent."""
     return slot(digits, i) % 100 < percent

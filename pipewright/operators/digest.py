@@ -1,89 +1,10 @@
-"""Ordered text of a group, built so that no task ever holds an unbounded group.
-
-A group is written as one text when it has at most `part_rows` lines. A larger ("heavy") group is
-sorted across the cluster and written as several texts of at most `part_rows` lines each, numbered
-so that reading them in order gives the same lines as the single text would.
-"""
+"""Ordered text of a group."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-PART_ROWS = 100_000
-MAX_HEAVY = 1_000
-MAX_SLICES = 10_000
-
-
-@dataclass(frozen=True)
-class Heavy:
-    """Groups above the size limit: a short list of keys, or `keys=None` when there are too many."""
-
-    keys: list | None
-    rows: int
-
-    @property
-    def none(self) -> bool:
-        return self.keys == []
-
-
-def find_heavy(df: DataFrame, keys: list[str], part_rows: int = PART_ROWS) -> Heavy:
-    """Look for heavy groups. Counts with map-side combine over the key columns only; the driver
-    receives at most `MAX_HEAVY` keys."""
-    over = (
-        df.groupBy(*keys)
-        .agg(F.count("*").alias("_n"))
-        .where(F.col("_n") > part_rows)
-        .orderBy(F.desc("_n"), *keys)
-        .limit(MAX_HEAVY + 1)
-        .collect()
-    )
-    if len(over) <= MAX_HEAVY:
-        return Heavy([tuple(r[k] for k in keys) for r in over], sum(r["_n"] for r in over))
-    return Heavy(None, df.count())
-
-
-@dataclass(frozen=True)
-class Digest:
-    """Texts per group: `whole` holds one row per ordinary group, `parts` the rows of heavy ones."""
-
-    keys: list[str]
-    part: str
-    heavy: Heavy
-    whole: DataFrame | None
-    parts: DataFrame | None
-
-    def frame(self) -> DataFrame:
-        if self.parts is None:
-            return self.whole
-        return self.parts if self.whole is None else self.whole.unionByName(self.parts)
-
-    def attach(self, rows: DataFrame) -> DataFrame:
-        """Left join of rows that are unique on the keys. Rows without lines get part 1 and NULL.
-
-        If the digest was restricted by `only`, that must hold the keys of all these rows.
-        """
-        if self.heavy.none:
-            joined = rows.join(self.whole, self.keys, "left")
-        elif self.heavy.keys is None:
-            matched = rows.join(self.parts, self.keys)
-            missing = rows.join(self.parts.select(*self.keys).distinct(), self.keys, "left_anti")
-            joined = matched.unionByName(missing, allowMissingColumns=True)
-        else:
-            # The large parts stay where they are; their few rows come to them.
-            marks = _marks(rows.select(*self.keys), self.heavy)
-            few = F.broadcast(rows.join(marks, self.keys, "left_semi"))
-            light = rows.join(marks, self.keys, "left_anti").join(self.whole, self.keys, "left")
-            joined = light.unionByName(self.parts.join(few, self.keys))
-        return joined.withColumn(self.part, F.coalesce(self.part, F.lit(1).cast("bigint")))
-
-
-def _marks(keys: DataFrame, heavy: Heavy) -> DataFrame:
-    # At most MAX_HEAVY rows, so the broadcast has a fixed bound.
-    return F.broadcast(keys.sparkSession.createDataFrame(heavy.keys, keys.schema))
-
 
 def ordered_digest(
     df: DataFrame,
@@ -92,103 +13,27 @@ def ordered_digest(
     line: str,
     separator: str,
     out: str,
-    heavy: Heavy,
-    part: str = "part",
-    part_rows: int = PART_ROWS,
-    aggregates: dict[str, Column] | None = None,
+    parts: tuple[str, ...] = (),
     only: DataFrame | None = None,
-) -> Digest:
-    """Join the `line` texts of every group in the given order.
+) -> DataFrame:
+    """The `line` texts of every group in the given order, joined: (keys, parts, out).
 
-    `heavy` must come from `find_heavy` over the same rows or a superset. Lines that tie in `order`
-    come in the order of their texts. `aggregates` are further per-group results, repeated on every
-    part of a heavy group. `only` keeps the groups whose keys it holds.
+    `parts` are columns that split a group into several texts. They follow from the lines' own
+    values (say, their month), so every run cuts the same way, whatever the size; lines of one text
+    meet in one task. Lines that tie in `order` come in the order of their texts. `only` keeps the
+    groups whose keys it holds.
     """
-    aggregates = aggregates or {}
-    named = [c.alias(n) for n, c in aggregates.items()]
-    columns = [*keys, part, *aggregates, out]
     if only is not None:
-        only = only.select(*keys)
-
-    def whole(rows: DataFrame) -> DataFrame:
-        # Lists cannot be combined on the map side: collecting there would only sort every task's
-        # rows before the shuffle. They are shuffled as they are and collected once; a semi join on
-        # the keys has already put them in place.
-        if only is None:
-            rows = rows.repartition(*keys)
-        else:
-            rows = rows.join(only, keys, "left_semi")
-        return (
-            rows.groupBy(*keys)
-            .agg(_entries(order, line).alias("_entries"), *named)
-            .withColumn(out, _joined("_entries", line, separator))
-            .withColumn(part, F.lit(1).cast("bigint"))
-            .select(columns)
-        )
-
-    def parts(rows: DataFrame) -> DataFrame:
-        texts = _sliced(rows, keys, order, line, separator, out, part, part_rows, heavy.rows)
-        if not named:
-            return texts.select(columns)
-        # One short row per group, computed with map-side combine.
-        facts = rows.groupBy(*keys).agg(*named)
-        if heavy.keys is not None:
-            facts = F.broadcast(facts)  # at most MAX_HEAVY rows
-        return _join_null_safe(texts, facts, keys).select(columns)
-
-    if heavy.none:
-        return Digest(keys, part, heavy, whole(df), None)
-    if heavy.keys is None:
-        if only is not None:
-            df = df.join(only, keys, "left_semi")
-        return Digest(keys, part, heavy, None, parts(df))
-
-    marks = _marks(df.select(*keys), heavy)
-    light = _join_null_safe(df, marks, keys, "left_anti")
-    loaded = _join_null_safe(df, marks, keys, "left_semi")
-    if only is not None:
-        # Heavy groups are set apart before the join with `only`, so that none meets it in one task.
-        wanted = only.join(marks, keys, "left_semi").distinct()
-        loaded = loaded.join(F.broadcast(wanted), keys, "left_semi")
-    return Digest(keys, part, heavy, whole(light), parts(loaded))
-
-
-def _entries(order: list[str], line: str) -> Column:
+        df = df.join(only.select(*keys), keys, "left_semi")
     fields = [*order, line] if line not in order else order
-    return F.collect_list(F.struct(*[F.col(c).alias(c) for c in fields]))
-
-
-def _joined(entries: str, line: str, separator: str) -> Column:
-    return F.concat_ws(separator, F.transform(F.sort_array(entries), lambda e: e[line]))
-
-
-def _sliced(df, keys, order, line, separator, out, part, part_rows, total_rows) -> DataFrame:
-    slices = max(1, min(MAX_SLICES, -(-total_rows // part_rows)))
-    sort = [*keys, *order] if line in order else [*keys, *order, line]
-    # One range shuffle sorts the heavy groups over many tasks; the position in that global order
-    # says which part a line belongs to. Positions depend on values only, so a task that runs again
-    # assigns the same ones.
+    # Lists cannot be combined on the map side, so lines are shuffled as they are and collected once.
     return (
-        df.repartitionByRange(slices, *sort)
-        .sortWithinPartitions(*sort)
-        .withColumn("_position", F.monotonically_increasing_id())
-        .withColumn(part, F.expr(f"_position div {part_rows} + 1"))
-        .groupBy(*keys, part)
-        .agg(_entries(order, line).alias("_entries"))
-        .withColumn(out, _joined("_entries", line, separator))
+        df.repartition(*keys, *parts)
+        .groupBy(*keys, *parts)
+        .agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("_lines"))
+        .select(
+            *keys,
+            *parts,
+            F.concat_ws(separator, F.transform("_lines", lambda e: e[line])).alias(out),
+        )
     )
-
-
-def _join_null_safe(
-    left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner"
-) -> DataFrame:
-    left, right = left.alias("l"), right.alias("r")
-    same = None
-    for k in keys:
-        eq = F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}"))
-        same = eq if same is None else same & eq
-    joined = left.join(right, same, how)
-    if how != "inner":
-        return joined
-    extra = [F.col(f"r.{c}") for c in right.columns if c not in keys]
-    return joined.select("l.*", *extra)

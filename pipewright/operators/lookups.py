@@ -25,9 +25,14 @@ def with_names(
     return df
 
 
-def total(col: Column | str, digits: int = 2) -> Column:
-    """Sum of money, rounded so that the order of additions does not show."""
-    return F.round(F.sum(col), digits)
+def money(col: Column | str) -> Column:
+    """An amount as a decimal of cents, which adds up exactly in any order."""
+    return (F.col(col) if isinstance(col, str) else col).cast("decimal(18,2)")
+
+
+def total(col: Column | str) -> Column:
+    """Exact sum of money, as a double."""
+    return F.sum(money(col)).cast("double")
 
 
 def stacked(frames: list[DataFrame]) -> DataFrame:

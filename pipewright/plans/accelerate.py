@@ -6,17 +6,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pipewright.functions.dates import in_window
-from pipewright.operators.digest import PART_ROWS
 from pipewright.operators.lookups import with_names
 from pipewright.plans.activity import delivered_activities
-from pipewright.plans.notes import note_texts
+from pipewright.plans.notes import last_signals, note_texts
 from pipewright.policy import AcceleratePolicy
 from pipewright.tables import Tables
 
 
-def accelerate(t: Tables, p: AcceleratePolicy, part_rows: int = PART_ROWS) -> DataFrame:
+def accelerate(t: Tables, p: AcceleratePolicy) -> DataFrame:
     """Open opportunities of a stage, closing in the window, with delivered activities and no
-    blocking last signal, together with their notes."""
+    blocking last signal, together with their notes: a row for each month with notes."""
     opps = t.sales_opportunities.where(
         (F.col("status") == "Open")
         & (F.col("stage") == p.stage)
@@ -27,15 +26,15 @@ def accelerate(t: Tables, p: AcceleratePolicy, part_rows: int = PART_ROWS) -> Da
     delivered = delivered_activities(t, p.delivered_types).where(
         F.col("num_activities") >= p.min_delivered
     )
-    candidates = opps.join(delivered.select("opp_id"), "opp_id", "left_semi")
-    # Only notes of candidate deals are worth collecting.
-    texts = note_texts(t, only=opps, part_rows=part_rows)
-    # A customer must exist, a product need not.
-    rows = (
-        texts.attach(candidates)
+    candidates = (
+        opps.join(delivered.select("opp_id"), "opp_id", "left_semi")
+        .join(last_signals(t), "opp_id", "left")
         .where(~F.col("last_signal").eqNullSafe(p.blocking_signal))
+        # A customer must exist, a product need not.
         .join(t.customers.select("customer_id", "customer_name"), "customer_id")
     )
+    # Only notes of candidate deals are collected.
+    rows = candidates.join(note_texts(t, only=candidates), "opp_id", "left")
     return with_names(rows, products=t.products).select(
         "opp_id",
         "customer_name",
@@ -43,6 +42,6 @@ def accelerate(t: Tables, p: AcceleratePolicy, part_rows: int = PART_ROWS) -> Da
         "is_forecast",
         "product_name",
         "last_signal",
-        "notes_part",
+        "notes_month",
         "opp_notes",
     )

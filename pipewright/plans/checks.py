@@ -78,51 +78,82 @@ def vocab_violations(t: Tables) -> DataFrame:
 
 def orphan_rows(t: Tables) -> DataFrame:
     """References to rows that do not exist, with the number of rows that hold them."""
-    reports = []
+    by_table: dict[str, list[tuple[str, str]]] = {}
     for table, column, parent in REFERENCES:
-        parent_key = KEYS[parent][0]
-        # Reduced to one row per referenced key before the join, so a busy key stays small.
-        held = (
-            getattr(t, table)
-            .where(F.col(column).isNotNull())
-            .groupBy(F.col(column).alias(parent_key))
-            .agg(F.count("*").alias("num_rows"))
-        )
-        reports.append(
-            held.join(getattr(t, parent).select(parent_key), parent_key, "left_anti").select(
+        by_table.setdefault(table, []).append((column, parent))
+    # One scan per table covers all its references. Reduced to one row per referenced id before the
+    # join, so a busy id stays small.
+    held = stacked(
+        [
+            getattr(t, table).select(
                 F.lit(table).alias("table_name"),
-                F.lit(column).alias("column_name"),
-                F.col(parent_key).cast("string").alias("missing_id"),
-                "num_rows",
+                F.explode(
+                    F.array(
+                        *[
+                            F.struct(
+                                F.lit(column).alias("column_name"),
+                                F.lit(parent).alias("parent"),
+                                F.col(column).cast("string").alias("missing_id"),
+                            )
+                            for column, parent in references
+                        ]
+                    )
+                ).alias("r"),
             )
-        )
-    return stacked(reports)
+            for table, references in by_table.items()
+        ]
+    ).select("table_name", "r.*")
+    counted = (
+        held.where(F.col("missing_id").isNotNull())
+        .groupBy("table_name", "column_name", "parent", "missing_id")
+        .agg(F.count("*").alias("num_rows"))
+    )
+    # And one scan per parent.
+    known = stacked(
+        [
+            getattr(t, parent).select(
+                F.lit(parent).alias("parent"), F.col(KEYS[parent][0]).cast("string").alias("missing_id")
+            )
+            for parent in dict.fromkeys(parent for _, _, parent in REFERENCES)
+        ]
+    )
+    return counted.join(known, ["parent", "missing_id"], "left_anti").select(
+        "table_name", "column_name", "missing_id", "num_rows"
+    )
 
 
 def key_violations(t: Tables) -> DataFrame:
     """NULLs in columns that must have a value, and identifiers used more than once.
 
-    `num_rows` counts the NULL rows, or the rows beyond the first of every repeated identifier.
+    `num_rows` counts the NULL rows, or the rows beyond the first of every repeated identifier. Each
+    table is read once: rows are reduced to one per identifier, and those to one per table.
     """
     reports = []
     for name, df in t.items():
         required = [f.name for f in SCHEMAS[name].fields if not f.nullable]
-        counted = ", ".join(
-            f"named_struct('column_name', '{c}', 'num_rows', count_if({c} IS NULL))" for c in required
+        key = ",".join(KEYS[name])
+        per_key = df.groupBy(*KEYS[name]).agg(
+            F.count("*").alias("_rows"),
+            *[F.count_if(F.col(c).isNull()).alias(f"_{i}") for i, c in enumerate(required)],
         )
-        nulls = df.agg(F.expr(f"array({counted})").alias("checked"))
-        reports.append(
-            nulls.selectExpr("inline(checked)").selectExpr(
-                f"'{name}' AS table_name", "column_name", "'null' AS rule", "num_rows"
+        found = [
+            F.struct(
+                F.lit(c).alias("column_name"),
+                F.lit("null").alias("rule"),
+                F.coalesce(F.sum(f"_{i}"), F.lit(0)).alias("num_rows"),
+            )
+            for i, c in enumerate(required)
+        ]
+        found.append(
+            F.struct(
+                F.lit(key).alias("column_name"),
+                F.lit("duplicate").alias("rule"),
+                F.coalesce(F.sum(F.col("_rows") - 1), F.lit(0)).alias("num_rows"),
             )
         )
-        repeated = df.groupBy(*KEYS[name]).agg(F.count("*").alias("n"))
         reports.append(
-            repeated.agg(F.expr("coalesce(sum(n - 1), 0)").alias("num_rows")).selectExpr(
-                f"'{name}' AS table_name",
-                f"'{','.join(KEYS[name])}' AS column_name",
-                "'duplicate' AS rule",
-                "num_rows",
+            per_key.agg(F.array(*found).alias("found")).select(
+                F.lit(name).alias("table_name"), F.inline("found")
             )
         )
     return stacked(reports).where(F.col("num_rows") > 0)

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pipewright.operators.digest import PART_ROWS, find_heavy, ordered_digest
+from pipewright.operators.digest import ordered_digest
 from pipewright.plans.notes import SEPARATOR, dated, note_texts
 from pipewright.tables import Tables
 
@@ -39,9 +39,8 @@ def customer_360_opps(
     product_name: str | None = None,
     customer_id: object | None = None,
     product_id: object | None = None,
-    part_rows: int = PART_ROWS,
 ) -> DataFrame:
-    """Open opportunities with all their notes."""
+    """Open opportunities with all their notes, a row for each month with notes."""
     opps = _scoped(
         t,
         t.sales_opportunities.where(F.col("status") == "Open"),
@@ -50,9 +49,7 @@ def customer_360_opps(
         customer_id,
         product_id,
     )
-    selective = any(v is not None for v in (customer_name, product_name, customer_id, product_id))
-    only = opps if selective else t.sales_opportunities.where(F.col("status") == "Open")
-    return note_texts(t, only, part_rows).attach(opps).select(
+    return opps.join(note_texts(t, only=opps), "opp_id", "left").select(
         "customer_name",
         "type",
         "opp_id",
@@ -63,7 +60,7 @@ def customer_360_opps(
         "is_forecast",
         "forecast_category",
         "amount",
-        "notes_part",
+        "notes_month",
         "opp_notes",
     )
 
@@ -117,9 +114,9 @@ def critical_ticket_actions(
     t: Tables,
     customer_name: str | None = None,
     customer_id: object | None = None,
-    part_rows: int = PART_ROWS,
 ) -> DataFrame:
-    """Open critical tickets with the actions taken so far, oldest first."""
+    """Open critical tickets with the actions taken so far, oldest first, a row for each month with
+    actions."""
     tickets = _scoped(
         t,
         t.support_tickets.where((F.col("status") == "Open") & (F.col("severity") == "Critical")),
@@ -128,12 +125,11 @@ def critical_ticket_actions(
         customer_id,
         None,
     )
-    heavy = find_heavy(t.support_activities, ["ticket_id"], part_rows)
-    critical = t.support_tickets.where(
-        (F.col("status") == "Open") & (F.col("severity") == "Critical")
-    ).select("ticket_id")
     lines = t.support_activities.select(
-        "ticket_id", "activity_at", dated("activity_at", F.col("description")).alias("line")
+        "ticket_id",
+        "activity_at",
+        F.trunc("activity_at", "month").alias("actions_month"),
+        dated("activity_at", F.col("description")).alias("line"),
     )
     actions = ordered_digest(
         lines,
@@ -142,18 +138,16 @@ def critical_ticket_actions(
         line="line",
         separator=SEPARATOR,
         out="actions",
-        heavy=heavy,
-        part="actions_part",
-        part_rows=part_rows,
-        only=critical,
+        parts=("actions_month",),
+        only=tickets,
     )
-    return actions.attach(tickets).select(
+    return tickets.join(actions, "ticket_id", "left").select(
         "ticket_id",
         "customer_name",
         "product_name",
         "status",
         "priority",
         "title",
-        "actions_part",
+        "actions_month",
         "actions",
     )

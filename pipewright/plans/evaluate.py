@@ -2,51 +2,70 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pipewright.functions.text import row_fingerprint
+
 # Rubric from 1 (different data) to 5 (the same data), by share of common rows.
 RUBRIC = ((5, 1.0), (4, 0.8), (3, 0.5))
 PASS_SCORE = 4
 
 
-def eval_scores(expected: DataFrame, actual: DataFrame, question: str) -> DataFrame:
-    """Score per question: how far the multisets of expected and actual rows agree.
+def eval_scores(
+    answers: DataFrame, questions: DataFrame, question: str, expected: str, runs: list[str]
+) -> DataFrame:
+    """Score per run and question: how far the multisets of expected and actual rows agree.
 
-    Rows are counted per side and distinct value in one aggregation, so neither a join nor a
-    row hash is needed and repeated rows stay cheap.
+    `answers` holds the answer rows of all runs, told apart by the column `run`; the rows of the run
+    `expected` are the truth for each of `runs`. `questions` lists what was asked, so a question
+    with empty answers on both sides counts as well: it scores 5. Rows are shuffled as 128-bit
+    fingerprints, once for all runs, and counted per side.
     """
-    columns = expected.columns
+    columns = [c for c in answers.columns if c != "run"]
 
-    def side(df: DataFrame, e: int, a: int) -> DataFrame:
-        return df.select(*columns, F.lit(e).alias("_e"), F.lit(a).alias("_a"))
+    def side(name: Column, e: int, a: int) -> Column:
+        return F.struct(name.alias("evaluation_id"), F.lit(e).alias("_e"), F.lit(a).alias("_a"))
 
-    rows = (
-        side(expected, 1, 0)
-        .unionByName(side(actual, 0, 1))
-        .groupBy(*columns)
+    sides = F.when(
+        F.col("run") == expected, F.array(*[side(F.lit(r), 1, 0) for r in runs])
+    ).otherwise(F.array(side(F.col("run"), 0, 1)))
+    totals = (
+        answers.select(question, *row_fingerprint(columns), F.explode(sides).alias("_side"))
+        .select(question, "_high", "_low", "_side.*")
+        .groupBy("evaluation_id", question, "_high", "_low")
         .agg(F.sum("_e").alias("_e"), F.sum("_a").alias("_a"))
+        .groupBy("evaluation_id", question)
+        .agg(
+            F.sum("_e").alias("expected_rows"),
+            F.sum("_a").alias("actual_rows"),
+            F.sum(F.least("_e", "_a")).alias("common_rows"),
+            F.sum(F.greatest("_e", "_a")).alias("all_rows"),
+        )
+    )
+    asked = (
+        questions.select(question)
+        .distinct()
+        .select(F.explode(F.array(*[F.lit(r) for r in runs])).alias("evaluation_id"), question)
     )
-    totals = rows.groupBy(question).agg(
-        F.sum("_e").alias("expected_rows"),
-        F.sum("_a").alias("actual_rows"),
-        F.sum(F.least("_e", "_a")).alias("common_rows"),
-        F.sum(F.greatest("_e", "_a")).alias("all_rows"),
+    counts = ["expected_rows", "actual_rows", "common_rows", "all_rows"]
+    scored = asked.join(totals, ["evaluation_id", question], "left").withColumns(
+        {c: F.coalesce(c, F.lit(0).cast("bigint")) for c in counts}
     )
-    overlap = F.col("common_rows") / F.col("all_rows")
-    score = F.when(F.col("common_rows") == 0, 1).otherwise(2)
+    overlap = F.when(F.col("all_rows") == 0, 1.0).otherwise(F.col("common_rows") / F.col("all_rows"))
+    score = F.when(overlap == 0, 1).otherwise(2)
     for points, share in reversed(RUBRIC):
         score = F.when(overlap >= share, points).otherwise(score)
-    return totals.select(
-        question, "expected_rows", "actual_rows", "common_rows", "all_rows", score.alias("score")
+    return scored.select("evaluation_id", question, *counts, score.alias("score")).withColumn(
+        "passed", F.col("score") >= PASS_SCORE
     )
 
 
-def recorded(scores: DataFrame, evaluation_id: str) -> DataFrame:
-    """Scores of one run, ready to be appended to a results table."""
-    return scores.select(F.lit(evaluation_id).alias("evaluation_id"), "*").withColumn(
-        "passed", F.col("score") >= PASS_SCORE
-    )
+def answer_lines(answers: DataFrame, run: str) -> DataFrame:
+    """Markdown answers (question, answer) as rows of a run: their lines."""
+    return answers.select(
+        F.lit(run).alias("run"), "question", F.explode(F.split("answer", "\n")).alias("line")
+    ).where("line <> ''")
 
 
 def eval_details(

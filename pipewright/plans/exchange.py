@@ -51,11 +51,8 @@ def difference(source: DataFrame, copy: DataFrame) -> DataFrame:
     )
 
 
-def tsv_roundtrip(spark: SparkSession, t: Tables, root: str | None = None) -> DataFrame:
-    """Export all tables, read them back with their types and compare."""
-    root = root or scratch_path(spark, "tsv")
-    tsv.export(t, root)
-    copy = tsv.load(spark, root, schemas={name: df.schema for name, df in t.items()})
+def differences(t: Tables, copy: Tables) -> DataFrame:
+    """`difference` of every table and its copy."""
     return stacked(
         [
             difference(df, getattr(copy, name)).select(F.lit(name).alias("table_name"), "*")
@@ -64,6 +61,16 @@ def tsv_roundtrip(spark: SparkSession, t: Tables, root: str | None = None) -> Da
     )
 
 
+def tsv_roundtrip(spark: SparkSession, t: Tables, root: str | None = None) -> DataFrame:
+    """Export all tables, read them back with their types and compare."""
+    root = root or scratch_path(spark, "tsv")
+    tsv.export(t, root)
+    # Texts may hold line breaks; the export writes a file for each of its tasks.
+    schemas = {name: df.schema for name, df in t.items()}
+    copy = tsv.load(spark, root, schemas, multi_line=True)
+    return differences(t, copy)
+
+
 def answers_roundtrip(spark: SparkSession, answers: DataFrame, root: str | None = None) -> DataFrame:
     """Write answers as tab-terminated records, read them back and compare."""
     root = root or scratch_path(spark, "answers")

@@ -1,7 +1,8 @@
 """Synthetic sales and support data of any size.
 
-Every table is computed from a frame of customers by projections and short per-row explodes; only
-the customer rows themselves are shuffled, to spread the work. All randomness is drawn from the row's own keys, so the output is the same for any
+Every table is computed from a frame of customers by projections and short per-row explodes; the
+customer rows are shuffled to spread the work, and tickets and opportunities meet their product by
+its drawn place. All randomness is drawn from the row's own keys, so the output is the same for any
 number of executors.
 """
 
@@ -9,7 +10,7 @@ from __future__ import annotations
 
 from datetime import date, timedelta
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pipewright.functions.dates import day
@@ -20,6 +21,7 @@ from pipewright.functions.draws import (
     pick_weighted,
     shifted,
     uniform_int,
+    wide_int,
 )
 from pipewright.tables import Tables
 
@@ -78,6 +80,7 @@ RISK_TEXT = "Delivery risk flagged: scope creep and integration uncertainty."
 RISK_TAGS = "delivery risk;scope creep;integration"
 TRENDING = 2  # position of the customer whose tickets pile up recently
 MAX_TICKETS, MAX_OPPS, MAX_CHILDREN = 65, 18, 5
+PRODUCT_BUCKETS = 1024
 
 SEED = 42
 
@@ -101,10 +104,6 @@ def _numbered(df: DataFrame, count: Column, column: str) -> DataFrame:
     return df.where(count > 0).withColumn(column, F.explode(F.sequence(F.lit(1), count)))
 
 
-def _product_id(number: Column) -> Column:
-    return F.format_string("P%03d", number)
-
-
 def _label(prefix: str, first: int, number: Column) -> Column:
     return F.concat(F.lit(prefix), (F.lit(first) + number).cast("string"))
 
@@ -154,10 +153,39 @@ def gen_dimensions(customer_ids: DataFrame, product_ids: DataFrame) -> DataFrame
 
 
 def _spread(customers: DataFrame) -> DataFrame:
-    # A customer grows into hundreds of rows, so the few customer rows are dealt out to all cores
-    # before they grow. The number is explicit because AQE would merge such small partitions again.
-    cores = customers.sparkSession.sparkContext.defaultParallelism
-    return customers.repartition(cores, "customer_no")
+    # A customer grows into hundreds of rows, so the few customer rows are dealt out before they
+    # grow, to as many tasks as any shuffle has. The number is explicit because AQE would merge such
+    # small partitions again.
+    tasks = int(customers.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return customers.repartition(tasks, "customer_no")
+
+
+def _numbered_products(products: DataFrame, seed: int) -> DataFrame:
+    """(place, product_id, product_name): places from 0 without gaps, by a hash of the id, then the
+    id. Ranked within hash buckets, so that no task sorts all products."""
+    h = entropy(seed, "product place", F.col("product_id"))
+    hashed = products.withColumn("_bucket", wide_int(h, 0, PRODUCT_BUCKETS))
+    heads = (
+        hashed.groupBy("_bucket")
+        .agg(F.count("*").alias("_n"))
+        # One row for each bucket.
+        .withColumn("_head", F.sum("_n").over(Window.orderBy("_bucket")) - F.col("_n"))
+    )
+    within = F.row_number().over(Window.partitionBy("_bucket").orderBy("product_id")) - 1
+    return (
+        hashed.withColumn("_within", within)
+        .join(heads, "_bucket")
+        .select((F.col("_head") + F.col("_within")).alias("place"), "product_id", "product_name")
+    )
+
+
+def _with_product(rows: DataFrame, products: DataFrame, seed: int, label: str, key: str) -> DataFrame:
+    """Rows with one of the given products each, all equally likely."""
+    n = products.count()
+    if not n:
+        raise ValueError("there is no product to choose from")
+    drawn = rows.withColumn("place", wide_int(entropy(seed, label, F.col(key)), 0, n))
+    return drawn.join(_numbered_products(products, seed), "place").drop("place")
 
 
 def _trending() -> Column:
@@ -195,7 +223,6 @@ def _tickets(customers: DataFrame, as_of: date, seed: int) -> DataFrame:
     rows = rows.select(
         "ticket_no",
         "customer_id",
-        uniform_int(h, 0, 1, len(PRODUCTS)).alias("product"),
         F.when(_trending() & chance(h, 1, 75), recent).otherwise(usual).alias("opened_at"),
         F.when(chance(h, 3, 75), "Closed").otherwise("Open").alias("status"),
         uniform_int(h, 4, 1, 30).alias("days_open"),
@@ -207,16 +234,20 @@ def _tickets(customers: DataFrame, as_of: date, seed: int) -> DataFrame:
     return rows
 
 
-def gen_tickets(customers: DataFrame, as_of: date, seed: int = SEED) -> DataFrame:
-    """35 to 65 tickets per customer; for the trending customer most are recent."""
+def gen_tickets(
+    customers: DataFrame, products: DataFrame, as_of: date, seed: int = SEED
+) -> DataFrame:
+    """35 to 65 tickets per customer, on any of the products; for the trending customer most are
+    recent."""
     severity, status = F.col("severity"), F.col("status")
     priority = F.lit(None).cast("string")
     for name, code in PRIORITY_OF:
         priority = F.when(severity == name, code).otherwise(priority)
-    return _tickets(customers, as_of, seed).select(
+    tickets = _tickets(customers, as_of, seed)
+    return _with_product(tickets, products, seed, "ticket product", "ticket_no").select(
         _label("T", 1000, F.col("ticket_no")).alias("ticket_id"),
         "customer_id",
-        _product_id(F.col("product")).alias("product_id"),
+        "product_id",
         "status",
         "opened_at",
         F.when(
@@ -225,9 +256,7 @@ def gen_tickets(customers: DataFrame, as_of: date, seed: int = SEED) -> DataFram
         "severity",
         priority.alias("priority"),
         "channel",
-        F.concat(
-            F.lit("Issue on "), _at(tuple(n for n, _ in PRODUCTS), F.col("product") - 1)
-        ).alias("title"),
+        F.concat(F.lit("Issue on "), "product_name").alias("title"),
         (severity.isin("High", "Critical") & (status == "Open") & F.col("late")).alias(
             "sla_breach_flag"
         ),
@@ -286,7 +315,6 @@ def _opportunities(customers: DataFrame, as_of: date, seed: int) -> DataFrame:
         "opp_no",
         "customer_id",
         "h2",
-        uniform_int(h, 0, 1, len(PRODUCTS)).alias("product"),
         F.when(F.col("forced"), "Renewal")
         .when((drawn == "Renewal") & (F.col("earlier") >= 2), pick(h, 2, ("Expansion", "Project")))
         .otherwise(drawn)
@@ -303,14 +331,17 @@ def _opportunities(customers: DataFrame, as_of: date, seed: int) -> DataFrame:
     ).withColumn("is_forecast", F.col("status") == "Open")
 
 
-def gen_opportunities(customers: DataFrame, as_of: date, seed: int = SEED) -> DataFrame:
-    """10 to 18 opportunities per customer."""
+def gen_opportunities(
+    customers: DataFrame, products: DataFrame, as_of: date, seed: int = SEED
+) -> DataFrame:
+    """10 to 18 opportunities per customer, on any of the products."""
     h2, status = F.col("h2"), F.col("status")
     last_day = F.least(day(as_of), F.col("expected_close_date"))
-    return _opportunities(customers, as_of, seed).select(
+    opps = _opportunities(customers, as_of, seed)
+    return _with_product(opps, products, seed, "opp product", "opp_no").select(
         _label("O", 5000, F.col("opp_no")).alias("opp_id"),
         "customer_id",
-        _product_id(F.col("product")).alias("product_id"),
+        "product_id",
         "type",
         "status",
         "stage",
@@ -393,16 +424,16 @@ def generate(
     customer_ids: DataFrame, product_ids: DataFrame, as_of: date, seed: int = SEED
 ) -> Tables:
     """All eight tables, for as many customers as `customer_ids` has rows."""
-    customers = gen_customers(customer_ids)
+    customers, products = gen_customers(customer_ids), gen_products(product_ids)
     return Tables(
         customer_ids.sparkSession,
         {
             "customers": customers.drop("customer_no"),
-            "products": gen_products(product_ids),
+            "products": products,
             "csat_by_month": gen_csat(customers, as_of, seed),
-            "support_tickets": gen_tickets(customers, as_of, seed),
+            "support_tickets": gen_tickets(customers, products, as_of, seed),
             "support_activities": gen_support_activities(customers, as_of, seed),
-            "sales_opportunities": gen_opportunities(customers, as_of, seed),
+            "sales_opportunities": gen_opportunities(customers, products, as_of, seed),
             "sales_activities": gen_sales_activities(customers, as_of, seed),
             "opportunity_notes": gen_notes(customers, as_of, seed),
         },

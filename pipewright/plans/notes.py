@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pipewright.functions.text import tag_list
-from pipewright.operators.digest import PART_ROWS, Digest, find_heavy, ordered_digest
+from pipewright.operators.digest import ordered_digest
 from pipewright.tables import Tables
 
 SEPARATOR = ";\n\n"
@@ -16,18 +16,13 @@ def dated(at: str, text: Column) -> Column:
     return F.concat(F.date_format(F.col(at), "M/d/yyyy"), F.lit(": "), text)
 
 
-def note_texts(t: Tables, only: DataFrame | None = None, part_rows: int = PART_ROWS) -> Digest:
-    """Last signal and all notes of each opportunity, oldest first.
-
-    `last_signal` is the type of the latest note; notes of the same day are told apart by id, so the
-    answer never depends on row order. `only` restricts the work to some opportunities. An
-    opportunity with more than `part_rows` notes gets several rows, numbered by `notes_part`.
-    """
+def note_texts(t: Tables, only: DataFrame | None = None) -> DataFrame:
+    """(opp_id, notes_month, opp_notes): the notes of each opportunity and calendar month, oldest
+    first. Months in order give all notes. `only` restricts the work to some opportunities."""
     lines = t.opportunity_notes.select(
         "opp_id",
         "note_at",
-        "note_id",
-        "note_type",
+        F.trunc("note_at", "month").alias("notes_month"),
         dated("note_at", F.col("note_text")).alias("line"),
     )
     return ordered_digest(
@@ -37,17 +32,20 @@ def note_texts(t: Tables, only: DataFrame | None = None, part_rows: int = PART_R
         line="line",
         separator=SEPARATOR,
         out="opp_notes",
-        heavy=find_heavy(t.opportunity_notes, ["opp_id"], part_rows),
-        part="notes_part",
-        part_rows=part_rows,
-        aggregates={"last_signal": F.max_by("note_type", F.struct("note_at", "note_id"))},
+        parts=("notes_month",),
         only=only,
     )
 
 
-def note_digest(t: Tables, part_rows: int = PART_ROWS) -> DataFrame:
-    """`note_texts` of all opportunities that have notes."""
-    return note_texts(t, part_rows=part_rows).frame()
+def last_signals(t: Tables) -> DataFrame:
+    """The type of each opportunity's latest note; notes of a day are told apart by id."""
+    latest = F.max_by("note_type", F.struct("note_at", "note_id"))
+    return t.opportunity_notes.groupBy("opp_id").agg(latest.alias("last_signal"))
+
+
+def note_digest(t: Tables) -> DataFrame:
+    """`note_texts` and the last signal of all opportunities that have notes."""
+    return note_texts(t).join(last_signals(t), "opp_id")
 
 
 def tag_counts(t: Tables) -> DataFrame:

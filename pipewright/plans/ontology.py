@@ -29,13 +29,14 @@ class Entity:
     """A typed node: properties of one table, its identifier and its display column.
 
     A property is (name, value type), or (name, value type, column) where the column is named
-    differently.
+    differently. An identifier of several columns is a tuple of them. A type that is bound to
+    several tables is a tuple of entities.
     """
 
     name: str
     type_id: str
     table: str
-    key: str
+    key: str | tuple[str, ...]
     display: str
     properties: tuple[tuple[str, ...], ...]
 
@@ -46,7 +47,7 @@ class TimeSeries:
 
     entity: str
     table: str
-    key: str
+    key: str | tuple[str, ...]
     timestamp: str
     properties: tuple[tuple[str, ...], ...]
 
@@ -60,8 +61,8 @@ class Relationship:
     source: str
     target: str
     table: str
-    source_column: str
-    target_column: str
+    source_column: str | tuple[str, ...]
+    target_column: str | tuple[str, ...]
 
 
 # The sales and support model.
@@ -161,6 +162,18 @@ RELATIONSHIPS = {
 }
 
 
+def _bindings(bound) -> tuple:
+    """All tables that a type is bound to."""
+    return bound if isinstance(bound, tuple) else (bound,)
+
+
+def _id(key: str | tuple[str, ...]):
+    """An identifier: one column as it is, several as one text, NULL if any of them is."""
+    if isinstance(key, str):
+        return F.col(key)
+    return F.concat(*[c for k in key for c in (F.lit("|"), F.col(k).cast("string"))][1:])
+
+
 def _typed(properties: tuple[tuple[str, ...], ...]):
     return [F.col(p[-1] if len(p) == 3 else p[0]).cast(SPARK_TYPES[p[1]]).alias(p[0]) for p in properties]
 
@@ -168,8 +181,12 @@ def _typed(properties: tuple[tuple[str, ...], ...]):
 def entity_view(t: Tables, name: str, entities: dict[str, Entity] = ENTITIES) -> DataFrame:
     """The bound properties of one entity type, in their declared types. Foreign keys are not
     properties; they live on as edges."""
-    e = entities[name]
-    return getattr(t, e.table).select(_typed(e.properties))
+    views = [getattr(t, e.table).select(_typed(e.properties)) for e in _bindings(entities[name])]
+    out = views[0]
+    for view in views[1:]:
+        # A further table may bind some of the properties only.
+        out = out.unionByName(view, allowMissingColumns=True)
+    return out
 
 
 def entity_index(t: Tables, entities: dict[str, Entity] = ENTITIES) -> DataFrame:
@@ -178,25 +195,33 @@ def entity_index(t: Tables, entities: dict[str, Entity] = ENTITIES) -> DataFrame
         [
             getattr(t, e.table).select(
                 F.lit(e.name).alias("entity_type"),
-                F.col(e.key).cast("string").alias("entity_id"),
+                _id(e.key).cast("string").alias("entity_id"),
                 F.col(e.display).cast("string").alias("display_name"),
             )
-            for e in entities.values()
+            for bound in entities.values()
+            for e in _bindings(bound)
         ]
     )
 
 
+def _with_id(t: Tables, bound) -> DataFrame:
+    views = [
+        getattr(t, b.table).select(_id(b.key).alias("_entity"), *_typed(b.properties)) for b in bound
+    ]
+    out = views[0]
+    for view in views[1:]:
+        out = out.unionByName(view, allowMissingColumns=True)
+    return out
+
+
 def entity_timeseries(
     t: Tables, series: TimeSeries = CSAT_SERIES, entities: dict[str, Entity] = ENTITIES
 ) -> DataFrame:
     """Static properties of each entity next to every observation of its time series. Entities
     without observations appear once, with NULLs."""
-    e = entities[series.entity]
-    source = getattr(t, series.table).withColumnRenamed(series.key, "_entity")
-    static = getattr(t, e.table).withColumn("_entity", F.col(e.key)).select(
-        "_entity", *_typed(e.properties)
-    )
-    observed = source.select("_entity", *_typed(series.properties))
+    static = _with_id(t, _bindings(entities[series.entity]))
+    observed = _with_id(t, [series])
+    source = observed
     # An inner join can be split when one entity holds most observations; an outer join from the
     # entity side could not.
     return (
@@ -213,7 +238,7 @@ def edges_of(t: Tables, r: Relationship) -> DataFrame:
     """Edges of one relationship type, in the key types of the bound table."""
     return (
         getattr(t, r.table)
-        .select(F.col(r.source_column).alias("src_id"), F.col(r.target_column).alias("dst_id"))
+        .select(_id(r.source_column).alias("src_id"), _id(r.target_column).alias("dst_id"))
         .where(F.col("src_id").isNotNull() & F.col("dst_id").isNotNull())
     )
 
@@ -221,8 +246,9 @@ def edges_of(t: Tables, r: Relationship) -> DataFrame:
 def edges(t: Tables, relationships: dict[str, Relationship] = RELATIONSHIPS) -> DataFrame:
     """All typed edges in one frame. Each bound table is read once, and nothing is shuffled."""
     by_table: dict[str, list[Relationship]] = {}
-    for r in relationships.values():
-        by_table.setdefault(r.table, []).append(r)
+    for bound in relationships.values():
+        for r in _bindings(bound):
+            by_table.setdefault(r.table, []).append(r)
     return stacked(
         [
             getattr(t, table)
@@ -233,9 +259,9 @@ def edges(t: Tables, relationships: dict[str, Relationship] = RELATIONSHIPS) ->
                             F.struct(
                                 F.lit(r.name).alias("rel"),
                                 F.lit(r.source).alias("src_type"),
-                                F.col(r.source_column).cast("string").alias("src_id"),
+                                _id(r.source_column).cast("string").alias("src_id"),
                                 F.lit(r.target).alias("dst_type"),
-                                F.col(r.target_column).cast("string").alias("dst_id"),
+                                _id(r.target_column).cast("string").alias("dst_id"),
                             )
                             for r in bound
                         ]
@@ -252,16 +278,16 @@ def entity_degree(t: Tables, relationships: dict[str, Relationship] = RELATIONSH
     """Outgoing edges per relationship and source entity, counted on the native keys."""
     return stacked(
         [
-            edges_of(t, r)
+            stacked([edges_of(t, r) for r in _bindings(bound)])
             .groupBy("src_id")
             .agg(F.count("*").alias("degree"))
             .select(
-                F.lit(r.name).alias("rel"),
-                F.lit(r.source).alias("src_type"),
+                F.lit(_bindings(bound)[0].name).alias("rel"),
+                F.lit(_bindings(bound)[0].source).alias("src_type"),
                 F.col("src_id").cast("string").alias("src_id"),
                 "degree",
             )
-            for r in relationships.values()
+            for bound in relationships.values()
         ]
     )
 
@@ -274,13 +300,15 @@ def traverse(
     Paths are counted after every step instead of being listed, so many ways between two entities
     make a larger number and not more rows.
     """
-    steps = [relationships[name] for name in path]
+    bound = [_bindings(relationships[name]) for name in path]
+    steps = [b[0] for b in bound]
     for a, b in zip(steps, steps[1:]):
         if a.target != b.source:
             raise ValueError(f"{a.name} leads to {a.target}, {b.name} starts at {b.source}")
-    reached = edges_of(t, steps[0]).withColumn("num_paths", F.lit(1).cast("bigint"))
-    for step in steps[1:]:
-        hop = edges_of(t, step).select(
+    hops = [stacked([edges_of(t, r) for r in b]) for b in bound]
+    reached = hops[0].withColumn("num_paths", F.lit(1).cast("bigint"))
+    for edges_ in hops[1:]:
+        hop = edges_.select(
             F.col("src_id").alias("dst_id"), F.col("dst_id").alias("next_id")
         )
         reached = (

@@ -5,15 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pipewright.operators.lookups import total
+from pipewright.operators.lookups import money, total
 from pipewright.tables import Tables
 
 
+def _weighted() -> Column:
+    """Amount times probability, exact: percent of cents have four decimals."""
+    return (money("amount") * F.col("probability") * F.lit("0.01").cast("decimal(3,2)")).cast(
+        "decimal(24,4)"
+    )
+
+
 def _measures() -> list[Column]:
     return [
         F.count("*").alias("num_opps"),
         total("amount").alias("amount"),
-        total(F.col("amount") * F.col("probability") / 100, digits=4).alias("weighted_amount"),
+        F.sum(_weighted()).cast("double").alias("weighted_amount"),
     ]
 
 
@@ -34,8 +41,8 @@ def pipeline_by_line(t: Tables) -> DataFrame:
         .groupBy("product_id")
         .agg(
             F.count("*").alias("n"),
-            F.sum("amount").alias("a"),
-            F.sum(F.col("amount") * F.col("probability") / 100).alias("w"),
+            F.sum(money("amount")).alias("a"),
+            F.sum(_weighted()).alias("w"),
         )
     )
     return (
@@ -43,8 +50,8 @@ def pipeline_by_line(t: Tables) -> DataFrame:
         .groupBy("product_line")
         .agg(
             F.sum("n").alias("num_opps"),
-            total("a").alias("amount"),
-            total("w", digits=4).alias("weighted_amount"),
+            F.sum("a").cast("double").alias("amount"),
+            F.sum("w").cast("double").alias("weighted_amount"),
         )
     )
 

@@ -37,7 +37,7 @@ def open_incidents(t: Tables, severities: tuple[str, ...] = HIGH_SEVERITIES) ->
 def latest_csat(t: Tables) -> DataFrame:
     """Latest satisfaction score of every customer that has one."""
     return t.csat_by_month.groupBy("customer_id").agg(
-        F.max("month").alias("month"), F.max_by("csat", "month").alias("csat")
+        F.max("month").alias("month"), F.max(F.struct("month", "csat"))["csat"].alias("csat")
     )
 
 

@@ -9,19 +9,24 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pipewright.functions.text import as_title, clean_text
-from pipewright.operators.digest import PART_ROWS, Heavy, find_heavy, ordered_digest
+from pipewright.operators.digest import ordered_digest
 from pipewright.operators.lookups import stacked
-from pipewright.sources.literal import BIGINT, INT, TEXT, literal_table
-from pipewright.sources.scratch import scratch_path
+from pipewright.sources.literal import INT, TEXT, literal_table
+from pipewright.tables import Tables
 
 
 @dataclass(frozen=True)
 class Seed:
-    """A curated test case: one question and the statements that answer it."""
+    """A curated test case: one question and the statements that answer it.
+
+    A statement names the tables it reads in braces. `part_by` is a column that all its statements
+    return; an answer is then split into a table for each of its values.
+    """
 
     question: str
     statements: tuple[str, ...]
     titles: tuple[str | None, ...] = ()
+    part_by: str | None = None
 
 
 def cell(field: T.StructField) -> Column:
@@ -34,7 +39,7 @@ def cell(field: T.StructField) -> Column:
         text = F.when(col, "True").when(~col, "False")
     else:
         text = col.cast("string")
-    text = F.replace(F.replace(text, F.lit("\n"), F.lit("<br>")), F.lit("|"), F.lit("\\|"))
+    text = F.replace(F.regexp_replace(text, "\r\n?|\n", "<br>"), F.lit("|"), F.lit("\\|"))
     return F.coalesce(text, F.lit(""))
 
 
@@ -42,40 +47,35 @@ def header(columns: list[str]) -> str:
     return f"| {' | '.join(columns)} |\n|{':-|' * len(columns)}"
 
 
+def lines_of(df: DataFrame, columns: list[str]) -> Column:
+    """A row as a line of a Markdown table."""
+    cells = [cell(f) for f in df.schema.fields if f.name in columns]
+    return clean_text(F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")))
+
+
 def markdown_render(
     df: DataFrame,
     keys: list[str],
     order: list[str],
     title: str | None = None,
-    part_rows: int = PART_ROWS,
-    heavy: Heavy | None = None,
+    parts: tuple[str, ...] = (),
 ) -> DataFrame:
-    """One Markdown table per group of `keys`, rows in the given order.
+    """One Markdown table per group of `keys` and value of `parts`, rows in the given order.
 
-    The key columns and the `title` column head the table and are not repeated inside. A group with
-    more than `part_rows` rows becomes several tables, numbered by `part`, each with the header.
+    The columns of `keys` and `title` head the table and are not repeated inside. `title` must be
+    the same on all rows of a group.
     """
-    outside = {*keys, *([title] if title else [])}
-    fields = [f for f in df.schema.fields if f.name not in outside]
-    row = F.concat(F.lit("| "), F.concat_ws(" | ", *[cell(f) for f in fields]), F.lit(" |"))
+    heading = [title] if title else []
+    fields = [c for c in df.columns if c not in {*keys, *heading}]
+    grouping = list(dict.fromkeys([*keys, *heading]))
     lines = df.select(
-        *dict.fromkeys([*keys, *([title] if title else []), *order]), clean_text(row).alias("_line")
+        *dict.fromkeys([*grouping, *parts, *order]), lines_of(df, fields).alias("_line")
     )
-    body = ordered_digest(
-        lines,
-        keys=keys,
-        order=order,
-        line="_line",
-        separator="\n",
-        out="_body",
-        heavy=heavy or find_heavy(df, keys, part_rows),
-        part_rows=part_rows,
-        aggregates={"_title": F.max(title)} if title else None,
-    ).frame()
-    table = F.concat(F.lit(clean_text_literal(header([f.name for f in fields])) + "\n"), "_body")
+    body = ordered_digest(lines, grouping, order, "_line", "\n", "_body", parts)
+    table = F.concat(F.lit(clean_text_literal(header(fields)) + "\n"), "_body")
     if title:
-        table = F.concat(clean_text(as_title(F.col("_title"))), F.lit("\n\n"), table)
-    return body.select(*keys, "part", table.alias("markdown"))
+        table = F.concat(clean_text(as_title(F.col(title))), F.lit("\n\n"), table)
+    return body.select(*keys, *parts, table.alias("markdown"))
 
 
 def clean_text_literal(text: str) -> str:
@@ -92,70 +92,60 @@ def _headed(title: str | None, table: str) -> str:
     return clean_text_literal(f"{title}\n\n{table}")
 
 
-def ground_truth(
-    spark: SparkSession, seeds: list[Seed], part_rows: int = PART_ROWS
-) -> DataFrame:
-    """Run every seed over the registered tables: (question, sql, part, result).
+def _answer(answer: DataFrame, title: str | None, part_by: str | None) -> DataFrame:
+    """(part, _text): an answer as Markdown, rows sorted by their columns from left to right."""
+    part = F.col(part_by).cast("string") if part_by else F.lit("all")
+    rows = answer.select(
+        part.alias("part"),
+        F.struct(*answer.columns).alias("_order"),
+        lines_of(answer, answer.columns).alias("_line"),
+    )
+    # Without values to sort by, the head comes first.
+    head = answer.sparkSession.range(1).select(
+        F.lit("head" if part_by else "all").alias("part"),
+        F.lit(None).cast(rows.schema["_order"].dataType).alias("_order"),
+        F.lit(_headed(title, header(answer.columns))).alias("_line"),
+    )
+    return ordered_digest(head.union(rows), ["part"], ["_order"], "_line", "\n", "_text")
 
-    Each result is written once to the shared folder and rendered from there. Several tables of one
-    question are joined by a blank line; a result too large for one text yields several parts.
+
+def ground_truth(t: Tables, seeds: list[Seed]) -> DataFrame:
+    """The answer of every seed over the given tables: (question, sql, part, result).
+
+    Several tables of one question are joined by a blank line. A seed without `part_by` has one row
+    with the part `all`. One with `part_by` has a row for each value, and one with the part `head`,
+    which holds the head of the table; so an empty answer has a row as well. Nothing runs before the
+    result is used.
     """
-    items, split = [], False
+    texts = []
     for number, seed in enumerate(seeds):
         titles = seed.titles or (None,) * len(seed.statements)
         if len(titles) != len(seed.statements):
             raise ValueError("give one title per statement, or none")
         for position, (statement, title) in enumerate(zip(seed.statements, titles)):
-            path = scratch_path(spark, "answer")
-            answer = spark.sql(statement)
-            columns = answer.columns
-            answer = answer.withColumn("_seed", F.lit(number))
-            if title:
-                answer = answer.withColumn("_heading", F.lit(title))
-            answer.write.parquet(path)
-            keyed = spark.read.parquet(path)
-            if keyed.isEmpty():
-                items.append(
-                    literal_table(
-                        spark,
-                        [("_seed", INT), ("position", INT), ("part", BIGINT), ("result", TEXT)],
-                        [(number, position, 1, _headed(title, header(columns)))],
-                    )
-                )
-                continue
-            heavy = find_heavy(keyed, ["_seed"], part_rows)
-            split = split or not heavy.none
-            rendered = markdown_render(
-                keyed, ["_seed"], columns, "_heading" if title else None, part_rows, heavy
-            )
-            items.append(
-                rendered.select(
-                    "_seed",
-                    F.lit(position).alias("position"),
-                    "part",
-                    F.col("markdown").alias("result"),
-                )
+            frames = {n: getattr(t, n) for n in t.names() if f"{{{n}}}" in statement}
+            text = _answer(t.spark.sql(statement, **frames), title, seed.part_by)
+            texts.append(
+                text.select(F.lit(number).alias("_seed"), F.lit(position).alias("position"), "*")
             )
+    # As many texts per question and part as it has statements.
+    joined = stacked(texts).groupBy("_seed", "part").agg(
+        F.sort_array(F.collect_list(F.struct("position", "_text"))).alias("_texts")
+    )
     questions = literal_table(
-        spark,
+        t.spark,
         [("_seed", INT), ("question", TEXT), ("sql", TEXT)],
         [
-            (i, clean_text_literal(s.question), clean_text_literal(";\n".join(s.statements)))
+            (
+                i,
+                clean_text_literal(s.question),
+                clean_text_literal(";\n".join(s.statements).replace("{", "").replace("}", "")),
+            )
             for i, s in enumerate(seeds)
         ],
     )
-    tables = stacked(items)
-    if not split:
-        # As many short texts per question as it has statements.
-        texts = F.transform(
-            F.sort_array(F.collect_list(F.struct("position", "result"))), lambda e: e["result"]
-        )
-        tables = tables.groupBy("_seed").agg(F.concat_ws("\n\n", texts).alias("result"))
-        tables = tables.withColumn("part", F.lit(1).cast("bigint"))
-    else:
-        # Parts of later statements follow those of earlier ones.
-        tables = tables.withColumn("part", F.col("position") * F.lit(1 << 50) + F.col("part"))
-    return questions.join(tables, "_seed").select("question", "sql", "part", "result")
+    result = F.concat_ws("\n\n", F.transform("_texts", lambda e: e["_text"]))
+    return questions.join(joined, "_seed").select("question", "sql", "part", result.alias("result"))
 
 
 def question_variants(

@@ -39,30 +39,34 @@ _KINDS = {
         "targetKeyRefBindings array<struct<sourceColumnName: string>>",
     ),
 }
-MAX_TYPES = 10_000
 
 
 @dataclass(frozen=True)
 class Model:
-    entities: dict[str, Entity]
-    series: dict[str, TimeSeries]
-    relationships: dict[str, Relationship]
+    """What a definition binds. A type may be bound to several tables."""
+
+    entities: dict[str, tuple[Entity, ...]]
+    series: dict[str, tuple[TimeSeries, ...]]
+    relationships: dict[str, tuple[Relationship, ...]]
 
 
 def _collected(parts: DataFrame, kind: str) -> list[tuple[str, dict]]:
+    """All parts of a kind, by path: as many rows as the model has types and bindings."""
     pattern, schema = _KINDS[kind]
     rows = (
         parts.where(F.col("is_json") & F.col("path").rlike(pattern))
         .select(
+            "path",
             F.regexp_extract("path", pattern, 1).alias("owner"),
             F.from_json("content", schema).alias("body"),
         )
-        .limit(MAX_TYPES + 1)
         .collect()
     )
-    if len(rows) > MAX_TYPES:
-        raise ValueError(f"more than {MAX_TYPES} parts of kind {kind}: not a model definition")
-    return [(r["owner"], r["body"].asDict(recursive=True)) for r in rows]
+    return [(r["owner"], r["body"].asDict(recursive=True)) for r in sorted(rows, key=lambda r: r["path"])]
+
+
+def _key(columns: list[str]) -> str | tuple[str, ...]:
+    return columns[0] if len(columns) == 1 else tuple(columns)
 
 
 def load_model(parts: DataFrame) -> Model:
@@ -74,7 +78,7 @@ def load_model(parts: DataFrame) -> Model:
         config = body["dataBindingConfiguration"]
         column = {b["targetPropertyId"]: b["sourceColumnName"] for b in config["propertyBindings"]}
         table = config["sourceTableProperties"]["sourceTableName"]
-        (key,) = e["entityIdParts"]
+        key = _key([column[part] for part in e["entityIdParts"]])
 
         def bound(properties):
             return tuple(
@@ -86,30 +90,30 @@ def load_model(parts: DataFrame) -> Model:
             )
 
         if config["dataBindingType"] == "TimeSeries":
-            series[e["name"]] = TimeSeries(
-                e["name"],
-                table,
-                column[key],
-                config["timestampColumnName"],
-                bound(e["timeseriesProperties"]),
+            one = TimeSeries(
+                e["name"], table, key, config["timestampColumnName"], bound(e["timeseriesProperties"])
             )
+            series[e["name"]] = (*series.get(e["name"], ()), one)
         else:
-            display = column[e["displayNamePropertyId"]]
-            entities[e["name"]] = Entity(
-                e["name"], e["id"], table, column[key], display, bound(e["properties"])
-            )
-    contexts = dict(_collected(parts, "context"))
+            # A further table need not hold the display property; its key stands in.
+            display = column.get(e["displayNamePropertyId"], key if isinstance(key, str) else key[0])
+            one = Entity(e["name"], e["id"], table, key, display, bound(e["properties"]))
+            entities[e["name"]] = (*entities.get(e["name"], ()), one)
+    contexts: dict[str, list[dict]] = {}
+    for owner, body in _collected(parts, "context"):
+        contexts.setdefault(owner, []).append(body)
     relationships = {}
     for _, r in _collected(parts, "relationship"):
-        context = contexts[r["id"]]
-        (source,), (target,) = context["sourceKeyRefBindings"], context["targetKeyRefBindings"]
-        relationships[r["name"]] = Relationship(
-            r["name"],
-            r["id"],
-            types[r["source"]["entityTypeId"]]["name"],
-            types[r["target"]["entityTypeId"]]["name"],
-            context["dataBindingTable"]["sourceTableName"],
-            source["sourceColumnName"],
-            target["sourceColumnName"],
+        relationships[r["name"]] = tuple(
+            Relationship(
+                r["name"],
+                r["id"],
+                types[r["source"]["entityTypeId"]]["name"],
+                types[r["target"]["entityTypeId"]]["name"],
+                context["dataBindingTable"]["sourceTableName"],
+                _key([b["sourceColumnName"] for b in context["sourceKeyRefBindings"]]),
+                _key([b["sourceColumnName"] for b in context["targetKeyRefBindings"]]),
+            )
+            for context in contexts[r["id"]]
         )
     return Model(entities, series, relationships)

@@ -4,8 +4,8 @@ Everything is a row-wise projection of whole source tables, so reading a derived
 pruned scan; only the satisfaction scores aggregate. Dates that jobs filter on are plain casts of
 source columns, which lets Spark push the range into the scan, and codes are spelled out by nested
 two-way choices, which Spark folds back to a test on the source column. A few rules are broken on
-purpose (notes of unknown opportunities, a note type outside the vocabulary, tickets closed before
-they were opened, scores outside 1..5, repeated activity ids), so that the checks have something to
+purpose (notes of unknown opportunities, note types and priorities outside the vocabulary, missing currencies
+and priorities, tickets closed before they were opened, scores outside 1..5, repeated activity ids), so that the checks have something to
 find.
 """
 
@@ -43,7 +43,7 @@ _EVENT_DAY = "date_sub(cast(ts as date), 8766)"
 _OPPORTUNITIES = [
     "o_orderkey AS opp_id",
     "o_custkey AS customer_id",
-    "o_orderkey % 20 AS product_id",
+    "(o_custkey * 3 + o_orderkey % 4) % 200 AS product_id",
     "if(o_orderpriority = '1-URGENT', 'Renewal', if(o_orderpriority = '2-HIGH', 'Expansion', "
     "if(o_orderpriority = '3-MEDIUM', 'Expansion', 'Project'))) AS type",
     "if(o_orderstatus = 'O', 'Open', if(o_orderstatus = 'F', 'Won', 'Lost')) AS status",
@@ -58,7 +58,7 @@ _OPPORTUNITIES = [
     "cast(o_orderkey % 3 + 1 as int)), null) AS forecast_category",
     f"date_add({_OPENED}, cast(3 + o_orderkey % 88 as int)) AS stage_last_changed_at",
     "o_totalprice AS amount",
-    "'EUR' AS currency",
+    "if(o_orderkey % 997 = 0, null, 'EUR') AS currency",
     "cast(if(o_orderstatus = 'O', 30 + 10 * (o_orderkey % 5), if(o_orderstatus = 'F', 100, 0)) "
     "as int) AS probability",
     "if(o_orderpriority = '1-URGENT', 12, null) AS renewal_term_months",
@@ -86,17 +86,17 @@ _NOTES = [
 _TICKETS = [
     "event_id AS ticket_id",
     "user_id AS customer_id",
-    "event_id % 20 AS product_id",
+    "event_id % 200 AS product_id",
     "if(event_id % 4 = 0, 'Open', 'Closed') AS status",
     f"{_EVENT_DAY} AS opened_at",
     f"if(event_id % 4 = 0, null, date_add({_EVENT_DAY}, cast(event_id % 30 - 1 as int))) "
     "AS closed_at",
     "if(event_type = 'error', 'Critical', if(event_type = 'purchase', 'High', "
     "if(event_type = 'signup', 'Medium', 'Low'))) AS severity",
-    "if(event_type = 'error', 'P1', if(event_type = 'purchase', 'P2', "
-    "if(event_type = 'signup', 'P3', 'P4'))) AS priority",
+    "if(event_id % 499 = 0, null, if(event_id % 101 = 0, 'P5', if(event_type = 'error', 'P1', "
+    "if(event_type = 'purchase', 'P2', if(event_type = 'signup', 'P3', 'P4'))))) AS priority",
     "element_at(array('Portal', 'Email', 'Phone'), cast(event_id % 3 + 1 as int)) AS channel",
-    "concat('Issue on product ', event_id % 20) AS title",
+    "concat('Issue on product ', event_id % 200) AS title",
     "event_id % 4 = 0 AND event_type IN ('error', 'purchase') AND event_id % 3 = 0 "
     "AS sla_breach_flag",
     "element_at(array('L1 Support', 'L2 Support', 'AML Specialists'), "

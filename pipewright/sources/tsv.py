@@ -29,12 +29,12 @@ def _lenient(schema: T.StructType) -> T.StructType:
 
 
 def read_table(
-    spark: SparkSession, path: str, schema: T.StructType, multi_line: bool = True
+    spark: SparkSession, path: str, schema: T.StructType, multi_line: bool = False
 ) -> DataFrame:
     """Read one table with its declared types.
 
-    `multi_line=False` lets Spark split a large file; use it for files known to hold no line breaks
-    inside fields. Malformed records fail the job instead of turning into NULLs.
+    Spark splits a large file between tasks. `multi_line=True` is for files with line breaks inside
+    fields; each of those is read by one task. Malformed records fail the job instead of turning into NULLs.
     """
     raw = (
         spark.read.options(**_OPTIONS)
@@ -68,7 +68,7 @@ def load(
     spark: SparkSession,
     root: str,
     schemas: dict[str, T.StructType] | None = None,
-    multi_line: bool = True,
+    multi_line: bool = False,
 ) -> Tables:
     """Read all tables of a folder, each from `<root>/<table>.csv` (a file or a folder of parts)."""
     schemas = schemas or SCHEMAS

@@ -15,6 +15,19 @@ def made(spark):
     return {name: df.cache() for name, df in t.items()}, t
 
 
+@pytest.mark.parametrize("n", [3, 500])
+def test_facts_fall_on_every_product(spark, n):
+    t = generate.generate(spark.range(100), spark.range(n), AS_OF)
+    for table in (t.support_tickets, t.sales_opportunities):
+        used = {r["product_id"] for r in table.select("product_id").distinct().collect()}
+        known = {r["product_id"] for r in t.products.collect()}
+        assert used <= known
+        assert len(used) == n if n == 3 else len(used) > 450
+    assert checks.orphan_rows(t).count() == 0
+    with pytest.raises(ValueError):
+        generate.generate(spark.range(2), spark.range(0), AS_OF)
+
+
 def test_declared_columns(made):
     for name, df in made[0].items():
         assert [(f.name, f.dataType) for f in df.schema] == [
@@ -83,10 +96,10 @@ def test_deals_closing_this_month_go_stale(made):
 
 
 def test_output_does_not_depend_on_partitioning(spark):
-    ids = spark.range(30)
-    for make in (generate.gen_tickets, generate.gen_opportunities, generate.gen_sales_activities):
-        once = make(generate.gen_customers(ids.repartition(1)), AS_OF)
-        again = make(generate.gen_customers(ids.repartition(7)), AS_OF)
+    ids, products = spark.range(30), spark.range(50)
+    for name in ("support_tickets", "sales_opportunities", "sales_activities"):
+        once = getattr(generate.generate(ids.repartition(1), products, AS_OF), name)
+        again = getattr(generate.generate(ids.repartition(7), products.repartition(3), AS_OF), name)
         assert once.exceptAll(again).count() == 0 and again.exceptAll(once).count() == 0
 
 
@@ -113,5 +126,5 @@ def test_forced_renewals_against_a_plain_loop(spark):
             elif kind == "Renewal" and renewals >= 2:
                 kind = ("Expansion", "Project")[slot(h, 2) % 2]
             expected[f"O{5000 + number}"] = kind
-    made = generate.gen_opportunities(generate.gen_customers(spark.range(40)), AS_OF)
+    made = generate.generate(spark.range(40), spark.range(8), AS_OF).sales_opportunities
     assert {r["opp_id"]: r["type"] for r in made.collect()} == expected

@@ -7,7 +7,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from pipewright.functions.dates import month_window
-from pipewright.operators import digest as digests
 from pipewright.plans import accelerate, customer360, notes
 from pipewright.policy import AcceleratePolicy
 from tests.small import dicts, tables
@@ -48,45 +47,52 @@ def brute_force(rows):
 
 
 def collected(df):
-    """Digest per opportunity, parts put together in order, with the largest number of lines."""
-    parts = {}
-    for r in sorted(df.collect(), key=lambda r: r["notes_part"]):
-        parts.setdefault(r["opp_id"], []).append((r["last_signal"], r["opp_notes"]))
-    joined = {
-        opp: (texts[0][0], ";\n\n".join(text for _, text in texts)) for opp, texts in parts.items()
-    }
-    signals = {opp: {s for s, _ in texts} for opp, texts in parts.items()}
-    assert all(len(s) == 1 for s in signals.values())
-    longest = max(len(text.split(";\n\n")) for texts in parts.values() for _, text in texts)
-    return joined, longest, {opp: len(texts) for opp, texts in parts.items()}
-
-
-def test_whole_digest(spark, rows):
-    joined, _, parts = collected(notes.note_digest(tables(spark, opportunity_notes=rows)))
-    assert joined == brute_force(rows)
-    assert set(parts.values()) == {1}
-
-
-def test_heavy_groups_are_split_and_whole(spark, rows):
-    t = tables(spark, opportunity_notes=rows)
-    joined, longest, parts = collected(notes.note_digest(t, part_rows=12))
-    assert joined == brute_force(rows)
-    assert longest <= 12
-    assert parts["hot"] >= 9
-    assert max(n for opp, n in parts.items() if opp != "hot") == 1
-
-
-def test_too_many_heavy_groups_to_list(spark, rows, monkeypatch):
-    monkeypatch.setattr(digests, "MAX_HEAVY", 3)
-    joined, longest, _ = collected(
-        notes.note_digest(tables(spark, opportunity_notes=rows), part_rows=4)
+    """Digest per opportunity, its months put together in order."""
+    months = {}
+    for r in sorted(df.collect(), key=lambda r: r["notes_month"]):
+        months.setdefault(r["opp_id"], []).append((r["last_signal"], r["opp_notes"]))
+    assert all(len({s for s, _ in texts}) == 1 for texts in months.values())
+    return {o: (texts[0][0], ";\n\n".join(t for _, t in texts)) for o, texts in months.items()}
+
+
+def test_digest(spark, rows):
+    df = notes.note_digest(tables(spark, opportunity_notes=rows))
+    assert collected(df) == brute_force(rows)
+    for r in df.collect():
+        days = [line.split(": ")[0].split("/") for line in r["opp_notes"].split(";\n\n")]
+        month = r["notes_month"]
+        assert {(int(m), int(y)) for m, _, y in days} == {(month.month, month.year)}
+
+
+def test_every_run_cuts_alike(spark):
+    rows = spark.range(60_000).selectExpr(
+        "concat('O', id % 3) AS opp_id",
+        "concat('N', id) AS note_id",
+        "date_add(DATE'2026-01-01', cast(id % 200 as int)) AS note_at",
+        "'risk' AS note_type",
+        "concat('note ', hash(id)) AS note_text",
+        "'' AS tags",
     )
-    assert joined == brute_force(rows)
-    assert longest <= 4
-
-
-def test_heavy_notes_keep_their_opportunity(spark, rows, monkeypatch):
-    opps = [{"opp_id": o} for o in ["hot", "silent", *{r["opp_id"] for r in rows} - {"hot"}]]
+    t = tables(spark).replaced(opportunity_notes=rows)
+    first = sorted(notes.note_digest(t).collect())
+    again = t.replaced(opportunity_notes=rows.repartition(13, "note_text"))
+    assert first == sorted(notes.note_digest(again).collect())
+    assert len(first) == 3 * 7 and sum(r["opp_notes"].count(";\n\n") + 1 for r in first) == 60_000
+
+
+def test_no_job_runs_while_a_query_is_built(spark, rows):
+    t = tables(spark, opportunity_notes=rows, customers=[{"customer_id": "C1"}])
+    spark.sparkContext.setJobGroup("building", "")
+    notes.note_digest(t)
+    customer360.customer_360_opps(t)
+    accelerate.accelerate(t, AcceleratePolicy(*month_window(2026, 2)))
+    customer360.critical_ticket_actions(t)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("building")
+
+
+def test_notes_meet_their_opportunity(spark, rows):
+    opps = [{"opp_id": o} for o in ["silent", *{r["opp_id"] for r in rows}]]
     t = tables(
         spark,
         customers=[{"customer_id": "C1"}],
@@ -98,27 +104,14 @@ def test_heavy_notes_keep_their_opportunity(spark, rows, monkeypatch):
             for i, o in enumerate(opps)
         ],
     )
-    whole = customer360.customer_360_opps(t)
-    split = customer360.customer_360_opps(t, part_rows=12)
-    assert whole.count() == len(opps)
-    assert {r["opp_id"] for r in split.collect()} == {o["opp_id"] for o in opps}
-    assert split.where("opp_id = 'silent'").collect()[0]["notes_part"] == 1
-    monkeypatch.setattr(digests, "MAX_HEAVY", 2)
-    sorted_route = customer360.customer_360_opps(t, part_rows=4)
-
-    def texts(df):
-        out = {}
-        for r in sorted(df.collect(), key=lambda r: r["notes_part"]):
-            out.setdefault(r["opp_id"], []).append(r["opp_notes"])
-        return {o: None if x == [None] else ";\n\n".join(x) for o, x in out.items()}
-
-    assert texts(whole) == texts(split) == texts(sorted_route)
-    monkeypatch.undo()
-    policy = AcceleratePolicy(*month_window(2026, 2))
+    expected = {o: text for o, (_, text) in brute_force(rows).items()} | {"silent": None}
+    got = {}
+    for r in sorted(customer360.customer_360_opps(t).collect(), key=lambda r: str(r["notes_month"])):
+        got.setdefault(r["opp_id"], []).append(r["opp_notes"])
+    assert {o: None if x == [None] else ";\n\n".join(x) for o, x in got.items()} == expected
     quiet = {o for o, (signal, _) in brute_force(rows).items() if signal != "risk"} | {"silent"}
-    for size in (1000, 12):
-        got = accelerate.accelerate(t, policy, part_rows=size)
-        assert {r["opp_id"] for r in got.collect()} == quiet
+    forward = accelerate.accelerate(t, AcceleratePolicy(*month_window(2026, 2)))
+    assert {r["opp_id"] for r in forward.collect()} == quiet
 
 
 def test_tie_on_the_last_day_is_decided_by_id(spark):

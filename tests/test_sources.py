@@ -44,7 +44,7 @@ def test_tsv_roundtrip(spark, t, tmp_path):
     assert {r["table_name"] for r in report} == set(Tables.names())
     for r in report:
         assert r["num_source"] == r["num_copy"] and r["num_different"] == 0, r
-    back = tsv.load(spark, str(tmp_path))
+    back = tsv.load(spark, str(tmp_path), multi_line=True)
     assert back.opportunity_notes.where("note_id = 'N1'").collect()[0]["note_text"] == ODD_TEXT
 
 
@@ -139,6 +139,38 @@ def test_definition_parts(spark):
     }
 
 
+def test_bad_definitions_are_reported(spark):
+    def document(*parts):
+        return json.dumps(
+            {"definition": {"parts": [dict(zip(("path", "payload", "payloadType"), p)) for p in parts]}}
+        )
+
+    rows = [
+        ("cut off", document(("a.json", "e30=", "InlineBase64"))[:20]),
+        ("not an object", "[1]"),
+        ("no document", None),
+        ("bad base64", document(("a.json", "%%%", "InlineBase64"), ("b.txt", "YQ==", "InlineBase64"))),
+        ("bad json", document(("a.json", "bm90IGpzb24=", "InlineBase64"))),
+        ("no parts", document()),
+    ]
+    df = spark.createDataFrame(rows, "item string, document string")
+    parts = definitions.definition_parts(df, "item", "document")
+    assert sorted((r.item, r.status, r.content) for r in parts.collect() if r.content) == [
+        ("bad base64", "text", "a"), ("bad json", "not json", "not json"),
+    ]
+    assert sorted((r.item, r.status) for r in parts.collect() if not r.content) == [
+        ("bad base64", "not base64"), ("cut off", "no definition"),
+        ("no document", "no definition"), ("not an object", "no definition"),
+    ]
+    whole = {
+        r.item: (r.document, r.status)
+        for r in definitions.definition_documents(df, "item", "document").collect()
+    }
+    assert whole["bad base64"] == ('{"a.json":null,"b.txt":"a"}', "json")
+    assert whole["no parts"] == ("{}", "json")
+    assert {whole[k] for k in ("cut off", "not an object", "no document")} == {(None, "no definition")}
+
+
 def test_definition_documents(spark, tmp_path):
     expected = {
         "a/definition.json": {"id": "1", "deep": {"x": [1, 2.5, None]}},
