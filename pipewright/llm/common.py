@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from math import ceil
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +13,7 @@ from pyspark.sql import types as T
 from pipewright.sources.scratch import scratch_path
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+FILE_ROWS = 200_000  # of a narrow table on its way
 BATCH_BYTES = 16 << 20  # of one Arrow batch, so that long texts do not pile up in a Python worker
 
 
@@ -30,11 +32,13 @@ def ascii_lower(text):
     return F.translate(text, UPPER, LOWER)
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
+def written(df: DataFrame, label: str, rows: int | None = None) -> DataFrame:
     """The frame written to the shared folder and read again: a cut in the lineage that survives
-    lost executors."""
+    lost executors. `rows`, where known, bounds the number of files, each of up to FILE_ROWS."""
     spark = df.sparkSession
     path = scratch_path(spark, label)
+    if rows is not None:
+        df = df.coalesce(max(4, ceil(rows / FILE_ROWS)))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
