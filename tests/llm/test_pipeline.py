@@ -1,5 +1,7 @@
 import corpus_pipeline
 from pipewright.llm.language import identify
+from pipewright.llm.mixing import mixed
+from pipewright.llm.queries import OTHER_WEIGHT, WEIGHTS
 from tests.llm.test_decontaminate import brute as leaks
 from tests.llm.test_jaccard_join import brute as groups
 from tests.llm.small import awkward, docs
@@ -56,3 +58,20 @@ def test_awkward_rows_and_no_rows(spark):
         for _, stage in corpus_pipeline.STAGES:
             frame = corpus_pipeline.written(stage(spark, frame, FOLDER), "t")
         frame.collect()
+
+
+def test_every_shard_follows_the_mix(spark):
+    """The slots are those of the mix; without the mixing stage they would be others."""
+    stages = dict(corpus_pipeline.STAGES)
+    rows = [(i, f"text {i}", "en", "src0" if i % 3 else "src1", 6) for i in range(9_000)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    mix = corpus_pipeline.written(stages["mixing sources to target weights"](spark, frame.repartition(5), FOLDER), "t")
+    found = stages["sharding"](spark, mix, FOLDER).collect()
+    position = {r.doc_id: r.position for r in mixed(frame, WEIGHTS, other=OTHER_WEIGHT).collect()}
+    assert {r.doc_id: (r.shard, r.slot) for r in found} == {i: (p % 24, p // 24) for i, p in position.items()}
+    weight = WEIGHTS["src0"] / (WEIGHTS["src0"] + WEIGHTS["src1"])
+    for shard in range(24):
+        head = [r.source for r in found if r.shard == shard and r.slot < 260]
+        assert len(head) == 260 and abs(head.count("src0") - weight * 260) <= 6
+    plain = stages["sharding"](spark, corpus_pipeline.written(frame.repartition(5), "t"), FOLDER)
+    assert {(r.doc_id, r.shard, r.slot) for r in plain.collect()} != {(r.doc_id, r.shard, r.slot) for r in found}
