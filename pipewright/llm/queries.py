@@ -13,6 +13,7 @@ from pipewright.llm import (
     language,
     licenses,
     line_dedup,
+    merkle,
     mixing,
     quality,
     secrets,
@@ -105,6 +106,10 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(read_table(spark, sf_dir, "documents"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.proved_manifest(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": op1_quality,
@@ -117,6 +122,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_source_mixing": op8_source_mixing,
         "op9_language_id": op9_language_id,
         "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
+        "op11_merkle_manifest": op11_merkle_manifest,
     }
 
 
