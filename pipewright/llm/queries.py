@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pipewright.llm import (
     align,
     decontaminate,
+    hmm,
     jaccard_join,
     language,
     licenses,
@@ -111,6 +112,10 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.proved_manifest(read_table(spark, sf_dir, "documents"))
 
 
+def op12_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score_texts(read_table(spark, sf_dir, "documents"))
+
+
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.token_alignment(read_table(spark, sf_dir, "documents"))
 
@@ -128,6 +133,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_language_id": op9_language_id,
         "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
         "op11_merkle_manifest": op11_merkle_manifest,
+        "op12_lm_scoring": op12_lm_scoring,
         "op13_token_alignment": op13_token_alignment,
     }
 

@@ -12,7 +12,7 @@ FOLDER = "/root/testdata/sf0.001"
 
 
 def test_one_query_for_each_operator():
-    assert [n.split("_")[0] for n in queries.queries()] == [f"op{i}" for i in [*range(1, 12), 13]]
+    assert [n.split("_")[0] for n in queries.queries()] == [f"op{i}" for i in range(1, 14)]
     assert {*queries.queries(), "pipeline"} <= set(registry.queries())
     assert set(queries.oracle_sql()) <= set(queries.queries())
 
