@@ -10,10 +10,11 @@ from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from oracles import oracle_statements
 from oracles.definition import MODEL_DOCUMENT
-from oracles.seeds import ALTERED, PHRASINGS, SEEDS
+from oracles.seeds import ALTERED, CASES, PHRASINGS, SEEDS
 from pipewright.functions.dates import month_window
 from pipewright.functions.text import clean_text
 from pipewright.operators.lookups import stacked
@@ -31,15 +32,18 @@ from pipewright.plans import (
     renewal,
     slip,
     truth,
+    variants,
 )
 from pipewright.policy import AcceleratePolicy, RenewalPolicy, SlipPolicy
-from pipewright.sources import catalog, star
+from pipewright.sources import catalog, star, tsv
 from pipewright.sources.answers import evaluation_input, read_answers, write_answers
 from pipewright.sources.definitions import (
     definition_documents,
     definition_parts,
     read_documents,
+    read_folder,
     write_documents,
+    write_folder,
 )
 from pipewright.sources.literal import INT, TEXT, literal_table
 from pipewright.sources.model import load_model
@@ -193,10 +197,21 @@ def _documents_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exchange.difference(documents, read_documents(spark, path))
 
 
+def _model_parts(spark: SparkSession) -> DataFrame:
+    document = literal_table(spark, [("item", TEXT), ("document", TEXT)], [("model", MODEL_DOCUMENT)])
+    return definition_parts(document, "item", "document")
+
+
 def _model(spark: SparkSession, sf_dir: str):
     """The model as its own definition document, read back, and the tables it binds."""
-    document = literal_table(spark, [("item", TEXT), ("document", TEXT)], [("model", MODEL_DOCUMENT)])
-    return load_model(definition_parts(document, "item", "document")), star.load(spark, sf_dir)
+    return load_model(_model_parts(spark)), star.load(spark, sf_dir)
+
+
+def _model_folder(spark: SparkSession, sf_dir: str):
+    """The model as a folder with a file for each part, read back, and the tables it binds."""
+    path = scratch_path(spark, "model")
+    write_folder(_model_parts(spark), path)
+    return load_model(read_folder(spark, path)), star.load(spark, sf_dir)
 
 
 def _defined_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -209,6 +224,60 @@ def _defined_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ontology.edges(tables, model.relationships)
 
 
+def _folder_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model, tables = _model_folder(spark, sf_dir)
+    return ontology.entity_index(tables, model.entities)
+
+
+def _folder_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model, tables = _model_folder(spark, sf_dir)
+    return ontology.edges(tables, model.relationships)
+
+
+def _broken_lines(t: Tables) -> DataFrame:
+    """Support activities as lines of an exchange file, some of them broken in one way or another."""
+    return t.support_activities.selectExpr(
+        """concat_ws('\t', activity_id, if(activity_id % 73 = 0, 'T?', cast(ticket_id AS string)),
+            if(activity_id % 97 = 0, '2000-13-45', cast(activity_at AS string)),
+            if(activity_id % 83 = 0, '', description), author, activity_type,
+            concat(minutes_spent, if(activity_id % 89 = 0, '.5', '')),
+            if(activity_id % 79 = 0, 'one more', NULL)) AS line"""
+    )
+
+
+ACTIVITIES = T.StructType(
+    [
+        T.StructField("activity_id", T.LongType(), False),
+        T.StructField("ticket_id", T.LongType(), False),
+        T.StructField("activity_at", T.DateType(), False),
+        T.StructField("description", T.StringType(), False),
+        T.StructField("author", T.StringType()),
+        T.StructField("activity_type", T.StringType()),
+        T.StructField("minutes_spent", T.IntegerType()),
+    ]
+)
+
+
+def _imported(spark: SparkSession, sf_dir: str) -> tuple[Tables, DataFrame, DataFrame]:
+    t = star.load(spark, sf_dir)
+    path = scratch_path(spark, "lines")
+    _broken_lines(t).write.text(path)
+    return t, *tsv.read_with_rejects(spark, path, ACTIVITIES, header=False)
+
+
+def _import_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records of a file that are not fit for its table, and why."""
+    _, _, rejects = _imported(spark, sf_dir)
+    return rejects.select("record", "reason")
+
+
+def _import_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the same file that are, compared with the unbroken ones."""
+    t, good, _ = _imported(spark, sf_dir)
+    fit = " AND ".join(f"activity_id % {n} <> 0" for n in (73, 79, 83, 89, 97))
+    return exchange.difference(t.support_activities.where(fit), good)
+
+
 def _markdown(t: Tables) -> DataFrame:
     """Open opportunities of every customer, a table for each closing year under the customer's
     name."""
@@ -294,15 +363,101 @@ def _eval_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.eval_scores(answers, questions, "policy_id", EXPECTED, RUNS)
 
 
+def _stored(spark: SparkSession, *results: DataFrame) -> DataFrame:
+    """Results saved one after the other to a named table that keeps runs apart, and what it holds.
+    The name goes again; the files stay as long as the process."""
+    schema = f"evaluation_{uuid.uuid4().hex}"
+    spark.sql(f"CREATE SCHEMA {schema}")
+    name, path = f"{schema}.results", scratch_path(spark, "results")
+    for frame in results:
+        catalog.save_run(frame, name, path=path)
+    kept = spark.table(name).schema
+    catalog.drop(spark, [name], schema)
+    return spark.read.schema(kept).parquet(path)
+
+
 def _stored_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The scores appended to a named results table, and the table read back."""
-    spark.sql("CREATE SCHEMA IF NOT EXISTS evaluation")
-    name = f"evaluation.results_{uuid.uuid4().hex}"
-    path = scratch_path(spark, "results")
-    for run in RUNS:
-        scores = _eval_scores(spark, sf_dir).where(F.col("evaluation_id") == run)
-        catalog.save(scores, name, mode="append", path=path)
-    return spark.table(name)
+    """The scores of both runs, written by one sweep and read back."""
+    return _stored(spark, _eval_scores(spark, sf_dir))
+
+
+def _replaced_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A results table after its first run was written a second time, with the scores that it had
+    not had before: every run is there once, the first one as it was written last."""
+    scores = spark.read.parquet(_written(_eval_scores(spark, sf_dir)))
+    first = F.col("evaluation_id") == RUNS[0]
+    early = scores.withColumn("score", F.when(first, 1).otherwise(F.col("score")))
+    return _stored(spark, early, scores.where(first))
+
+
+def _written(df: DataFrame) -> str:
+    path = scratch_path(df.sparkSession, "scores")
+    df.write.parquet(path)
+    return path
+
+
+def _cell_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers of one sweep, changed by a little or a lot, scored cell by cell."""
+    swept = slip.slip_sweep(star.load(spark, sf_dir), _asked_policies(EXPECTED)).withColumn(
+        "policy_id", F.substring_index("policy_id", "/", -1)
+    )
+
+    def answer(run, **changed):
+        own = [changed.get(c, F.col(c)).alias(c) for c in swept.columns]
+        return F.struct(run.alias("run"), *own)
+
+    no_text = F.lit(None).cast("string")
+    other = {"type": no_text, "stage": no_text, "forecast_category": F.lit("?"), "amount": F.col("amount") * 2}
+    late = F.date_format(F.add_months(F.to_date(F.concat("policy_id", F.lit("-01"))), 1), "yyyy-MM")
+    answers = swept.select(
+        F.inline(
+            F.array(
+                answer(F.lit(EXPECTED)),
+                answer(F.lit("to the cent"), amount=F.col("amount") + 0.004),
+                answer(F.lit("an eighth off"), amount=F.when(F.col("opp_id") % 8 == 0, 0.0).otherwise(F.col("amount"))),
+                answer(F.lit("other values"), **other, **{f: 1 - F.col(f) for f in slip.FLAGS}),
+                answer(F.when(F.col("opp_id") % 3 == 0, "a third")),
+                answer(F.lit("a month late"), policy_id=late),
+            )
+        )
+    ).where("run IS NOT NULL")
+    asked = [(p.policy_id.split("/")[1],) for p in _asked_policies(EXPECTED)]
+    questions = literal_table(spark, [("policy_id", TEXT)], asked)
+    runs = ["to the cent", "an eighth off", "other values", "a third", "a month late"]
+    return evaluate.cell_scores(answers, questions, "policy_id", ["opp_id"], EXPECTED, runs)
+
+
+ACCELERATE_SWEEP = [
+    replace(ACCELERATE, policy_id="second half"),
+    AcceleratePolicy(
+        *month_window(2000, 1, 6), stage="Negotiation", min_delivered=2, blocking_signal="neutral",
+        require_forecast=True, policy_id="first half, two visits",
+    ),
+    AcceleratePolicy(*month_window(2000, 1, 12), delivered_types=("call",), product_id=5, policy_id="product 5"),
+]
+
+
+def _answered_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three questions, three variants of each, three phrasings: the policies of each question in
+    one pass, and the answers of every case."""
+    t = star.load(spark, sf_dir)
+    policies = {
+        "slip": (variants.slip_answers, SLIP_SWEEP),
+        "renewal": (variants.renewal_answers, RENEWAL_SWEEP),
+        "accelerate": (variants.accelerate_answers, ACCELERATE_SWEEP),
+    }
+    asked = [case[3] for case in CASES]
+    answers = {
+        seed: job(t, variants.policy_table(spark, [p for p in sweep if p.policy_id in asked]))
+        for seed, (job, sweep) in policies.items()
+    }
+    cases = literal_table(
+        spark, [("seed_id", TEXT), ("kind", TEXT), ("value", TEXT), ("policy_id", TEXT)], CASES
+    )
+    phrasings = literal_table(
+        spark, [("seed_id", TEXT), ("phrasing_no", INT), ("template", TEXT)], PHRASINGS
+    )
+    return variants.answered_variants(cases, phrasings, answers, dict.fromkeys(answers, ["opp_id"]))
 
 
 def _eval_written(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -325,8 +480,11 @@ def _catalog_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All tables saved below a schema, read by `schema.table` and compared."""
     tables = star.load(spark, sf_dir)
     schema = f"exchange_{uuid.uuid4().hex}"
-    copy = catalog.save_all(spark, tables, schema, root=scratch_path(spark, "catalog"))
-    return exchange.differences(tables, copy)
+    root = scratch_path(spark, "catalog")
+    copy = catalog.save_all(spark, tables, schema, root=root)
+    opened = {name: spark.read.schema(df.schema).parquet(f"{root}/{name}") for name, df in copy.items()}
+    catalog.drop(spark, [f"{schema}.{name}" for name in Tables.names()], schema)
+    return exchange.differences(tables, Tables(spark, opened))
 
 
 def entry(spark: SparkSession) -> DataFrame:
@@ -415,6 +573,21 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "traverse_path_customer_ticket_activity": lambda t: ontology.traverse(
             t, ["has_ticket", "has_support_activity"]
         ),
+        "route_product_to_customer": lambda t: ontology.connected(t, "product", "customer"),
+        "route_note_to_product": lambda t: ontology.connected(t, "sales_note", "product"),
+        "note_digest_whole": lambda t: notes.note_digest(t, whole=True),
+        "accelerate_whole": lambda t: accelerate.accelerate(t, ACCELERATE, whole=True),
+        "customer_360_opps_whole": lambda t: customer360.customer_360_opps(t, whole=True),
+        "critical_ticket_actions_whole": lambda t: customer360.critical_ticket_actions(t, whole=True),
+        "policy_table_slip": lambda t: variants.slip_answers(
+            t, variants.policy_table(t.spark, SLIP_SWEEP)
+        ),
+        "policy_table_renewals": lambda t: variants.renewal_answers(
+            t, variants.policy_table(t.spark, RENEWAL_SWEEP)
+        ),
+        "policy_table_accelerate": lambda t: variants.accelerate_answers(
+            t, variants.policy_table(t.spark, ACCELERATE_SWEEP)
+        ),
         "vocab_violations": checks.vocab_violations,
         "orphan_rows": checks.orphan_rows,
         "key_violations": checks.key_violations,
@@ -444,6 +617,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "documents_roundtrip": _documents_roundtrip,
         "entity_index_from_definition": _defined_entities,
         "edges_from_definition": _defined_edges,
+        "entity_index_from_folder": _folder_entities,
+        "edges_from_folder": _folder_edges,
+        "import_rejects": _import_rejects,
+        "import_loaded": _import_loaded,
+        "answered_variants": _answered_variants,
+        "eval_cell_scores": _cell_scores,
+        "eval_runs_replaced": _replaced_runs,
         "tsv_roundtrip": lambda spark, sf_dir: exchange.tsv_roundtrip(
             spark, star.load(spark, sf_dir)
         ),

@@ -36,7 +36,7 @@ def _reasons(*pairs: tuple[str, str]) -> str:
     return f"array_to_string(list_filter([{named}], lambda r: r IS NOT NULL), '; ')"
 
 
-def _sweep() -> str:
+def sweep_sql() -> str:
     # (id, start, end, as_of, base, activity, stagnant, signal, exact tag, severities, product)
     rows = [
         (f"2000-{m:02d}", f"2000-{m:02d}-01", f"2000-{m + 1:02d}-01" if m < 12 else "2001-01-01",
@@ -159,6 +159,8 @@ NOTE_MONTHS = f"""
     array_to_string(list_transform(list_sort(list({{'d': note_at, 't': {_dated('note_at', 'note_text')}}})),
       lambda n: n.t), chr(59) || chr(10) || chr(10)) AS opp_notes
   FROM opportunity_notes GROUP BY ALL"""
+# All notes of a deal in one text.
+NOTES = NOTE_MONTHS.replace("CAST(date_trunc('month', note_at) AS DATE) AS notes_month,", "")
 SIGNALS = """
   SELECT opp_id, max({'d': note_at, 'n': note_id, 't': note_type}).t AS last_signal
   FROM opportunity_notes GROUP BY opp_id"""
@@ -180,6 +182,36 @@ def _open_tickets(where: str = "true") -> str:
       WHERE status = 'Open' AND {where}"""
 
 
+def accelerate_sql(where: str, texts: str = NOTE_MONTHS, visits: str = "type IN ('meeting', 'demo')",
+                   least: int = 1, blocking: str = "risk") -> str:
+    """Deals to pull forward, with all columns of their texts."""
+    return f"""
+      SELECT opp_id, customer_name, expected_close_date, is_forecast, product_name, last_signal,
+        COLUMNS('^(notes_month|opp_notes)$')
+      FROM sales_opportunities deal
+      SEMI JOIN (SELECT opp_id FROM sales_activities WHERE {visits}
+                 GROUP BY opp_id HAVING count(*) >= {least}) USING (opp_id)
+      JOIN customers USING (customer_id) LEFT JOIN products USING (product_id)
+      LEFT JOIN ({SIGNALS}) USING (opp_id) LEFT JOIN ({texts}) USING (opp_id)
+      WHERE deal.status = 'Open' AND last_signal IS DISTINCT FROM '{blocking}' AND {where}"""
+
+
+SECOND_HALF = "stage = 'Proposal' AND expected_close_date BETWEEN DATE '2000-07-01' AND DATE '2000-12-31'"
+ACCELERATE_POLICIES = {
+    "second half": accelerate_sql(SECOND_HALF),
+    "first half, two visits": accelerate_sql(
+        "stage = 'Negotiation' AND is_forecast AND month(expected_close_date) <= 6 "
+        "AND year(expected_close_date) = 2000", least=2, blocking="neutral"),
+    "product 5": accelerate_sql(
+        "stage = 'Proposal' AND year(expected_close_date) = 2000 AND product_id = 5", visits="type = 'call'"),
+}
+ACCELERATE_POLICIES = {
+    name: "SELECT DISTINCT opp_id, customer_name, expected_close_date, is_forecast, product_name, "
+    f"last_signal FROM ({sql})"
+    for name, sql in ACCELERATE_POLICIES.items()
+}
+
+
 def _critical(where: str = "true") -> str:
     return f"""
       SELECT ticket_id, customer_name, product_name, status, priority, title, actions_month, actions
@@ -225,7 +257,7 @@ BUSINESS = {
             ('stage_stagnant_flag', 'stage stagnation'),
             ('delivery_risk_flag', 'delivery risk'))} AS reason
         FROM ({FLAGS}) WHERE {RAISED} >= 1""",
-    "policy_sweep": _sweep(),
+    "policy_sweep": sweep_sql(),
     "policy_sweep_renewals": RENEWAL_SWEEP,
     "expansion_pipeline": f"""
         SELECT customer_id, CAST(sum(CAST(amount AS DECIMAL(18, 2))) AS DOUBLE) AS expansion_amount
@@ -275,6 +307,17 @@ BUSINESS = {
         LEFT JOIN ({SIGNALS}) USING (opp_id) LEFT JOIN ({NOTE_MONTHS}) USING (opp_id)
         WHERE (stage, status) = ('Proposal', 'Open') AND last_signal IS DISTINCT FROM 'risk'
           AND expected_close_date BETWEEN DATE '2000-07-01' AND DATE '2000-12-31'""",
+    "note_digest_whole": f"SELECT * FROM ({NOTES}) NATURAL JOIN ({SIGNALS})",
+    "accelerate_whole": accelerate_sql(SECOND_HALF, NOTES),
+    "customer_360_opps_whole": _open_deals().replace(NOTE_MONTHS, NOTES).replace("notes_month,", ""),
+    "critical_ticket_actions_whole": _critical().replace(
+        "CAST(date_trunc('month', activity_at) AS DATE) AS actions_month,", ""
+    ).replace("actions_month,", ""),
+    "policy_table_slip": sweep_sql(),
+    "policy_table_renewals": RENEWAL_SWEEP,
+    "policy_table_accelerate": " UNION ALL ".join(
+        f"SELECT '{name}' AS policy_id, * FROM ({sql})" for name, sql in ACCELERATE_POLICIES.items()
+    ),
     "customer_360_opps": _open_deals(),
     "customer_360_tickets": _open_tickets(),
     "customer_top_opps": """

@@ -183,3 +183,39 @@ MODEL = {
 MODEL["entity_index_from_definition"] = MODEL["entity_index"]
 MODEL["edges_from_definition"] = MODEL["edges"]
 MODEL["catalog_roundtrip"] = MODEL["tsv_roundtrip"]
+MODEL["entity_index_from_folder"] = MODEL["entity_index"]
+MODEL["edges_from_folder"] = MODEL["edges"]
+
+# Both ways from one type to the other, each counted by pairs of the table that joins them.
+MODEL["route_product_to_customer"] = " UNION ALL ".join(
+    f"SELECT '{route}' AS route, 'product' AS src_type, CAST(product_id AS VARCHAR) AS src_id, "
+    f"'customer' AS dst_type, CAST(customer_id AS VARCHAR) AS dst_id, count(*) AS num_paths "
+    f"FROM {table} GROUP BY product_id, customer_id"
+    for route, table in (
+        ("~has_opportunity_product/~has_opportunity", "sales_opportunities"),
+        ("~has_support_product/~has_ticket", "support_tickets"),
+    )
+)
+MODEL["route_note_to_product"] = """
+    SELECT '~has_opportunity_note/has_opportunity_product' AS route, 'sales_note' AS src_type,
+      CAST(note_id AS VARCHAR) AS src_id, 'product' AS dst_type,
+      CAST(product_id AS VARCHAR) AS dst_id, count(*) AS num_paths
+    FROM opportunity_notes JOIN sales_opportunities USING (opp_id) GROUP BY note_id, product_id"""
+
+_LINE = """concat_ws(chr(9), activity_id, if(activity_id % 73 = 0, 'T?', CAST(ticket_id AS VARCHAR)),
+  if(activity_id % 97 = 0, '2000-13-45', CAST(activity_at AS VARCHAR)),
+  if(activity_id % 83 = 0, '', description), author, activity_type,
+  minutes_spent || if(activity_id % 89 = 0, '.5', ''), if(activity_id % 79 = 0, 'one more', NULL))"""
+MODEL["import_rejects"] = f"""
+    SELECT {_LINE} AS record,
+      CASE WHEN activity_id % 79 = 0 THEN 'wrong number of fields'
+        WHEN activity_id % 73 = 0 THEN 'no bigint in ticket_id'
+        WHEN activity_id % 97 = 0 THEN 'no date in activity_at'
+        WHEN activity_id % 83 = 0 THEN 'no value in description'
+        ELSE 'fraction in minutes_spent' END AS reason
+    FROM support_activities
+    WHERE 0 IN (activity_id % 73, activity_id % 79, activity_id % 83, activity_id % 89, activity_id % 97)"""
+MODEL["import_loaded"] = """
+    SELECT count(*) AS num_source, count(*) AS num_copy, CAST(0 AS BIGINT) AS num_different
+    FROM support_activities
+    WHERE 0 NOT IN (activity_id % 73, activity_id % 79, activity_id % 83, activity_id % 89, activity_id % 97)"""

@@ -76,3 +76,16 @@ PHRASINGS = [
     ("accelerate", 2, "Find opportunities for {value} that are ready to close early."),
     ("accelerate", 3, "What can be accelerated for {value}?"),
 ]
+
+# What each question is varied by, and the policy that answers the variant.
+CASES = [
+    ("slip", "horizon", "March 2000", "2000-03"),
+    ("slip", "policy", "a patient first quarter", "first quarter, patient"),
+    ("slip", "product", "product 8", "february, product 8"),
+    ("renewal", "horizon", "half a year", "strict"),
+    ("renewal", "policy", "tickets of any severity", "any severity, open"),
+    ("renewal", "product", "product 5", "product 5"),
+    ("accelerate", "horizon", "the second half", "second half"),
+    ("accelerate", "policy", "two visits", "first half, two visits"),
+    ("accelerate", "product", "product 5", "product 5"),
+]

@@ -1,7 +1,8 @@
 """Text cleaning, definitions, Markdown, ground truth and evaluation."""
 
-from oracles.business import slip_sweep_sql
+from oracles.business import ACCELERATE_POLICIES, RENEWAL_SWEEP, slip_sweep_sql, sweep_sql
 from oracles.seeds import (
+    CASES,
     LOAD_QUESTION,
     LOAD_SQL,
     NOTHING_QUESTION,
@@ -189,6 +190,86 @@ EVAL_WRITTEN = _scores(
     f"SELECT * FROM ({_WRITTEN_ALTERED}) WHERE line <> ''",
 )
 
+# Cell by cell: both sides of a run side by side by deal, values compared one at a time.
+_VALUES = ["type", "customer_name", "product_name", "stage", "forecast_category",
+           "expected_close_date", "no_activity_flag", "stage_stagnant_flag", "delivery_risk_flag"]
+_FLAG = "if({0} = 1, 0, 1) AS {0}"
+_CHANGED = {
+    "to the cent": "* REPLACE (amount + 0.004 AS amount)",
+    "an eighth off": "* REPLACE (if(opp_id % 8 = 0, 0, amount) AS amount)",
+    "other values": "* REPLACE (NULL AS type, NULL AS stage, '?' AS forecast_category, 2 * amount AS amount, "
+    + ", ".join(_FLAG.format(f) for f in _VALUES[-3:]) + ")",
+    "a third": "*",
+    "a month late": "* REPLACE (strftime(CAST(policy_id || '-01' AS DATE) + INTERVAL 1 MONTH, '%Y-%m') AS policy_id)",
+}
+_SAME_CELLS = "1 + list_sum([" + ", ".join(
+    [f"CAST(e.{c} IS NOT DISTINCT FROM a.{c} AS INTEGER)" for c in _VALUES]
+    + ["CAST(coalesce(round(abs(e.amount - a.amount), 9) <= 0.005, "
+       "e.amount IS NULL AND a.amount IS NULL) AS INTEGER)"]
+) + "])"
+CELLS = " UNION ALL ".join(
+    f"""
+      SELECT '{run}' AS evaluation_id, policy_id, expected_rows, actual_rows, matched_rows,
+        expected_rows - matched_rows AS missing_rows, actual_rows - matched_rows AS extra_rows,
+        same_cells, 11 * matched_rows - same_cells AS differing_cells,
+        11 * (expected_rows + actual_rows - matched_rows) AS all_cells,
+        CAST(CASE WHEN same_cells = all_cells THEN 5 WHEN 10 * same_cells >= 8 * all_cells THEN 4
+          WHEN 2 * matched_rows >= expected_rows + actual_rows - matched_rows THEN 3
+          WHEN matched_rows > 0 THEN 2 ELSE 1 END AS INTEGER) AS score,
+        score > 3 AS passed
+      FROM (
+        SELECT asked.policy_id, count(e.opp_id) AS expected_rows, count(a.opp_id) AS actual_rows,
+          count(e.opp_id + a.opp_id) AS matched_rows,
+          CAST(coalesce(sum({_SAME_CELLS}) FILTER (WHERE e.opp_id = a.opp_id), 0) AS BIGINT)
+            AS same_cells
+        FROM ({{asked}}) asked LEFT JOIN (
+          (SELECT policy_id AS p, * FROM ({{rows}})) e FULL JOIN
+          (SELECT policy_id AS p, * FROM (SELECT {changed} FROM ({{rows}})
+           WHERE {'opp_id % 3 = 0' if run == 'a third' else 'true'})) a
+          ON a.p = e.p AND a.opp_id = e.opp_id) ON asked.policy_id = coalesce(e.p, a.p)
+        GROUP BY asked.policy_id)"""
+    for run, changed in _CHANGED.items()
+).format(asked=_ASKED, rows=_monthly())
+
+_ANSWER_COLUMNS = {
+    "slip": ["opp_id", "type", "customer_name", "product_name", "stage", "forecast_category", "amount",
+             "expected_close_date", "no_activity_flag", "stage_stagnant_flag", "delivery_risk_flag"],
+    "renewal": ["opp_id", "customer_name", "product_name", "expected_close_date", "amount", "type",
+                "expansion_amount", "num_incidents", "low_expansion_flag", "high_incident_flag"],
+    "accelerate": ["opp_id", "customer_name", "expected_close_date", "is_forecast", "product_name",
+                   "last_signal"],
+}
+_ANSWER_ROWS = {
+    "slip": sweep_sql(),
+    "renewal": RENEWAL_SWEEP,
+    "accelerate": " UNION ALL ".join(
+        f"SELECT '{name}' AS policy_id, * FROM ({sql})" for name, sql in ACCELERATE_POLICIES.items()
+    ),
+}
+
+
+def _answer_cell(column: str) -> str:
+    if column in ("amount", "expansion_amount"):
+        return _num(column)
+    return _bool(column) if column == "is_forecast" else _text(column)
+
+
+def _answers(seed: str) -> str:
+    columns = _ANSWER_COLUMNS[seed]
+    head = f"| {' | '.join(columns)} |\n|{':-|' * len(columns)}"
+    cases = ", ".join(
+        f"({_literal(kind)}, {_literal(value)}, {_literal(policy)})"
+        for own, kind, value, policy in CASES if own == seed
+    )
+    return f"""
+      SELECT '{seed}' AS seed_id, kind, value, coalesce(part, 'none') AS part,
+        {_literal(head)} || coalesce(chr(10) || body, '') AS answer
+      FROM (VALUES {cases}) asked(kind, value, policy_id) LEFT JOIN (
+        SELECT policy_id, strftime(expected_close_date, '%Y-%m') AS part,
+          string_agg({_row(*map(_answer_cell, columns))}, chr(10) ORDER BY opp_id) AS body
+        FROM ({_ANSWER_ROWS[seed]}) GROUP BY ALL) USING (policy_id)"""
+
+
 _SEED_IDS = ", ".join(f"'{s}'" for s in dict.fromkeys(p[0] for p in PHRASINGS))
 _POLICIES = ", ".join(
     f"'{month} with {days} quiet days'"
@@ -196,7 +277,16 @@ _POLICIES = ", ".join(
 )
 _PHRASING_ROWS = ", ".join(f"('{s}', {n}, {_literal(t)})" for s, n, t in PHRASINGS)
 
+ANSWERED = f"""
+    WITH phrasing(seed_id, phrasing_no, template) AS (VALUES {_PHRASING_ROWS})
+    SELECT seed_id, kind, value, phrasing_no,
+      {_clean("replace(template, '{value}', value)")} AS question, part, answer
+    FROM ({' UNION ALL '.join(_answers(seed) for seed in _ANSWER_COLUMNS)}) JOIN phrasing USING (seed_id)"""
+
 TEXTS = {
+    "eval_cell_scores": CELLS,
+    "eval_runs_replaced": RUNS,
+    "answered_variants": ANSWERED,
     "clean_text": " UNION ALL ".join(
         f"SELECT '{table}' AS source, concat_ws('/', {key}) AS row_id, {_clean('text')} AS cleaned "
         f"FROM {table}"

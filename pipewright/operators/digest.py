@@ -37,3 +37,27 @@ def ordered_digest(
             F.concat_ws(separator, F.transform("_lines", lambda e: e[line])).alias(out),
         )
     )
+
+
+def whole_digest(
+    df: DataFrame,
+    keys: list[str],
+    order: list[str],
+    line: str,
+    separator: str,
+    out: str,
+    only: DataFrame | None = None,
+) -> DataFrame:
+    """`ordered_digest` without parts: one text a group, (keys, out), for readers that want a row for
+    each group.
+
+    The ordered aggregate collects a group's lines in one task and joins them there, so the caller
+    says that a group's text fits; nothing switches to it by size. NULL lines are left out, and a
+    group of nothing else has a NULL text.
+    """
+    if only is not None:
+        df = df.join(only.select(*keys), keys, "left_semi")
+    by = ", ".join(f"`{c}`" for c in dict.fromkeys([*order, line]))
+    quoted = separator.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n")
+    joined = F.expr(f"listagg(`{line}`, '{quoted}') WITHIN GROUP (ORDER BY {by})")
+    return df.repartition(*keys).groupBy(*keys).agg(joined.alias(out))

@@ -13,9 +13,10 @@ from pipewright.policy import AcceleratePolicy
 from pipewright.tables import Tables
 
 
-def accelerate(t: Tables, p: AcceleratePolicy) -> DataFrame:
+def accelerate(t: Tables, p: AcceleratePolicy, whole: bool = False) -> DataFrame:
     """Open opportunities of a stage, closing in the window, with delivered activities and no
-    blocking last signal, together with their notes: a row for each month with notes."""
+    blocking last signal, together with their notes: a row for each month with notes, or with
+    `whole` one row with all of them."""
     opps = t.sales_opportunities.where(
         (F.col("status") == "Open")
         & (F.col("stage") == p.stage)
@@ -23,6 +24,8 @@ def accelerate(t: Tables, p: AcceleratePolicy) -> DataFrame:
     )
     if p.require_forecast:
         opps = opps.where("is_forecast")
+    if p.product_id is not None:
+        opps = opps.where(F.col("product_id") == F.lit(p.product_id))
     delivered = delivered_activities(t, p.delivered_types).where(
         F.col("num_activities") >= p.min_delivered
     )
@@ -34,7 +37,7 @@ def accelerate(t: Tables, p: AcceleratePolicy) -> DataFrame:
         .join(t.customers.select("customer_id", "customer_name"), "customer_id")
     )
     # Only notes of candidate deals are collected.
-    rows = candidates.join(note_texts(t, only=candidates), "opp_id", "left")
+    rows = candidates.join(note_texts(t, only=candidates, whole=whole), "opp_id", "left")
     return with_names(rows, products=t.products).select(
         "opp_id",
         "customer_name",
@@ -42,6 +45,6 @@ def accelerate(t: Tables, p: AcceleratePolicy) -> DataFrame:
         "is_forecast",
         "product_name",
         "last_signal",
-        "notes_month",
+        *([] if whole else ["notes_month"]),
         "opp_notes",
     )

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pipewright.operators.digest import ordered_digest
+from pipewright.operators.digest import ordered_digest, whole_digest
 from pipewright.plans.notes import SEPARATOR, dated, note_texts
 from pipewright.tables import Tables
 
@@ -39,8 +39,10 @@ def customer_360_opps(
     product_name: str | None = None,
     customer_id: object | None = None,
     product_id: object | None = None,
+    whole: bool = False,
 ) -> DataFrame:
-    """Open opportunities with all their notes, a row for each month with notes."""
+    """Open opportunities with all their notes, a row for each month with notes, or with `whole` one
+    row for each opportunity."""
     opps = _scoped(
         t,
         t.sales_opportunities.where(F.col("status") == "Open"),
@@ -49,7 +51,7 @@ def customer_360_opps(
         customer_id,
         product_id,
     )
-    return opps.join(note_texts(t, only=opps), "opp_id", "left").select(
+    return opps.join(note_texts(t, only=opps, whole=whole), "opp_id", "left").select(
         "customer_name",
         "type",
         "opp_id",
@@ -60,7 +62,7 @@ def customer_360_opps(
         "is_forecast",
         "forecast_category",
         "amount",
-        "notes_month",
+        *([] if whole else ["notes_month"]),
         "opp_notes",
     )
 
@@ -114,9 +116,10 @@ def critical_ticket_actions(
     t: Tables,
     customer_name: str | None = None,
     customer_id: object | None = None,
+    whole: bool = False,
 ) -> DataFrame:
     """Open critical tickets with the actions taken so far, oldest first, a row for each month with
-    actions."""
+    actions, or with `whole` one row for each ticket."""
     tickets = _scoped(
         t,
         t.support_tickets.where((F.col("status") == "Open") & (F.col("severity") == "Critical")),
@@ -131,16 +134,21 @@ def critical_ticket_actions(
         F.trunc("activity_at", "month").alias("actions_month"),
         dated("activity_at", F.col("description")).alias("line"),
     )
-    actions = ordered_digest(
-        lines,
-        keys=["ticket_id"],
-        order=["activity_at", "line"],
-        line="line",
-        separator=SEPARATOR,
-        out="actions",
-        parts=("actions_month",),
-        only=tickets,
-    )
+    if whole:
+        actions = whole_digest(
+            lines, ["ticket_id"], ["activity_at", "line"], "line", SEPARATOR, "actions", tickets
+        )
+    else:
+        actions = ordered_digest(
+            lines,
+            keys=["ticket_id"],
+            order=["activity_at", "line"],
+            line="line",
+            separator=SEPARATOR,
+            out="actions",
+            parts=("actions_month",),
+            only=tickets,
+        )
     return tickets.join(actions, "ticket_id", "left").select(
         "ticket_id",
         "customer_name",
@@ -148,6 +156,6 @@ def critical_ticket_actions(
         "status",
         "priority",
         "title",
-        "actions_month",
+        *([] if whole else ["actions_month"]),
         "actions",
     )

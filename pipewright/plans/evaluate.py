@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pipewright.functions.text import row_fingerprint
 
@@ -61,6 +62,121 @@ def eval_scores(
     )
 
 
+# Rubric by cells. Four and five ask for equal values, three and two for rows that name
+# the same things.
+SAME_CELLS = ((5, 1.0), (4, 0.8))
+SAME_ROWS = 0.5
+
+
+def _same_cell(e: Column, a: Column, kind: T.DataType, tolerance: float) -> Column:
+    if isinstance(kind, (T.FractionalType, T.DecimalType)):
+        # Rounding decides what a difference of exactly the tolerance is, not the last bit of it.
+        near = F.round(F.abs(e.cast("double") - a.cast("double")), 9) <= tolerance
+        return e.eqNullSafe(a) | F.coalesce(near, F.lit(False))
+    return e.eqNullSafe(a)
+
+
+def cell_scores(
+    answers: DataFrame,
+    questions: DataFrame,
+    question: str,
+    keys: list[str],
+    expected: str,
+    runs: list[str],
+    tolerance: float = 0.005,
+) -> DataFrame:
+    """Score per run and question, cell by cell: rows are aligned by `keys`, and every other column
+    is a cell.
+
+    Fractional numbers agree up to `tolerance`, everything else if it is equal; NULL agrees with
+    NULL. Rows that repeat a key are aligned in the order of their cells. A row counts as one cell
+    for its key besides its values, so a missing or extra row is all of its cells.
+
+    Equal values throughout score 5, from 80 % of all cells 4. Below that, what counts is whether
+    both sides speak of the same things: from half of the rows in common 3 (compatible, but
+    different), any row 2, none 1. Rows of all runs are shuffled once, by their key.
+    """
+    kinds = {f.name: f.dataType for f in answers.schema.fields}
+    cells = [c for c in answers.columns if c not in {"run", question, *keys}]
+    side = F.when(F.col("run") == expected, 1).otherwise(0)
+    to = F.when(F.col("run") == expected, F.array(*[F.lit(r) for r in runs])).otherwise(
+        F.array(F.col("run"))
+    )
+    met = answers.select(
+        F.explode(to).alias("evaluation_id"),
+        question,
+        *keys,
+        side.alias("_side"),
+        F.struct(F.lit(0).alias("_row"), *cells).alias("_cells"),
+    ).where(F.col("evaluation_id").isin(runs))
+    key = ["evaluation_id", question, *keys]
+    nth = F.row_number().over(Window.partitionBy(*key, "_side").orderBy("_cells"))
+    # Numbering repeats and aligning both sides use the same partitioning by key.
+    aligned = (
+        met.repartition(*key)
+        .withColumn("_nth", nth)
+        .groupBy(*key, "_nth")
+        .agg(
+            F.max(F.when(F.col("_side") == 1, F.col("_cells"))).alias("_e"),
+            F.max(F.when(F.col("_side") == 0, F.col("_cells"))).alias("_a"),
+        )
+    )
+    both = F.col("_e").isNotNull() & F.col("_a").isNotNull()
+    same = sum(
+        (
+            F.when(_same_cell(F.col(f"_e.{c}"), F.col(f"_a.{c}"), kinds[c], tolerance), 1).otherwise(0)
+            for c in cells
+        ),
+        F.lit(1),
+    )
+    totals = aligned.groupBy("evaluation_id", question).agg(
+        F.count("_e").alias("expected_rows"),
+        F.count("_a").alias("actual_rows"),
+        F.count_if(both).alias("matched_rows"),
+        F.sum(F.when(both, same).otherwise(0)).cast("bigint").alias("same_cells"),
+    )
+    asked = (
+        questions.select(question)
+        .distinct()
+        .select(F.explode(F.array(*[F.lit(r) for r in runs])).alias("evaluation_id"), question)
+    )
+    counts = ["expected_rows", "actual_rows", "matched_rows", "same_cells"]
+    scored = asked.join(totals, ["evaluation_id", question], "left").withColumns(
+        {c: F.coalesce(c, F.lit(0).cast("bigint")) for c in counts}
+    )
+    scored = scored.withColumns(
+        {
+            "missing_rows": F.col("expected_rows") - F.col("matched_rows"),
+            "extra_rows": F.col("actual_rows") - F.col("matched_rows"),
+        }
+    )
+    rows = F.col("matched_rows") + F.col("missing_rows") + F.col("extra_rows")
+    width = len(cells) + 1
+    scored = scored.withColumns(
+        {
+            "differing_cells": F.col("matched_rows") * width - F.col("same_cells"),
+            "all_cells": rows * width,
+        }
+    )
+    agreement = F.when(F.col("all_cells") == 0, 1.0).otherwise(F.col("same_cells") / F.col("all_cells"))
+    score = F.when(F.col("matched_rows") >= SAME_ROWS * rows, 3).when(F.col("matched_rows") > 0, 2).otherwise(1)
+    for points, share in reversed(SAME_CELLS):
+        score = F.when(agreement >= share, points).otherwise(score)
+    return scored.select(
+        "evaluation_id",
+        question,
+        "expected_rows",
+        "actual_rows",
+        "matched_rows",
+        "missing_rows",
+        "extra_rows",
+        "same_cells",
+        "differing_cells",
+        "all_cells",
+        score.alias("score"),
+    ).withColumn("passed", F.col("score") >= PASS_SCORE)
+
+
 def answer_lines(answers: DataFrame, run: str) -> DataFrame:
     """Markdown answers (question, answer) as rows of a run: their lines."""
     return answers.select(

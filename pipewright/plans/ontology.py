@@ -292,20 +292,38 @@ def entity_degree(t: Tables, relationships: dict[str, Relationship] = RELATIONSH
     )
 
 
+# Before the name of a relationship that is followed from its target to its source.
+BACK = "~"
+
+
+def _hop(name: str, relationships: dict[str, Relationship]) -> tuple[str, str]:
+    """The types a hop leads from and to."""
+    r = _bindings(relationships[name.removeprefix(BACK)])[0]
+    return (r.target, r.source) if name.startswith(BACK) else (r.source, r.target)
+
+
+def _hop_edges(t: Tables, name: str, relationships: dict[str, Relationship]) -> DataFrame:
+    bound = _bindings(relationships[name.removeprefix(BACK)])
+    edges_ = stacked([edges_of(t, r) for r in bound])
+    if name.startswith(BACK):
+        edges_ = edges_.select(F.col("dst_id").alias("src_id"), F.col("src_id").alias("dst_id"))
+    return edges_
+
+
 def traverse(
     t: Tables, path: list[str], relationships: dict[str, Relationship] = RELATIONSHIPS
 ) -> DataFrame:
-    """Where a chain of relationships leads: (src_id, dst_id, num_paths).
+    """Where a chain of relationships leads: (src_id, dst_id, num_paths). A name after `~` is
+    followed backwards.
 
     Paths are counted after every step instead of being listed, so many ways between two entities
     make a larger number and not more rows.
     """
-    bound = [_bindings(relationships[name]) for name in path]
-    steps = [b[0] for b in bound]
-    for a, b in zip(steps, steps[1:]):
-        if a.target != b.source:
-            raise ValueError(f"{a.name} leads to {a.target}, {b.name} starts at {b.source}")
-    hops = [stacked([edges_of(t, r) for r in b]) for b in bound]
+    steps = [_hop(name, relationships) for name in path]
+    for (_, to), (start, _), a, b in zip(steps, steps[1:], path, path[1:]):
+        if to != start:
+            raise ValueError(f"{a} leads to {to}, {b} starts at {start}")
+    hops = [_hop_edges(t, name, relationships) for name in path]
     reached = hops[0].withColumn("num_paths", F.lit(1).cast("bigint"))
     for edges_ in hops[1:]:
         hop = edges_.select(
@@ -319,9 +337,54 @@ def traverse(
     if len(steps) == 1:
         reached = reached.groupBy("src_id", "dst_id").agg(F.sum("num_paths").alias("num_paths"))
     return reached.select(
-        F.lit(steps[0].source).alias("src_type"),
+        F.lit(steps[0][0]).alias("src_type"),
         F.col("src_id").cast("string").alias("src_id"),
-        F.lit(steps[-1].target).alias("dst_type"),
+        F.lit(steps[-1][1]).alias("dst_type"),
         F.col("dst_id").cast("string").alias("dst_id"),
         "num_paths",
     )
+
+
+def routes(
+    source: str, target: str, relationships: dict[str, Relationship] = RELATIONSHIPS
+) -> list[list[str]]:
+    """The shortest chains of relationships from one type to another, each followed forwards or
+    backwards, in the order of their names. A type that cannot be reached gives none.
+
+    The model is searched breadth first. It is as small as a schema, whatever the tables hold.
+    """
+    hops = [h for name in relationships for h in (name, BACK + name)]
+    known = {end for h in hops for end in _hop(h, relationships)}
+    for one in (source, target):
+        if one not in known:
+            raise ValueError(f"no relationship has the type {one}")
+    found, met = {source: [[]]}, {source}
+    while found and target not in found:
+        further: dict[str, list[list[str]]] = {}
+        for at, chains in found.items():
+            for h in hops:
+                start, to = _hop(h, relationships)
+                if start == at and to not in met:
+                    further.setdefault(to, []).extend([*chain, h] for chain in chains)
+        met |= set(further)
+        found = further
+    return sorted(found.get(target, []))
+
+
+def connected(
+    t: Tables,
+    source: str,
+    target: str,
+    relationships: dict[str, Relationship] = RELATIONSHIPS,
+) -> DataFrame:
+    """Which entities of two types hang together, along every shortest route between the types:
+    (route, src_type, src_id, dst_type, dst_id, num_paths)."""
+    chains = [c for c in routes(source, target, relationships) if c]
+    if not chains:
+        raise ValueError(f"no route leads from {source} to {target}")
+    return stacked(
+        [
+            traverse(t, chain, relationships).select(F.lit("/".join(chain)).alias("route"), "*")
+            for chain in chains
+        ]
+    )

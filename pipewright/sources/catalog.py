@@ -41,6 +41,37 @@ def save(
     writer.saveAsTable(name)
 
 
+def save_run(df: DataFrame, name: str, run: str = "evaluation_id", path: str | None = None) -> None:
+    """Write the rows of one or several runs to a results table that keeps runs apart.
+
+    The table is partitioned by `run`, and only the partitions that the frame has rows for are
+    replaced: a job that runs again leaves its run once, and all other runs as they were. The first
+    call makes the table.
+    """
+    spark = df.sparkSession
+    ordered = df.select(*[c for c in df.columns if c != run], run)
+    if not spark.catalog.tableExists(name):
+        save(ordered, name, path=path, partition_by=[run])
+        return
+    # Rows are matched to columns by position.
+    columns = [f.name for f in spark.table(name).schema.fields]
+    setting = "spark.sql.sources.partitionOverwriteMode"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "dynamic")
+    try:
+        ordered.select(*columns).write.mode("overwrite").insertInto(name)
+    finally:
+        spark.conf.set(setting, before)
+
+
+def drop(spark: SparkSession, names: list[str], schema: str | None = None) -> None:
+    """Take tables out of the catalog, and their schema if it is left empty."""
+    for name in names:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    if schema and spark.catalog.databaseExists(schema) and not spark.catalog.listTables(schema):
+        spark.sql(f"DROP SCHEMA {schema}")
+
+
 def save_all(
     spark: SparkSession,
     tables: Tables,

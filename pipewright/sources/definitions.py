@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _PARTS = (
@@ -107,3 +107,63 @@ def write_documents(documents: DataFrame, path: str, document: str = "document")
 
 def read_documents(spark: SparkSession, path: str, document: str = "document") -> DataFrame:
     return spark.read.text(path).withColumnRenamed("value", document)
+
+
+def read_folder(spark: SparkSession, folder: str, item: str = "item") -> DataFrame:
+    """The parts of one definition from a folder with one file a part, as `definition_parts` gives
+    them: (item, position, path, content, is_json, status).
+
+    A part's path is its place below the folder, and `position` numbers the paths in order. Parts
+    are plain text; a `.json` file that is not valid JSON keeps its text and says so.
+    """
+    # Files come back with their full, encoded address; the root is cut off by its own length.
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    root = system.makeQualified(path).toUri().getPath().rstrip("/") + "/"
+    files = (
+        spark.read.option("recursiveFileLookup", True)
+        # Hidden files such as .platform belong to an item, but Spark's listing leaves them out.
+        .text(folder, wholetext=True)
+        .select("value", F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B"))).alias("address"))
+    )
+    place = F.substring_index("address", root, -1)
+    parsed = files.select(place.alias("path"), "value").withColumn(
+        "json", F.when(F.endswith("path", F.lit(".json")), F.try_parse_json("value"))
+    )
+    status = (
+        F.when(F.col("json").isNotNull(), JSON)
+        .when(F.endswith("path", F.lit(".json")), BAD_JSON)
+        .otherwise(TEXT)
+    )
+    # A definition has as many parts as a model has types and bindings.
+    return parsed.select(
+        F.lit(root.rstrip("/").rsplit("/", 1)[-1]).alias(item),
+        (F.row_number().over(Window.orderBy("path")) - 1).alias("position"),
+        "path",
+        F.coalesce(F.to_json("json"), "value").alias("content"),
+        F.col("json").isNotNull().alias("is_json"),
+        status.alias("status"),
+    )
+
+
+def write_folder(parts: DataFrame, folder: str) -> None:
+    """Every part of one definition as a file of its own below the folder, in place of what was
+    there. Parts without content are left out, of a path given twice the last one counts.
+
+    A definition is configuration: its parts go through the driver, one at a time.
+    """
+    spark = parts.sparkSession
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(folder)
+    system = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    system.delete(root, True)
+    rows = parts.where("content IS NOT NULL").orderBy("position").select("path", "content")
+    for path, content in rows.toLocalIterator():
+        steps = path.split("/")
+        if path.startswith("/") or ".." in steps or "" in steps:
+            raise ValueError(f"a part must stay inside its folder: {path}")
+        out = system.create(jvm.org.apache.hadoop.fs.Path(f"{folder}/{path}"), True)
+        try:
+            out.write(bytearray(content.encode()))
+        finally:
+            out.close()

@@ -32,11 +32,12 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder. It is removed when the process that asked for it ends
     with its session still running; results are read lazily, so not before."""
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    atexit.register(_remove, spark, path)
+    atexit.register(remove, spark, path)
     return path
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a path at once, where nothing will read it any more."""
     if spark.sparkContext._jsc is None:  # already stopped
         return
     jvm = spark.sparkContext._jvm

@@ -7,7 +7,7 @@ and line breaks.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -48,6 +48,73 @@ def read_table(
     return raw.select([F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
 
 
+def _printed(field: T.StructField) -> Column:
+    """A field as it stood in the file: whole numbers, which are read as doubles, without a fraction."""
+    col = F.col(f"`{field.name}`")
+    if field.dataType == T.IntegerType():
+        return F.when(col == F.floor(col), col.cast("bigint").cast("string")).otherwise(col.cast("string"))
+    return col.cast("string")
+
+
+# Why a record is not loaded.
+WRONG_WIDTH, MALFORMED = "wrong number of fields", "malformed record"
+
+
+def read_with_rejects(
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType,
+    multi_line: bool = False,
+    header: bool = True,
+) -> tuple[DataFrame, DataFrame]:
+    """One table with its declared types, and the records that are not fit for it:
+    (rows, rejects(file, record, reason)).
+
+    Every record is in exactly one of both. A record is rejected if it has not as many fields as the
+    schema, if a field is not of its type, if an integer has a fraction, or if a column that must
+    have a value has none; `reason` names the first such column. Both frames read the files by
+    themselves, and nothing is shuffled.
+    """
+    lenient = _lenient(schema)
+    raw = (
+        spark.read.options(**{**_OPTIONS, "header": str(header).lower()})
+        .option("multiLine", multi_line)
+        .option("mode", "PERMISSIVE")
+        .option("columnNameOfCorruptRecord", "_record")
+        # A record is looked at as a whole, whatever columns a job needs of it.
+        .option("columnPruning", False)
+        .option("ignoreLeadingWhiteSpace", False)
+        .option("ignoreTrailingWhiteSpace", False)
+        .schema(T.StructType([*[T.StructField(f.name, f.dataType) for f in lenient], T.StructField("_record", T.StringType())]))
+        .csv(path)
+    )
+    # The parser keeps the text of broken records only; of all others, the fields are printed again.
+    printed = F.concat_ws("\t", *[F.coalesce(_printed(f), F.lit("")) for f in schema])
+    fields = F.split("_record", "\t")
+    reasons = []
+    for i, f in enumerate(schema.fields):
+        col = F.col(f"`{f.name}`")
+        given = F.coalesce(F.get(fields, F.lit(i)), F.lit("")) != ""
+        broken = F.col("_record").isNotNull() & col.isNull() & given
+        reasons.append(F.when(broken, F.lit(f"no {f.dataType.simpleString()} in {f.name}")))
+        if f.dataType == T.IntegerType():
+            reasons.append(F.when(col != F.floor(col), F.lit(f"fraction in {f.name}")))
+        if not f.nullable:
+            reasons.append(F.when(col.isNull(), F.lit(f"no value in {f.name}")))
+    width = F.when(F.col("_record").isNotNull() & (F.size(fields) != len(schema)), F.lit(WRONG_WIDTH))
+    other = F.when(F.col("_record").isNotNull(), F.lit(MALFORMED))
+    judged = raw.withColumn("_reason", F.coalesce(width, *reasons, other))
+    good = judged.where("_reason IS NULL").select(
+        [F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schema.fields]
+    )
+    rejects = judged.where("_reason IS NOT NULL").select(
+        F.col("_metadata.file_path").alias("file"),
+        F.coalesce("_record", printed).alias("record"),
+        F.col("_reason").alias("reason"),
+    )
+    return good, rejects
+
+
 def write_table(df: DataFrame, path: str) -> None:
     """Write one table from all its partitions at once."""
     (
