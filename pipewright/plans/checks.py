@@ -78,48 +78,28 @@ def vocab_violations(t: Tables) -> DataFrame:
 
 def orphan_rows(t: Tables) -> DataFrame:
     """References to rows that do not exist, with the number of rows that hold them."""
-    by_table: dict[str, list[tuple[str, str]]] = {}
+    # Keys keep their own types until the report, and one pruned scan reads one column. Each
+    # reference is reduced to a row per id before the join, so a busy id stays small, and references
+    # to the same parent meet it in one join, whose size Spark knows by itself.
+    by_parent: dict[str, list[tuple[str, str]]] = {}
     for table, column, parent in REFERENCES:
-        by_table.setdefault(table, []).append((column, parent))
-    # One scan per table covers all its references. Reduced to one row per referenced id before the
-    # join, so a busy id stays small.
-    held = stacked(
-        [
-            getattr(t, table).select(
-                F.lit(table).alias("table_name"),
-                F.explode(
-                    F.array(
-                        *[
-                            F.struct(
-                                F.lit(column).alias("column_name"),
-                                F.lit(parent).alias("parent"),
-                                F.col(column).cast("string").alias("missing_id"),
-                            )
-                            for column, parent in references
-                        ]
-                    )
-                ).alias("r"),
-            )
-            for table, references in by_table.items()
-        ]
-    ).select("table_name", "r.*")
-    counted = (
-        held.where(F.col("missing_id").isNotNull())
-        .groupBy("table_name", "column_name", "parent", "missing_id")
-        .agg(F.count("*").alias("num_rows"))
-    )
-    # And one scan per parent.
-    known = stacked(
-        [
-            getattr(t, parent).select(
-                F.lit(parent).alias("parent"), F.col(KEYS[parent][0]).cast("string").alias("missing_id")
-            )
-            for parent in dict.fromkeys(parent for _, _, parent in REFERENCES)
-        ]
-    )
-    return counted.join(known, ["parent", "missing_id"], "left_anti").select(
-        "table_name", "column_name", "missing_id", "num_rows"
-    )
+        by_parent.setdefault(parent, []).append((table, column))
+    reports = []
+    for parent, references in by_parent.items():
+        held = stacked(
+            [
+                getattr(t, table)
+                .where(F.col(column).isNotNull())
+                .groupBy(F.col(column).alias("missing_id"))
+                .agg(F.count("*").alias("num_rows"))
+                .select(F.lit(table).alias("table_name"), F.lit(column).alias("column_name"), "*")
+                for table, column in references
+            ]
+        )
+        known = getattr(t, parent).select(F.col(KEYS[parent][0]).alias("missing_id"))
+        missing = held.join(known, "missing_id", "left_anti")
+        reports.append(missing.withColumn("missing_id", F.col("missing_id").cast("string")))
+    return stacked(reports).select("table_name", "column_name", "missing_id", "num_rows")
 
 
 def key_violations(t: Tables) -> DataFrame:

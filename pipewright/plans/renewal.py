@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pipewright.functions.dates import day, in_window
 from pipewright.functions.text import flag, joined_reasons
 from pipewright.operators.lookups import total, with_names
-from pipewright.operators.sweep import chosen, month_starts
+from pipewright.operators.sweep import chosen, month_starts, with_close_month
 from pipewright.policy import EXPANSION_TYPES, HIGH_SEVERITIES, RenewalPolicy
 from pipewright.sources.literal import BOOL, DAY, DOUBLE, INT, TEXT, literal_table
 from pipewright.tables import Tables
@@ -200,14 +200,15 @@ def renewal_sweep(t: Tables, policies: list[RenewalPolicy]) -> DataFrame:
             for month in month_starts(p.window_start, p.window_end)
         ],
     )
-    renewals = t.sales_opportunities.where(
+    windows = [(p.window_start, p.window_end) for p in policies]
+    renewals = with_close_month(t.sales_opportunities, windows).where(
         (F.col("type") == "Renewal")
         & in_window(
             F.col("expected_close_date"),
             min(p.window_start for p in policies),
             max(p.window_end for p in policies),
         )
-    ).withColumn("close_month", F.trunc("expected_close_date", "MM"))
+    )
     facts = renewals.join(expansion, "customer_id", "left").join(incidents, "customer_id", "left")
     matched = (
         with_names(facts, t.customers, t.products)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pipewright.functions.dates import day, in_window, older_than, since
 from pipewright.functions.text import flag, joined_reasons, mentions_risk
 from pipewright.operators.lookups import latest, with_names
-from pipewright.operators.sweep import chosen, month_starts
+from pipewright.operators.sweep import chosen, month_starts, with_close_month
 from pipewright.policy import SlipPolicy
 from pipewright.sources.literal import DAY, INT, TEXT, literal_table
 from pipewright.tables import Tables
@@ -201,11 +201,12 @@ def slip_sweep(t: Tables, policies: list[SlipPolicy]) -> DataFrame:
             ]
         )
     )
+    windows = [(p.window_start, p.window_end) for p in policies]
     earliest = min(p.window_start for p in policies)
     last_end = max(p.window_end for p in policies)
-    opps = t.sales_opportunities.where(
+    opps = with_close_month(t.sales_opportunities, windows).where(
         (F.col("status") == "Open") & in_window(F.col("expected_close_date"), earliest, last_end)
-    ).withColumn("close_month", F.trunc("expected_close_date", "MM"))
+    )
     facts = (
         opps.join(latest(activities, ["opp_id"], "activity_at", "last_activity_at"), "opp_id", "left")
         .join(notes, "opp_id", "left")

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pipewright.functions.dates import older_than
 from pipewright.functions.text import clean_text, flag, mentions_risk, tag_list
 from pipewright.operators.lookups import latest, money, with_names
+from pipewright.operators.sweep import with_close_month
 from pipewright.plans import slip
 from pipewright.plans.notes import last_signals
 from pipewright.plans.renewal import DETAIL as RENEWAL_DETAIL
@@ -99,11 +100,14 @@ def _asked(opps: DataFrame, policies: DataFrame) -> DataFrame:
             F.expr("interval 1 month"),
         ),
     )
-    wanted = policies.withColumnRenamed("product_id", "wanted_product").withColumn(
-        "close_month", F.explode(months)
+    wanted = (
+        policies.withColumnRenamed("product_id", "wanted_product")
+        .withColumn("close_month", F.explode(months))
+        # True for every month of a window; it tells Spark that policies select some months only.
+        .where(F.col("close_month") < F.col("window_end"))
     )
     return (
-        opps.withColumn("close_month", F.trunc("expected_close_date", "MM"))
+        with_close_month(opps)
         .join(wanted, "close_month")
         .where(
             (F.col("expected_close_date") >= F.col("window_start"))

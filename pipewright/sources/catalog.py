@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from pipewright.tables import Tables
 
@@ -64,6 +65,14 @@ def save_run(df: DataFrame, name: str, run: str = "evaluation_id", path: str | N
         spark.conf.set(setting, before)
 
 
+def save_by_month(opportunities: DataFrame, name: str, path: str | None = None) -> None:
+    """Opportunities partitioned by the month they close in (`close_month`). Sweeps over policies
+    then open the months that some policy asks for, found while they run."""
+    by_month = opportunities.withColumn("close_month", F.trunc("expected_close_date", "MM"))
+    # Rows of a month meet before they are written, so a month has a few files and not one a task.
+    save(by_month.repartition("close_month"), name, path=path, partition_by=["close_month"])
+
+
 def drop(spark: SparkSession, names: list[str], schema: str | None = None) -> None:
     """Take tables out of the catalog, and their schema if it is left empty."""
     for name in names:

@@ -49,8 +49,11 @@ def read_table(
 
 
 def _printed(field: T.StructField) -> Column:
-    """A field as it stood in the file: whole numbers, which are read as doubles, without a fraction."""
+    """A field as it stood in the file: flags as `True` and `False`, and whole numbers, which are
+    read as doubles, without a fraction."""
     col = F.col(f"`{field.name}`")
+    if field.dataType == T.BooleanType():
+        return F.initcap(col.cast("string"))
     if field.dataType == T.IntegerType():
         return F.when(col == F.floor(col), col.cast("bigint").cast("string")).otherwise(col.cast("string"))
     return col.cast("string")
