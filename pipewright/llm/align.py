@@ -18,8 +18,10 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from pipewright.llm.blocks import (
+    BATCH_BYTES,
     id_kind,
     nullable_batch,
+    numbered_keys,
     ragged,
     span_hashes,
     sums_by,
@@ -32,6 +34,7 @@ from pipewright.llm.words import text_bytes
 FOLDER = "/opt/tokenizers"
 BYTE_LEVEL, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 JOINED_BYTES = 64 << 10  # of spans that are encoded in one call
+SPANS_AT_ONCE = 1 << 17  # of documents whose links are counted together
 SPACE = "\N{LOWER ONE EIGHTH BLOCK}"  # how a piece writes a space
 
 
@@ -226,6 +229,29 @@ def distinct_spans(t: Tools, spans: list[bytes], joins: np.ndarray) -> Spans:
     )
 
 
+def linked_pairs(
+    spans: np.ndarray, heads: np.ndarray, code: np.ndarray, groups: np.ndarray, pair_of: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """How many pairs each document links, their numbers and how often, document by document.
+    Document i has the spans code[heads[i] : heads[i] + spans[i]]; the pairs of a span stand in
+    `pair_of`, as many as it has groups. Some whole documents are worked on at a time."""
+    starts = np.cumsum(groups) - groups
+    counts, numbers, times = [], [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
+    width, first = int(pair_of.max(initial=0)) + 1, 0
+    total = np.cumsum(spans)
+    while first < len(spans):
+        done = int(total[first - 1]) if first else 0
+        last = max(first + 1, int(np.searchsorted(total, done + SPANS_AT_ONCE, "right")))
+        own = code[ragged(heads[first:last], spans[first:last])]
+        doc = np.repeat(np.repeat(np.arange(last - first), spans[first:last]), groups[own])
+        keys, n = np.unique(doc * width + pair_of[ragged(starts[own], groups[own])], return_counts=True)
+        counts.append(np.bincount(keys // width, minlength=last - first))
+        numbers.append((keys % width).astype(np.int32))
+        times.append(n.astype(np.int32))
+        first = last
+    return np.concatenate(counts), np.concatenate(numbers), np.concatenate(times)
+
+
 def _scan(byte_level: bytes, pieces: bytes, id_type: pa.DataType):
     """Rows of documents (block, id, counts, hash, numbers and times of their linked pairs) and rows
     (block, number, a, b, n) of the pairs of a block."""
@@ -245,8 +271,8 @@ def _scan(byte_level: bytes, pieces: bytes, id_type: pa.DataType):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tools(byte_level, pieces)
         for number, rows in text_blocks(batches, "text"):
-            ids = rows.column("id").combine_chunks()
-            texts = pc.fill_null(rows.column("text").cast(pa.large_string()), "")
+            ids = rows.pop("id")
+            texts = pc.fill_null(rows.pop("text").cast(pa.large_string()), "")
             texts = pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), texts, pa.scalar("", pa.large_string()))
             data, at = text_bytes(texts)
             n_docs = len(ids)
@@ -257,16 +283,16 @@ def _scan(byte_level: bytes, pieces: bytes, id_type: pa.DataType):
             edges = np.append(starts, at[-1])
             per_doc = np.diff(np.searchsorted(starts, at))
             hashes = span_hashes(data, edges)
-            _, first, code = np.unique(hashes, return_index=True, return_inverse=True)
-            raw = data.tobytes()
-            spans = [raw[i:j] for i, j in zip(edges[first].tolist(), edges[first + 1].tolist())]
+            _, first, code = numbered_keys(hashes)
+            raw = memoryview(data)
+            spans = [bytes(raw[i:j]) for i, j in zip(edges[first].tolist(), edges[first + 1].tolist())]
             # A span before another one ends where a cut is, the last of a text anywhere.
             inner = np.ones(len(starts), bool)
             inner[np.cumsum(per_doc) - 1] = False
             joins = np.zeros(len(first), bool)
             joins[code[inner]] = True
             found = distinct_spans(t, spans, joins)
-            del raw, spans
+            del raw, spans, hashes, first, inner, starts, edges, data, texts
             good = some & (sums_by((~found.whole)[code].astype(np.int64), per_doc) == 0)
             n_a, n_b, n_groups = (
                 np.where(good, sums_by(x[code], per_doc), 0) for x in (found.n_a, found.n_b, found.n_groups)
@@ -280,14 +306,10 @@ def _scan(byte_level: bytes, pieces: bytes, id_type: pa.DataType):
                     names.append("")
                 head += n
             pairs, pair_of = np.unique(found.pairs, return_inverse=True)
-            places = np.flatnonzero(np.repeat(good, per_doc))
-            own = code[places]
-            doc = np.repeat(np.repeat(np.arange(n_docs), per_doc)[places], found.n_groups[own])
-            heads = np.cumsum(found.n_groups) - found.n_groups
-            linked = pair_of[ragged(heads[own], found.n_groups[own])]
-            keys, times = np.unique(doc * max(len(pairs), 1) + linked, return_counts=True)
-            doc, linked = np.divmod(keys, max(len(pairs), 1))
-            offsets = pa.array(np.searchsorted(doc, np.arange(n_docs + 1)).astype(np.int32))
+            per_doc_pairs, linked, times = linked_pairs(
+                np.where(good, per_doc, 0), np.cumsum(per_doc) - per_doc, code, found.n_groups, pair_of
+            )
+            offsets = pa.array(np.concatenate([[0], np.cumsum(per_doc_pairs)]).astype(np.int32))
             n = np.bincount(linked, weights=times, minlength=len(pairs)).astype(np.int64)
             met = np.flatnonzero(n)
             yield nullable_batch(
@@ -368,7 +390,7 @@ def token_alignment(
     that repeats an id or a text. Spans of a block are told apart by 64 bits. No rows give no rows.
     """
     spark = docs.sparkSession
-    bound_batches(spark)
+    bound_batches(spark, BATCH_BYTES)
     kind, arrow_id = id_kind(docs, id_col)
     # The driver reads both vocabularies; files of a known size, which travel with the tasks.
     files = []

@@ -18,25 +18,34 @@ from pyspark.sql import functions as F
 
 from pipewright.llm.words import draws, mix
 
-BLOCK_BYTES = 16 << 20  # of the texts of a block, about; a longer text is a block of its own
+BLOCK_BYTES = 12 << 20  # of the texts of a block, about; a longer text is a block of its own
+BATCH_BYTES = 4 << 20  # of the batches that blocks are put together from
 SLAB_BYTES = 1 << 20  # that are hashed at a time
 
 
 def text_blocks(
     batches: Iterator[pa.RecordBatch], column: str, limit: int = BLOCK_BYTES
-) -> Iterator[tuple[int, pa.Table]]:
-    """Numbered blocks of whole rows. A task that runs again numbers them alike."""
+) -> Iterator[tuple[int, dict[str, pa.Array]]]:
+    """Numbered blocks of whole rows, as one array a column. A task that runs again numbers them
+    alike."""
+
+    def together(held: list[pa.RecordBatch]) -> dict[str, pa.Array]:
+        # A copy, so that what the rows were cut from can go.
+        arrays = {n: pa.concat_arrays([b.column(n) for b in held]) for n in held[0].schema.names}
+        held.clear()
+        return arrays
+
     number, held, size = TaskContext.get().partitionId() << 32, [], 0
     for batch in batches:
         for piece in _pieces(batch, column, limit):
             # What `nbytes` says of a slice counts its own values only.
             if held and size + piece.column(column).nbytes > limit:
-                yield number, pa.Table.from_batches(held)
-                number, held, size = number + 1, [], 0
+                yield number, together(held)
+                number, size = number + 1, 0
             held.append(piece)
             size += piece.column(column).nbytes
     if held:
-        yield number, pa.Table.from_batches(held)
+        yield number, together(held)
 
 
 def _pieces(batch: pa.RecordBatch, column: str, limit: int) -> Iterator[pa.RecordBatch]:
@@ -66,6 +75,20 @@ def span_hashes(data: np.ndarray, edges: np.ndarray) -> np.ndarray:
     return np.concatenate(out)
 
 
+def numbered_keys(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct keys, ascending, the place where each was met first, and each key's number: what
+    `np.unique` gives, in half of its memory."""
+    order = np.argsort(keys, kind="stable")
+    fresh = np.ones(len(keys), bool)
+    for a in range(0, len(keys), SLAB_BYTES):
+        own = keys[order[max(a - 1, 0) : a + SLAB_BYTES]]
+        fresh[max(a, 1) : a + SLAB_BYTES] = own[1:] != own[:-1]
+    first = order[fresh]
+    code = np.empty(len(keys), np.int32)
+    code[order] = np.cumsum(fresh, dtype=np.int32) - np.int32(1)
+    return keys[first], first, code
+
+
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The places starts[i], ..., starts[i] + lengths[i] - 1 of every i, one after the other."""
     heads = np.cumsum(lengths) - lengths

@@ -27,6 +27,12 @@ def without(df: DataFrame, names: Iterable[str]) -> DataFrame:
     return df.drop(*[c for c in df.columns if c.lower() in taken])
 
 
+def hashable(df: DataFrame) -> list:
+    """The columns that a hash of a whole row takes in: all without a map inside."""
+    return [F.col(f"`{f.name}`") for f in df.schema.fields if "map<" not in f.dataType.simpleString()
+            and "variant" not in f.dataType.simpleString()]
+
+
 def ascii_lower(text):
     """A-Z in lower case and nothing else changed."""
     return F.translate(text, UPPER, LOWER)
@@ -62,5 +68,5 @@ def append_columns(
     return rows.mapInArrow(run, schema)
 
 
-def bound_batches(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+def bound_batches(spark: SparkSession, size: int = BATCH_BYTES) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
