@@ -46,7 +46,8 @@ def search_cell(queries: pd.DataFrame, rows: pd.DataFrame, k: int, block: int =
     ids = rows["id"].to_numpy()
     x, q = _matrix(rows["v"], width), _matrix(queries["v"], width)
     largest = [float(np.abs(m).max(initial=0)) for m in (x, q)]
-    if largest[0] * largest[1] * width < 2**52:  # every sum is exact in doubles, which BLAS adds
+    most = largest[0] * largest[1] * width
+    if most < 2**52:  # every sum is exact in doubles, which BLAS adds
         x, q = x.astype(np.float64), q.astype(np.float64)
     cuts = list(range(0, width, block))
     rest_x, rest_q = (
@@ -59,9 +60,11 @@ def search_cell(queries: pd.DataFrame, rows: pd.DataFrame, k: int, block: int =
         for c in cuts:
             part = x[c : c + block] if len(alive) == x.shape[1] else x[c : c + block, alive]
             sums = sums + q[c : c + block, j] @ part
-            if len(alive) <= k or c + block >= width:
+            # Bounds are whole numbers where sums are; beyond 2^61 they might not fit, and all stay.
+            if len(alive) <= k or c + block >= width or most >= 2**61:
                 continue
-            reach = rest_x[c + block, alive] * (rest_q[c + block, j] * (1 + 1e-9)) + 1
+            reach = np.ceil(rest_x[c + block, alive] * (rest_q[c + block, j] * (1 + 1e-9)) + 1)
+            reach = reach.astype(x.dtype)
             sure = np.partition(sums - reach, len(alive) - k)[len(alive) - k]
             keep = sums + reach >= sure
             alive, sums = alive[keep], sums[keep]
@@ -103,7 +106,8 @@ def top_k(
 
     def cell(of: int, over: int, own: str, other: str):
         return [
-            F.pmod(F.xxhash64("id"), F.lit(of)).alias(own),
+            # The vector parts rows that repeat an id.
+            F.pmod(F.xxhash64("id", "v"), F.lit(of)).alias(own),
             F.explode(F.sequence(F.lit(0), F.lit(over - 1)).cast("array<long>")).alias(other),
         ]
 

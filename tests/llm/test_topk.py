@@ -1,8 +1,12 @@
 import math
 import random
 
+import numpy as np
+import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
+from pipewright.llm import topk
 from pipewright.llm.topk import top_k
 
 SCHEMA = "vec_id long, embedding array<float>, label int"
@@ -73,3 +77,22 @@ def test_awkward_vectors(spark):
 def test_large_values_are_exact(spark):
     rows = [(i, [float(2**20 + i), float(2**21 - 3 * i), 1.0], 0) for i in range(40)]
     assert found(spark, rows, k=7) == brute(rows, 7)
+
+
+@pytest.mark.parametrize("size", [1 << 20, 1 << 28, 1 << 29])
+def test_large_whole_numbers_are_exact(size):
+    """Sums of which doubles hold the first 53 bits only."""
+    rnd = np.random.default_rng(size)
+    base = rnd.integers(-size, size, 16)
+    rows = [base.copy() for _ in range(60)]
+    for i, row in enumerate(rows):
+        row[8 + i % 8] += i % 5
+        row[i % 8] -= i % 3
+    scores = {i: sum(int(a) * int(b) for a, b in zip(base, row)) for i, row in enumerate(rows)}
+    assert max(abs(s) for s in scores.values()) < 2**63
+    best = sorted(scores.items(), key=lambda x: (-x[1], x[0]))
+    queries = pd.DataFrame({"id": [-1], "v": [base]})
+    cell = pd.DataFrame({"id": range(60), "v": rows})
+    for k in (1, 7):
+        got = topk.search_cell(queries, cell, k)
+        assert list(zip(got["vec_id"], got["score"])) == best[:k]
