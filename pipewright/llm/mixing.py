@@ -9,7 +9,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pipewright.llm.common import without
+from pipewright.llm.common import hashable, without
 
 BLOCK_ROWS = 64
 BUCKETS, BUCKET_ROWS = 1024, 100_000
@@ -99,11 +99,12 @@ def mixed(
     out: when a source is used up, the others go on in proportion.
 
     A row's rank in its group is its rank in one of many hash buckets plus the rows of the buckets
-    before, so no group is sorted in one task. The schedule has a row for each named source and
-    phase, each with the source's slots in a period of at most the sum of all shares.
+    before, so no group is sorted in one task. The schedule has a row for each named source, with
+    its phases and in each the source's slots in a period of at most the sum of all shares; a row
+    finds its phase there.
 
-    Rows with equal ids stay next to each other. No rows give no rows. Input columns named like the
-    new ones are replaced.
+    The hash takes in all columns (maps aside), so rows that share an id, null included, are spread
+    unless they are equal. No rows give no rows. Input columns named like the new ones are replaced.
     """
     if not all(isinstance(w, int) and w > 0 for w in [*weights.values(), other]):
         raise ValueError("weights are whole and positive")
@@ -112,16 +113,22 @@ def mixed(
     rows = without(docs, OWN)
     carried = rows.columns
     counts = dict(tuple(r) for r in rows.groupBy(group).count().collect())  # one for each share
-    runs = schedule(counts, shares, block_rows)
+    by_source: dict[str, list[Run]] = {}
+    for run in schedule(counts, shares, block_rows):
+        by_source.setdefault(run.mix_source, []).append(run)
     plan = docs.sparkSession.createDataFrame(
-        runs,
-        "mix_source string, first_block long, end_block long, phase_slot long, phase_row long,"
-        " period long, places array<int>",
+        list(by_source.items()),
+        "mix_source string, __runs array<struct<mix_source: string, first_block: long, end_block: long,"
+        " phase_slot: long, phase_row: long, period: long, places: array<int>>>",
     )
     buckets = max(BUCKETS, ceil(sum(counts.values()) / BUCKET_ROWS))
     hashed = rows.withColumns(
-        {"mix_source": group, "__order": F.xxhash64(F.lit(seed), F.col(id_col))}
-    ).withColumn("__bucket", F.pmod(F.shiftrightunsigned("__order", 16), F.lit(buckets)))
+        {
+            "mix_source": group,
+            "__order": F.xxhash64(F.lit(seed), F.col(id_col)),
+            "__other": F.xxhash64(F.lit(seed + 1), *hashable(rows)),
+        }
+    ).withColumn("__bucket", F.pmod(F.shiftrightunsigned("__other", 16), F.lit(buckets)))
     before = Window.partitionBy("mix_source").orderBy("__bucket")
     heads = (
         hashed.groupBy("mix_source", "__bucket")
@@ -129,25 +136,29 @@ def mixed(
         .withColumn("__head", F.sum("__n").over(before) - F.col("__n"))
         .select("mix_source", "__bucket", "__head")
     )
-    inner = Window.partitionBy("mix_source", "__bucket").orderBy("__order", id_col)
+    inner = Window.partitionBy("mix_source", "__bucket").orderBy("__order", "__other", id_col)
     ranked = hashed.withColumn("__place", F.row_number().over(inner) - 1).join(
         heads, ["mix_source", "__bucket"]
     )
     rank = F.col("__head") + F.col("__place")
-    k = F.col("block") - F.col("first_block")
-    turn = F.size("places")
-    in_phase = F.floor(k / turn) * F.col("period") + F.element_at("places", (k % turn + 1).cast("int"))
+    # Phases follow each other, so the first one that ends beyond a block is the block's.
+    run = F.element_at(F.filter("__runs", lambda r: r["end_block"] > F.col("block")), 1)
+    k = F.col("block") - F.col("__run.first_block")
+    turn = F.size("__run.places")
+    in_phase = F.floor(k / turn) * F.col("__run.period") + F.element_at(
+        "__run.places", (k % turn + 1).cast("int")
+    )
     return (
         ranked.withColumn("block", F.floor(rank / block_rows))
         .join(F.broadcast(plan), "mix_source")
-        .where((F.col("block") >= F.col("first_block")) & (F.col("block") < F.col("end_block")))
+        .withColumn("__run", run)
         .withColumn("__slot", in_phase)
         .select(
             *carried,
             "mix_source",
             "block",
-            (F.col("phase_slot") + F.col("__slot")).alias("slot"),
-            (F.col("phase_row") + F.col("__slot") * block_rows + rank % block_rows).alias("position"),
+            (F.col("__run.phase_slot") + F.col("__slot")).alias("slot"),
+            (F.col("__run.phase_row") + F.col("__slot") * block_rows + rank % block_rows).alias("position"),
         )
     )
 

@@ -1,8 +1,10 @@
 from math import ceil
 
 import pytest
+from pyspark.sql import functions as F
 
-from pipewright.llm import queries
+from pipewright.llm import mixing, queries
+from pipewright.llm.common import hashable
 from pipewright.llm.mixing import in_order, mixed, pfair, schedule
 from tests.llm.small import awkward, docs
 
@@ -71,7 +73,8 @@ def test_rows_in_order(spark):
 
 
 def test_awkward_rows(spark):
-    assert len(check(docs(spark, awkward(), "SLOT Block"), {"src0": 2}, 2)) == len(awkward())
+    clashing = "SLOT Block period places first_block end_block phase_slot phase_row"
+    assert len(check(docs(spark, awkward(), clashing), {"src0": 2}, 2)) == len(awkward())
     assert mixed(docs(spark, []), {"src0": 1}).collect() == []
     with pytest.raises(ValueError):
         mixed(docs(spark, []), {"src0": 0})
@@ -80,3 +83,13 @@ def test_awkward_rows(spark):
 def test_query_places_every_document(spark):
     rows = queries.op8_source_mixing(spark, "/root/testdata/sf0.001").collect()
     assert sorted(r.position for r in rows) == list(range(len(rows))) and len(rows) >= 200
+
+
+def test_rows_that_share_an_id_are_spread(spark, monkeypatch):
+    """Rows without an id meet in many small buckets, not in one."""
+    monkeypatch.setattr(mixing, "BUCKETS", 64)
+    frame = docs(spark, [(None, f"t{i}") for i in range(1280)])
+    rows = check(frame, {"src0": 3, "src1": 1}, 7)
+    assert len(rows) == 1280
+    hashed = frame.select(F.pmod(F.xxhash64(F.lit(9), *hashable(frame)), F.lit(64)).alias("b"))
+    assert hashed.groupBy("b").count().agg(F.max("count")).first()[0] < 60
