@@ -174,21 +174,34 @@ def shrunk(scored: DataFrame, p: str) -> DataFrame:
         "hosts",
     )
 
-    def moments(sites: DataFrame) -> tuple[float, float]:
-        """The overall mean and the strength of the prior for one more site."""
-        mean = F.col("s") / F.col("n")
-        inner = F.greatest(F.col("ss") / F.col("n") - mean * mean, F.lit(0.0)) / F.col("n")
-        k, n, s, m1, m2, noise = sites.agg(
-            F.count(F.lit(1)), F.sum("n"), F.sum("s"), F.avg(mean), F.avg(mean * mean), F.avg(inner)
-        ).first()
-        if not k:
-            return 0.5, 1.0
-        overall = min(max(s / n, 1e-6), 1 - 1e-6)
-        between = max(m2 - m1 * m1 - noise, 1e-6)
-        return overall, max(overall * (1 - overall) / between - 1, 1.0)
-
-    overall, host_strength = moments(hosts)
-    _, path_strength = moments(paths)
+    mean = F.col("s") / F.col("n")
+    inner = F.greatest(F.col("ss") / F.col("n") - mean * mean, F.lit(0.0)) / F.col("n")
+    k, n, s, m1, m2, noise = hosts.agg(
+        F.count(F.lit(1)), F.sum("n"), F.sum("s"), F.avg(mean), F.avg(mean * mean), F.avg(inner)
+    ).first()
+    overall = min(max(s / n, 1e-6), 1 - 1e-6) if k else 0.5
+
+    def strength(between: float) -> float:
+        return max(overall * (1 - overall) / max(between, 1e-6) - 1, 1.0)
+
+    host_strength = strength(m2 - m1 * m1 - noise) if k else 1.0
+    # Squared distances of paths from the mean path of their host, one degree of freedom less each.
+    spread, free, noise = (
+        paths.groupBy("host")
+        .agg(
+            F.count(F.lit(1)).alias("k"),
+            F.avg(mean).alias("m1"),
+            F.avg(mean * mean).alias("m2"),
+            F.sum(inner).alias("noise"),
+        )
+        .agg(
+            F.sum(F.col("k") * (F.col("m2") - F.col("m1") * F.col("m1"))),
+            F.sum(F.col("k") - 1),
+            F.sum("noise") / F.sum("k"),
+        )
+        .first()
+    )
+    path_strength = strength(spread / free - noise if free else 0.0) if k else 1.0
     expected = (F.col("s") + overall * host_strength) / (F.col("n") + host_strength)
     return (
         paths.join(hosts.select("host", expected.alias("prior")), "host")

@@ -32,7 +32,15 @@ def test_shrinking_follows_the_formula(spark):
         return [p for h, q, p in rows if (h, q)[: len(key)] == key]
 
     overall, host_strength = moments([of(h) for h in "abcd"])
-    _, path_strength = moments([of(h, q) for h in "abcd" for q in "xy"])
+    # Paths differ from the mean path of their own host; two paths have one degree of freedom.
+    spread = noise = 0.0
+    for h in "abcd":
+        groups = [of(h, q) for q in "xy"]
+        means = [sum(v) / len(v) for v in groups]
+        spread += sum((m - sum(means) / 2) ** 2 for m in means)
+        noise += sum((sum(x * x for x in v) / len(v) - m * m) / len(v) for v, m in zip(groups, means))
+    between = max(spread / 4 - noise / 8, 1e-6)
+    path_strength = max(overall * (1 - overall) / between - 1, 1.0)
     for (host, path), r in found.items():
         own = of(host)
         assert (r.n, r.s) == (len(of(host, path)), pytest.approx(sum(of(host, path))))
@@ -41,6 +49,29 @@ def test_shrinking_follows_the_formula(spark):
     assert abs(found["c", "x"].prior - overall) < abs(found["a", "x"].prior - overall)
 
 
+def test_like_paths_in_unlike_hosts_have_a_strong_prior(spark):
+    """Hosts say all there is to say: a path with few rows stays with its host."""
+    rnd = random.Random(8)
+    rows = [
+        (host, f"p{path}", min(0.99, max(0.01, rnd.gauss(rate, 0.05))))
+        for host, rate in (("a", 0.1), ("b", 0.4), ("c", 0.7), ("d", 0.95))
+        for path in range(20)
+        for _ in range(40)
+    ]
+    rows += [("a", "odd", 0.99), ("a", "odd", 0.99)]
+    found = shrunk(spark.createDataFrame(rows, "host string, path string, p double"), "p").collect()
+    # The one odd path counts as spread too; without it the prior would be stronger yet.
+    assert found[0].strength > 15
+    odd = next(r for r in found if r.path == "odd")
+    assert (odd.s + odd.prior * odd.strength) / (odd.n + odd.strength) < 0.2
+
+
+def test_unlike_paths_have_a_weak_one(spark):
+    rows = [("a", f"p{p}", 0.05 + 0.9 * (p % 2)) for p in range(20) for _ in range(40)]
+    found = shrunk(spark.createDataFrame(rows, "host string, path string, p double"), "p").collect()
+    assert found[0].strength == 1.0
+
+
 def corpus(n):
     rnd = random.Random(1)
     rows, labels = [], []
