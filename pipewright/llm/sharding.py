@@ -7,10 +7,11 @@ from math import ceil
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pipewright.llm.common import without
+from pipewright.llm.common import hashable, without
 
 SHARDS = 24
 BUCKET_BYTES = 16 << 20
+BUCKET_SLOTS = 256  # of a shard that follows a mix
 OWN = ("shard", "slot", "grown_shard")
 
 
@@ -35,43 +36,61 @@ def shuffled_shards(
     """All rows with `shard` (int, 0 to shards - 1), `slot` (long, gapless from 0 in each shard, in
     random order) and `grown_shard` (the shard if there were one more).
 
-    Pass one scatters whole records by seeded hashes of the id into buckets of about `bucket_bytes`
-    within each shard; their number follows from the bytes of all texts. Pass two gathers one bucket
-    in memory, puts it in a fixed order and permutes it by Fisher-Yates (`shuffle` with a seed).
-    Slots continue from bucket to bucket by the rows counted before.
+    Pass one scatters whole records by seeded hashes of all their columns (maps aside) into buckets
+    of about `bucket_bytes` within each shard; how many a shard has follows from the bytes of its
+    texts. Pass two gathers one bucket in memory, puts it in a fixed order and permutes it by
+    Fisher-Yates (`shuffle` with a seed). Buckets are dealt to tasks by their numbers, so none meets
+    another one by chance. Slots continue from bucket to bucket by the rows counted before.
 
     The law is `key`: id and number of shards alone decide the shard. Bytes and rows per shard are
     therefore equal up to chance. The same input always gives the same slots. Rows with a null id
-    share a shard, and rows with equal ids share a bucket, apart from the text, which also enters
-    the bucket's hash. Null texts count 8 bytes. Input columns named like the new ones are replaced.
+    share a shard, which has the more buckets for it; only rows that are equal in every column share
+    a bucket for sure. Null texts count 8 bytes. Input columns named like the new ones are replaced.
     """
     rows = without(docs, OWN)
-    size = F.coalesce(F.octet_length(text_col), F.lit(0)) + 8
-    total = rows.agg(F.sum(size.cast("long"))).first()[0] or 0
-    buckets = max(1, ceil(total / shards / bucket_bytes))
-    key, order = F.col(id_col), F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col))
-    placed = rows.select(
-        shard_of(key, shards, seed).alias("shard"),
-        F.pmod(F.shiftrightunsigned(order, 20), F.lit(buckets)).cast("int").alias("bucket"),
-        order.alias("order"),
-        F.struct(*rows.columns).alias("record"),
+    key = F.col(id_col)
+    size = (F.coalesce(F.octet_length(text_col), F.lit(0)) + 8).cast("long")
+    held = dict(
+        tuple(r) for r in rows.groupBy(shard_of(key, shards, seed)).agg(F.sum(size)).collect()
+    )  # one number for each shard
+    buckets = [max(1, ceil(held.get(s, 0) / bucket_bytes)) for s in range(shards)]
+    first = [sum(buckets[:s]) for s in range(shards)]
+
+    def of_shard(numbers: list[int]):
+        return F.element_at(F.array(*[F.lit(n) for n in numbers]), F.col("shard") + 1)
+
+    placed = (
+        rows.select(
+            shard_of(key, shards, seed).alias("shard"),
+            F.xxhash64(F.lit(seed), *hashable(rows)).alias("order"),
+            F.struct(*rows.columns).alias("record"),
+        )
+        .withColumn("bucket", F.pmod(F.shiftrightunsigned("order", 20), of_shard(buckets)).cast("int"))
+        .withColumn("bucket", F.col("bucket") + of_shard(first))
     )
     heads = (
         placed.groupBy("shard", "bucket")
         .agg(F.count(F.lit(1)).alias("n"))
         .withColumn("before", F.sum("n").over(Window.partitionBy("shard").orderBy("bucket")))
-        .select("shard", "bucket", (F.col("before") - F.col("n")).alias("head"))
+        .select("bucket", (F.col("before") - F.col("n")).alias("head"))
     )
     # The head of a bucket travels with its records, so that no join has to sort whole buckets.
     gathered = (
         placed.withColumn("item", F.struct("order", "record"))
         .select("shard", "bucket", "item", F.lit(None).cast("long").alias("head"))
         .unionByName(heads.withColumn("item", F.lit(None)), allowMissingColumns=True)
-        .repartition(shards * buckets, "shard", "bucket")
-        .groupBy("shard", "bucket")
-        .agg(F.max("head").alias("head"), F.collect_list("item").alias("items"))
-        .sortWithinPartitions("shard", "bucket")
+        .repartitionById(sum(buckets), F.col("bucket"))
+        .groupBy("bucket")
+        .agg(
+            F.max("shard").alias("shard"), F.max("head").alias("head"), F.collect_list("item").alias("items")
+        )
     )
+    return _permuted(gathered, seed).withColumn("grown_shard", shard_of(key, shards + 1, seed))
+
+
+def _permuted(gathered: DataFrame, seed: int) -> DataFrame:
+    """Rows of buckets (shard, head, items) in random order: Fisher-Yates over each bucket, which is
+    put in a fixed order before."""
     fixed = F.array_sort(
         "items",
         lambda a, b: F.when(a["order"] < b["order"], -1).when(a["order"] > b["order"], 1).otherwise(0),
@@ -80,23 +99,27 @@ def shuffled_shards(
         gathered.withColumn("items", F.shuffle(fixed, seed))
         .select("shard", "head", F.posexplode("items").alias("place", "item"))
         .select("item.record.*", "shard", (F.col("head") + F.col("place")).alias("slot"))
-        .withColumn("grown_shard", shard_of(key, shards + 1, seed))
     )
 
 
-def dealt_shards(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
+def mixed_shards(
+    docs: DataFrame, shards: int = SHARDS, bucket_slots: int = BUCKET_SLOTS, seed: int = 20_24
+) -> DataFrame:
     """All rows of a frame read from Parquet files with `shard` and `slot` (gapless from 0 in each
-    shard), dealt in the order in which they were written: the row at position p goes to shard
-    p mod `shards`, slot p div `shards`.
-
-    So the first k slots of every shard are every `shards`-th of the first k * `shards` rows: whatever
-    mix these rows have, each shard has it to within one row a block. The position is the rows of the
-    files before (one number a file) and the row's place in its file; nothing is shuffled. Input
-    columns named like the new ones are replaced.
+    shard), so that every shard follows the order in which the rows were written, and is shuffled
+    within it.
+
+    Pass one scatters whole records into buckets: the row at position p belongs to shard p mod
+    `shards`, there to the bucket of `bucket_slots` slots that p div `shards` falls into. Pass two
+    gathers a bucket in memory and permutes it by Fisher-Yates. So the first k buckets of every
+    shard hold every `shards`-th of the first rows: whatever mix these have, each shard has it.
+    Positions are the rows of the files before (one number a file) and the row's place in its file;
+    a mix has put its rows there by seeded hashes. Equal rows have places of their own. Input
+    columns named like the new ones are replaced. No rows give no rows.
     """
     rows = without(docs, OWN)
     placed = docs.select(
-        *[docs[c] for c in rows.columns],
+        F.struct(*[docs[c] for c in rows.columns]).alias("record"),
         F.col("_metadata.file_name").alias("__file"),
         F.col("_metadata.row_index").alias("__row"),
     )
@@ -109,11 +132,18 @@ def dealt_shards(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
         .select("__file", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__head"))
     )
     position = F.col("__head") + F.col("__row")
-    return placed.join(F.broadcast(heads), "__file").select(
-        *rows.columns,
-        F.pmod(position, F.lit(shards)).cast("int").alias("shard"),
-        F.floor(position / shards).cast("long").alias("slot"),
+    buckets = (
+        placed.join(heads, "__file")
+        .select(
+            F.pmod(position, F.lit(shards)).cast("int").alias("shard"),
+            F.floor(position / shards).cast("long").alias("order"),
+            "record",
+        )
+        .withColumn("bucket", F.floor(F.col("order") / bucket_slots))
+        .groupBy("shard", "bucket")
+        .agg(F.collect_list(F.struct("order", "record")).alias("items"))
     )
+    return _permuted(buckets.withColumn("head", F.col("bucket") * bucket_slots), seed)
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:

@@ -1,8 +1,11 @@
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
+
+from pyspark.sql.functions import spark_partition_id
 
 from pipewright.llm import queries
-from pipewright.llm.sharding import shuffled_shards, write_shards
+from pipewright.llm.common import written
+from pipewright.llm.sharding import mixed_shards, shuffled_shards, write_shards
 from tests.llm.small import awkward, docs
 
 
@@ -68,3 +71,31 @@ def test_query(spark):
         raw = (texts[r.doc_id] or "").encode()
         assert (r.size, r.text_crc32, r.law) == (len(raw) + 8, zlib.crc32(raw), "key")
         assert 0 <= r.shard < 24 and r.grown_shard in (r.shard, 24)
+
+
+def test_no_bucket_holds_all_rows_without_an_id(spark):
+    """Half of the rows have no id: their shard has as many buckets more, each in a task of its own."""
+    rows = [(None if i % 2 else i, f"text {i:06d}" * 5) for i in range(4000)]
+    frame = shuffled_shards(docs(spark, rows), shards=4, bucket_bytes=4_000)
+    found = frame.select("doc_id", "shard", "slot", spark_partition_id().alias("task")).collect()
+    tasks = Counter(r.task for r in found)
+    assert len(tasks) > 60 and max(tasks.values()) < 110
+    for shard in range(4):
+        slots = sorted(r.slot for r in found if r.shard == shard)
+        assert slots == list(range(len(slots)))
+
+
+def test_shards_of_a_mix_are_shuffled_inside_their_buckets(spark):
+    frame = written(docs(spark, [(i, f"t{i}") for i in range(3000)]).coalesce(1), "t")
+    found = mixed_shards(frame, shards=3, bucket_slots=100).collect()
+    for shard in range(3):
+        own = {r.slot: r.doc_id for r in found if r.shard == shard}
+        assert sorted(own) == list(range(1000))
+        for bucket in range(10):
+            ids = [own[i] for i in range(bucket * 100, bucket * 100 + 100)]
+            # The bucket holds its part of the order, and not in that order.
+            assert sorted(ids) == [shard + 3 * i for i in range(bucket * 100, bucket * 100 + 100)]
+            rises = sum(a < b for a, b in zip(ids, ids[1:]))
+            assert 30 < rises < 70
+    again = mixed_shards(frame, shards=3, bucket_slots=100).collect()
+    assert sorted(map(str, again)) == sorted(map(str, found))
