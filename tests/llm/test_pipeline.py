@@ -52,6 +52,14 @@ def test_run_returns_the_last_stage(spark):
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
 
 
+def test_removal_is_by_row(spark):
+    stage = dict(corpus_pipeline.STAGES)["n-gram Jaccard join"]
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(5, text), (5, "another text that has no copy at all"), (3, text), *[(None, text + " x")] * 2]
+    kept = stage(spark, docs(spark, rows), FOLDER)
+    assert sorted(rows_of(kept)) == [(3, text), (5, "another text that has no copy at all")]
+
+
 def test_awkward_rows_and_no_rows(spark):
     for rows in (awkward(), []):
         frame = docs(spark, rows)
@@ -68,7 +76,11 @@ def test_every_shard_follows_the_mix(spark):
     mix = corpus_pipeline.written(stages["mixing sources to target weights"](spark, frame.repartition(5), FOLDER), "t")
     found = stages["sharding"](spark, mix, FOLDER).collect()
     position = {r.doc_id: r.position for r in mixed(frame, WEIGHTS, other=OTHER_WEIGHT).collect()}
-    assert {r.doc_id: (r.shard, r.slot) for r in found} == {i: (p % 24, p // 24) for i, p in position.items()}
+    # A row has its shard by its place in the mix, and a slot in the bucket that the place falls into.
+    assert {r.doc_id: (r.shard, r.slot // 256) for r in found} == {
+        i: (p % 24, p // 24 // 256) for i, p in position.items()
+    }
+    assert sum(r.slot == position[r.doc_id] // 24 for r in found) < 200
     weight = WEIGHTS["src0"] / (WEIGHTS["src0"] + WEIGHTS["src1"])
     for shard in range(24):
         head = [r.source for r in found if r.shard == shard and r.slot < 260]
