@@ -23,6 +23,7 @@ from pipewright.plans import (
     activity,
     checks,
     customer360,
+    distributions,
     evaluate,
     exchange,
     generate,
@@ -611,6 +612,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "gen_dimensions": lambda spark, sf_dir: generate.gen_dimensions(
             _customer_ids(spark, sf_dir), _product_ids(spark, sf_dir)
         ),
+        "gen_distributions": lambda spark, sf_dir: distributions.distribution_report(
+            generate.generate(
+                _customer_ids(spark, sf_dir), _product_ids(spark, sf_dir), date(2026, 3, 8)
+            )
+        ),
         "clean_text": _texts,
         "definition_parts": _definition_parts,
         "definition_documents": _definition_documents,

@@ -190,3 +190,59 @@ SYNTHETIC = {
         FROM (SELECT *, {_h('note', 'opp_no')} AS g FROM ({OPPORTUNITIES}) WHERE status = 'Open')
         WHERE {_percent('g', 0, 25)}""",
 }
+
+
+# Draws as the generator deals them out, counted by value: the 65,536 slots of a draw by remainder.
+def _fit(table: str, column: str, sql: str, weights: dict[str, int], limit: float) -> str:
+    values = ", ".join(f"('{v}', {w})" for v, w in weights.items())
+    return f"""
+      SELECT '{table}' AS table_name, '{column}' AS column_name,
+        CAST(sum(seen) AS BIGINT) AS num_rows,
+        CAST(coalesce(sum(seen) FILTER (WHERE w IS NULL), 0) AS BIGINT) AS num_undeclared,
+        round(coalesce(sum(power(seen - e, 2) / e) FILTER (WHERE w IS NOT NULL), 0), 4) AS chi_square,
+        {len(weights) - 1} AS degrees_of_freedom,
+        num_undeclared = 0 AND chi_square <= {limit} AS fits
+      FROM (
+        SELECT coalesce(n, 0) AS seen, w, w / 65536.0 * sum(n) FILTER (WHERE w IS NOT NULL) OVER () AS e
+        FROM (SELECT CAST({column} AS VARCHAR) AS v, count(*) AS n FROM ({sql})
+              WHERE {column} IS NOT NULL GROUP BY v)
+        FULL JOIN (VALUES {values}) declared(v, w) USING (v))"""
+
+
+def _slots(values: tuple) -> dict[str, int]:
+    """Slots by remainder: the first remainders come once more."""
+    return {str(v): len(range(i, 65536, len(values))) for i, v in enumerate(values)}
+
+
+def _rolls(*bounds: tuple[str, int, int]) -> dict[str, int]:
+    """Slots whose last two decimal digits lie between bounds."""
+    return {v: sum(len(range(r, 65536, 100)) for r in range(a, b)) for v, a, b in bounds}
+
+
+# Upper 0.1 % points of chi-square by degrees of freedom, after Wilson and Hilferty.
+_LIMITS = {k: k * (1 - 2 / 9 / k + 3.090232306167813 * (2 / 9 / k) ** 0.5) ** 3 for k in range(1, 6)}
+_WEIGHTS = {
+    ("support_tickets", "gen_tickets"): {
+        "severity": _rolls(("Low", 0, 40), ("Medium", 40, 75), ("High", 75, 95), ("Critical", 95, 100)),
+        "status": _rolls(("Closed", 0, 75), ("Open", 75, 100)),
+        "channel": _slots(generate.CHANNELS),
+        "assigned_group": _slots(generate.GROUPS),
+    },
+    ("support_activities", "gen_support_activities"): {
+        "description": _slots(generate.SUPPORT_STEPS),
+        "author": _slots(generate.AUTHORS),
+        "activity_type": _slots(generate.SUPPORT_TYPES),
+    },
+    ("sales_opportunities", "gen_opportunities"): {
+        "status": _slots(generate.OPP_STATUSES),
+        "stage": _slots(generate.STAGES),
+        "forecast_category": _slots(generate.CATEGORIES),
+        "amount": _slots(generate.AMOUNTS),
+    },
+    ("sales_activities", "gen_sales_activities"): {"contact_name": _slots(generate.CONTACTS)},
+}
+SYNTHETIC["gen_distributions"] = " UNION ALL ".join(
+    _fit(table, column, SYNTHETIC[job], weights, _LIMITS[len(weights) - 1])
+    for (table, job), columns in _WEIGHTS.items()
+    for column, weights in columns.items()
+)

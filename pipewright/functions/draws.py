@@ -11,6 +11,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+SLOTS = 1 << 16  # values of one draw
+
+
 def entropy(seed: int, label: str, *keys: Column) -> Column:
     """32 hexadecimal digits that look random for every new combination of arguments."""
     return F.md5(F.concat_ws("|", F.lit(seed), F.lit(label), *[k.cast("string") for k in keys]))

@@ -3,8 +3,9 @@ from datetime import date, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from pipewright.plans import checks, generate
+from pipewright.plans import checks, distributions, generate
 from pipewright.sources.schemas import SCHEMAS
+from tests.small import tables
 
 AS_OF = date(2026, 3, 8)
 
@@ -128,3 +129,44 @@ def test_forced_renewals_against_a_plain_loop(spark):
             expected[f"O{5000 + number}"] = kind
     made = generate.generate(spark.range(40), spark.range(8), AS_OF).sales_opportunities
     assert {r["opp_id"]: r["type"] for r in made.collect()} == expected
+
+
+def test_generated_values_follow_their_weights(made):
+    _, t = made
+    report = distributions.distribution_report(t).collect()
+    assert {(r.table_name, r.column_name) for r in report} == set(distributions.DECLARED)
+    assert all(r.fits and r.num_undeclared == 0 and r.num_rows > 1000 for r in report)
+    # Statistics are about as large as their degrees of freedom say.
+    assert sum(r.chi_square for r in report) < 2 * sum(r.degrees_of_freedom for r in report)
+
+
+def test_a_skewed_generator_does_not(spark, made):
+    _, t = made
+    tickets = t.support_tickets.withColumn(
+        "severity", F.when(F.col("ticket_id").endswith("7") & (F.col("severity") == "Low"), "High").otherwise(F.col("severity"))
+    ).withColumn("channel", F.when(F.col("channel") == "Fax", None).otherwise(F.lit("Phone")))
+    acts = t.sales_activities.withColumn("contact_name", F.when(F.col("activity_id").endswith("01"), "nobody").otherwise(F.col("contact_name")))
+    report = {
+        r.column_name: r
+        for r in distributions.distribution_report(t.replaced(support_tickets=tickets, sales_activities=acts)).collect()
+        if r.table_name in ("support_tickets", "sales_activities")
+    }
+    assert {c: r.fits for c, r in report.items()} == {
+        "severity": False, "status": True, "channel": False, "assigned_group": True, "contact_name": False,
+    }
+    # All rows on one of three equal values: twice their number, but for the odd slot.
+    channel = report["channel"]
+    assert abs(channel.chi_square / channel.num_rows - 2) < 1e-3
+    assert report["contact_name"].num_undeclared == acts.where("contact_name = 'nobody'").count() > 0
+
+
+def test_empty_tables_say_nothing_against_their_weights(spark):
+    report = distributions.distribution_report(tables(spark)).collect()
+    assert len(report) == len(distributions.DECLARED)
+    assert all((r.num_rows, r.chi_square, r.fits) == (0, 0.0, True) for r in report)
+
+
+def test_limits_of_chi_square():
+    # Upper 0.1 % and 5 % points from a table.
+    for degrees, confidence, want in ((1, 0.999, 10.83), (3, 0.999, 16.27), (5, 0.999, 20.52), (5, 0.95, 11.07)):
+        assert abs(distributions.chi_square_limit(degrees, confidence) / want - 1) < 0.02
