@@ -241,8 +241,21 @@ _WEIGHTS = {
     },
     ("sales_activities", "gen_sales_activities"): {"contact_name": _slots(generate.CONTACTS)},
 }
-SYNTHETIC["gen_distributions"] = " UNION ALL ".join(
-    _fit(table, column, SYNTHETIC[job], weights, _LIMITS[len(weights) - 1])
-    for (table, job), columns in _WEIGHTS.items()
-    for column, weights in columns.items()
+# Which product a ticket is about plays no part here.
+_TICKET_VALUES = f"""
+  SELECT severity, status, {_pick('h', 6, generate.CHANNELS)} AS channel,
+    {_pick('h2', 0, generate.GROUPS)} AS assigned_group
+  FROM ({TICKETS})"""
+_MADE = {job: _TICKET_VALUES if job == "gen_tickets" else SYNTHETIC[job] for _, job in _WEIGHTS}
+SYNTHETIC["gen_distributions"] = (
+    "WITH "
+    + ", ".join(f"made_{job} AS MATERIALIZED ({sql})" for job, sql in _MADE.items())
+    + " ".join(
+        f"{'UNION ALL' if i else ''} {fit}"
+        for i, fit in enumerate(
+            _fit(table, column, f"SELECT * FROM made_{job}", weights, _LIMITS[len(weights) - 1])
+            for (table, job), columns in _WEIGHTS.items()
+            for column, weights in columns.items()
+        )
+    )
 )
