@@ -14,11 +14,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pipewright.llm.common import append_columns, bound_batches, written
+from pipewright.llm.common import append_columns, bound_batches, without, written
 
 ORDER = 4  # 16 bits a symbol: an n-gram is one 64-bit number
 CAPACITY = 1 << 22  # log-probabilities in one shard of a model; a larger model has more shards
-CALIBRATION_DOCS = 4_096  # about so many documents of each language set its limits of rejection
 TAIL = 8.0  # standard deviations beyond which a cross-entropy is rejected
 HELD = 4 << 20  # n-grams counted at a time
 CHUNK = 1 << 18  # code points scored at a time
@@ -383,7 +382,7 @@ def rejected(model: Model) -> Column:
 
 def identify(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-    calibration_docs: int = CALIBRATION_DOCS,
+    calibration_docs: int | None = None, with_text: bool = True,
 ) -> DataFrame:
     """All rows with `lang_pred`, `score` (0 to 1), `entropy` (nats a symbol, of the chosen language),
     `runner_up` (of the next best), `n_symbols`, `held_out` and `rejected`.
@@ -394,8 +393,11 @@ def identify(
     size, as many as there are. The language with the lowest cross-entropy per symbol
     wins, ties go to the first by name. `rejected` is set where that cross-entropy is TAIL standard
     deviations above the mean of its language at this length and nearer to that of foreign text, as
-    learned from about `calibration_docs` training rows of that language taken by hash (all, if there
-    are fewer), so a rare language has limits at every size of the table.
+    learned from all rows that the models learn from. A caller who wants limits from fewer rows gives
+    `calibration_docs`: about so many of each language, by a hash of the id.
+
+    Texts are scored once: rows are written with their predictions, from which the limits follow by
+    grouped aggregates. `with_text` False leaves the text out of what is written and returned.
 
     Null texts and texts without a letter are `und`, score 0, rejected; so is every row if there is
     nothing to learn from. Rows with a null id are not learned from. Repeated rows count as often as
@@ -403,28 +405,30 @@ def identify(
     """
     context = docs.sparkSession.sparkContext
     learnable = ~is_held_out(id_col) & F.col(id_col).isNotNull() & F.col(lang_col).isNotNull()
-    training = docs.where(learnable)
-    counted = _counted(docs, F.when(learnable, F.col(lang_col).cast("string")), text_col)
+    learned = F.when(learnable, F.col(lang_col).cast("string"))
+    counted = _counted(docs, learned, text_col)
     model = _learned(counted)
     shards = [context.broadcast(shard) for shard in model.shards(counted.select("key").distinct())]
     langs = model.langs
 
-    def scored(rows: DataFrame) -> DataFrame:
-        names = [f.name for f in ADDED]
-        kept = [c for c in rows.columns if c.lower() not in names]
-        return append_columns(rows, ADDED, _predict(shards, langs, kept.index(text_col)))
+    rows = without(docs.withColumn("__lang", learned), [f.name for f in ADDED])
+    if calibration_docs is not None:
+        rows = _drawn(rows, id_col, calibration_docs)
+    scored = append_columns(rows, ADDED, _predict(shards, langs, rows.columns.index(text_col)))
+    scored = written(scored if with_text else scored.drop(text_col), "predictions")
+    calibrate(model, scored, "__lang")
+    out = scored.drop("__lang")
+    return out.withColumn("held_out", is_held_out(id_col)).withColumn("rejected", rejected(model))
+
 
-    lang = F.col(lang_col).cast("string")
-    counts = training.groupBy(lang.alias("lang")).count().collect()  # a row for each language
-    least = [(r.lang, int(min(1.0, calibration_docs / r["count"]) * (1 << 20))) for r in counts]
-    shares = docs.sparkSession.createDataFrame(least, "__lang string, __share int")
+def _drawn(rows: DataFrame, id_col: str, wanted: int) -> DataFrame:
+    """The rows with `__lang` kept on about so many of each language, by a hash of the id."""
+    counts = rows.where("__lang is not null").groupBy("__lang").count()
+    share = (F.least(F.lit(1.0), wanted / F.col("count")) * (1 << 20)).cast("int")
+    shares = counts.select(F.col("__lang").alias("__drawn"), share.alias("__share"))
     draw = F.pmod(F.xxhash64(F.lit("calibration"), id_col), F.lit(1 << 20))
-    some = (
-        training.select(F.col(text_col), draw.alias("__draw"), lang.alias("__lang"))
-        .join(F.broadcast(shares), "__lang")
-        .where("__draw < __share")
+    # A row for each language.
+    met = rows.join(F.broadcast(shares), F.col("__lang") == F.col("__drawn"), "left")
+    return met.withColumn("__lang", F.when(draw < F.col("__share"), F.col("__lang"))).drop(
+        "__drawn", "__share"
     )
-    sample = scored(some.select(text_col, "__lang"))
-    calibrate(model, written(sample.drop(text_col), "calibration"), "__lang")
-    out = scored(docs)
-    return out.withColumn("held_out", is_held_out(id_col)).withColumn("rejected", rejected(model))

@@ -181,3 +181,29 @@ def test_a_language_without_recognised_texts_gets_pooled_limits(spark):
     language.calibrate(model, spark.createDataFrame(judged, fields))
     assert set(model.limits) == {"x", "y", "z"}
     assert model.limits["z"][:2] == (1.5, 6.0)
+
+
+def test_limits_come_from_all_training_rows(spark, monkeypatch):
+    """A few odd texts among thousands move the limits, wherever they stand."""
+    models = []
+    calibrate = language.calibrate
+    monkeypatch.setattr(language, "calibrate", lambda model, *rest: (models.append(model), calibrate(model, *rest)))
+    rows = [(i, f"banana {'abcdefgh'[i % 8]}bandana {'xyz' * (i % 5)}", "aa") for i in range(9000)]
+    rows += [(10_000 + i, f"xylo zy{'öüä'[i % 3]}lo", "bb") for i in range(30)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    found = identify(frame).where("not held_out").collect()
+    assert sum(r.lang == "aa" for r in found) > 5000
+    for lang in ("aa", "bb"):
+        own = [r for r in found if r.lang == r.lang_pred == lang]
+        symbols_ = sum(r.n_symbols for r in own)
+        mean = sum(r.entropy * r.n_symbols for r in own) / symbols_
+        foreign = sum(r.runner_up * r.n_symbols for r in own) / symbols_
+        within = sum((r.entropy - mean) ** 2 * r.n_symbols for r in own) / len(own)
+        assert models[0].limits[lang] == pytest.approx((mean, foreign, 0.01, within), rel=1e-9)
+
+
+def test_the_text_can_be_left_out(spark):
+    frame = spark.createDataFrame([(i, "abc abd", "x") for i in range(9)], "doc_id long, text string, lang string")
+    whole, bare = identify(frame), identify(frame, with_text=False)
+    assert bare.columns == whole.drop("text").columns
+    assert sorted(bare.collect()) == sorted(whole.drop("text").collect())
