@@ -24,8 +24,8 @@ from pipewright.llm.common import bound_batches
 from pipewright.llm.words import SPACED, chunks, mix, text_bytes
 from pipewright.sources.scratch import remove, scratch_path
 
-STATES, ITERATIONS = 8, 3
-SEED_DOCS, SEED_TOKENS, SEED_ROUNDS = 1024, 500_000, 12  # where training starts from
+STATES, ITERATIONS = 8, 4
+STAY = 0.95  # share of steps that stay in their state where training starts from
 FREQUENT = 1 << 20  # a word is a class of its own if it makes up one of so many tokens
 SUFFIXES = 4096  # classes of all other words, by their last three bytes
 PRIOR = 100.0  # tokens that the base distribution counts for in each state
@@ -291,7 +291,7 @@ def maximised(counts: Counts, v: Vocabulary) -> Model:
 def first_model(v: Vocabulary, states: int, seed: int) -> Model:
     """States that keep to themselves and tell classes apart at random."""
     noise = np.random.default_rng(seed).uniform(0.5, 1.5, (len(v.totals), states))
-    step = 0.9 * np.eye(states) + 0.1 / states
+    step = STAY * np.eye(states) + (1 - STAY) / states
     counts = Counts(np.ones(states), step * 1e6, v.totals[:, None] * noise, 0.0)
     return maximised(counts, v)
 
@@ -350,22 +350,6 @@ def _gathered(rows, classes: int, states: int) -> Counts:
     return Counts(rest[:states], rest[states:-1].reshape(states, states), table, float(rest[-1]))
 
 
-def _seeded(vocabulary, states: int, seed: int, tokens: int, rounds: int):
-    """Some rounds over a few whole texts, in one task."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = vocabulary.value
-        for texts in _groups(batches, tokens):
-            model = first_model(v, states, seed)
-            for _ in range(rounds):
-                counts = expected(texts, model)
-                model = maximised(counts, v)
-            yield _rows_of(counts)
-            return
-
-    return work
-
-
 def _scored(model, tokens: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -467,24 +451,13 @@ def trained(
     """The model after some iterations of Baum-Welch over all training texts, and log10 of their
     likelihood before each iteration.
 
-    Some hundred texts chosen by a hash of their ids decide where it starts; every count of the
-    result is a sum over all training texts.
+    It starts from the counts of all words and a random share of each state in every class; every
+    count of every iteration is a sum over all training texts.
     """
     spark = coded.sparkSession
     texts = coded.where("not held").select("tokens", "classes")
-    few = (
-        coded.where("not held")
-        .orderBy(F.xxhash64(F.lit(seed), "id"), "id", F.xxhash64("classes"))
-        .limit(SEED_DOCS)
-        .select("tokens", "classes")
-        .coalesce(1)
-    )
     shape = (len(v.totals), states)
-    vocabulary = spark.sparkContext.broadcast(v)
-    start = few.mapInArrow(
-        _seeded(vocabulary, states, seed, SEED_TOKENS, SEED_ROUNDS), "piece int, sums binary"
-    ).collect()
-    model = maximised(_gathered(start, *shape), v) if start else first_model(v, states, seed)
+    model = first_model(v, states, seed)
     course = []
     for _ in range(iterations):
         sent = spark.sparkContext.broadcast(model)

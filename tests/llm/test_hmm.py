@@ -145,3 +145,20 @@ def test_held_out_texts_are_likelier_than_under_unigrams(spark):
     )
     score, base, tokens, better = held.first()
     assert (score - base) / tokens > 0.2 and better > 0.95
+
+
+def test_every_count_is_a_sum_over_all_training_texts(spark):
+    """From the first iteration on: nothing but the texts together decides where training goes."""
+    frame = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    coded, v = hmm.coded_texts(frame, hmm.residue("doc_id", 7) == 2, "doc_id", "text")
+    rows = coded.where("not held").orderBy("id").toArrow()
+    texts = hmm.unpacked(rows.column("classes").combine_chunks(), rows.column("tokens").to_numpy())
+    model, course = hmm.first_model(v, 3, 12), []
+    for _ in range(2):
+        counts = hmm.expected(texts, model)
+        course.append(counts.log10)
+        model = hmm.maximised(counts, v)
+    found, likelihoods = hmm.trained(coded, v, states=3, iterations=2)
+    assert np.allclose(likelihoods, course, rtol=1e-5)
+    assert np.allclose(found.emission, model.emission, rtol=0.01, atol=1e-6)
+    assert np.allclose(found.step, model.step, atol=1e-3)
