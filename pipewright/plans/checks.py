@@ -78,28 +78,43 @@ def vocab_violations(t: Tables) -> DataFrame:
 
 def orphan_rows(t: Tables) -> DataFrame:
     """References to rows that do not exist, with the number of rows that hold them."""
-    # Keys keep their own types until the report, and one pruned scan reads one column. Each
-    # reference is reduced to a row per id before the join, so a busy id stays small, and references
-    # to the same parent meet it in one join, whose size Spark knows by itself.
+    # Keys keep their own types until the report, and one pruned scan reads one column. A parent's
+    # ids and all references to it meet in one aggregate, a row per id: counts are combined on the
+    # map side, so a busy id stays small, nothing is sorted, and no table is held to look ids up.
     by_parent: dict[str, list[tuple[str, str]]] = {}
     for table, column, parent in REFERENCES:
         by_parent.setdefault(parent, []).append((table, column))
     reports = []
     for parent, references in by_parent.items():
-        held = stacked(
-            [
-                getattr(t, table)
-                .where(F.col(column).isNotNull())
-                .groupBy(F.col(column).alias("missing_id"))
-                .agg(F.count("*").alias("num_rows"))
-                .select(F.lit(table).alias("table_name"), F.lit(column).alias("column_name"), "*")
-                for table, column in references
-            ]
+        known = getattr(t, parent).select(
+            F.col(KEYS[parent][0]).alias("missing_id"), F.lit(-1).alias("_held_by")
         )
-        known = getattr(t, parent).select(F.col(KEYS[parent][0]).alias("missing_id"))
-        missing = held.join(known, "missing_id", "left_anti")
-        reports.append(missing.withColumn("missing_id", F.col("missing_id").cast("string")))
-    return stacked(reports).select("table_name", "column_name", "missing_id", "num_rows")
+        held = [
+            getattr(t, table)
+            .where(F.col(column).isNotNull())
+            .select(F.col(column).alias("missing_id"), F.lit(i).alias("_held_by"))
+            for i, (table, column) in enumerate(references)
+        ]
+        missing = (
+            stacked([known, *held])
+            .groupBy("missing_id")
+            .agg(
+                F.min("_held_by").alias("_least"),
+                *[F.count_if(F.col("_held_by") == i).alias(f"_{i}") for i in range(len(references))],
+            )
+            .where(F.col("_least") >= 0)
+        )
+        found = [
+            F.struct(
+                F.lit(table).alias("table_name"),
+                F.lit(column).alias("column_name"),
+                F.col("missing_id").cast("string").alias("missing_id"),
+                F.col(f"_{i}").alias("num_rows"),
+            )
+            for i, (table, column) in enumerate(references)
+        ]
+        reports.append(missing.select(F.inline(F.array(*found))).where(F.col("num_rows") > 0))
+    return stacked(reports)
 
 
 def key_violations(t: Tables) -> DataFrame:

@@ -70,3 +70,14 @@ def test_policies_are_broadcast_by_their_known_size(spark):
         assert "BroadcastHashJoin [close_month" in plan_of(QUERIES["policy_sweep"](spark, FOLDER))
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_references_meet_their_parents_in_one_aggregate(spark):
+    """No parent is broadcast or sorted to look its ids up, whatever its size."""
+    for threshold in (-1, 1 << 30):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        try:
+            plan = plan_of(QUERIES["orphan_rows"](spark, FOLDER))
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        assert "LeftAnti" not in plan and plan.count("Exchange hashpartitioning(missing_id") == 4
