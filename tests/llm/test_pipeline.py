@@ -1,4 +1,5 @@
 import corpus_pipeline
+from pipewright.llm import language
 from pipewright.llm.language import identify
 from pipewright.llm.mixing import mixed
 from pipewright.llm.queries import OTHER_WEIGHT, WEIGHTS
@@ -87,3 +88,19 @@ def test_every_shard_follows_the_mix(spark):
         assert len(head) == 260 and abs(head.count("src0") - weight * 260) <= 6
     plain = stages["sharding"](spark, corpus_pipeline.written(frame.repartition(5), "t"), FOLDER)
     assert {(r.doc_id, r.shard, r.slot) for r in plain.collect()} != {(r.doc_id, r.shard, r.slot) for r in found}
+
+
+def test_limits_of_the_language_stage_come_from_all_training_rows(spark, monkeypatch):
+    seen = []
+    calibrate = language.calibrate
+
+    def counted(model, labelled, lang_col):
+        seen.append(labelled.where(labelled[lang_col].isNotNull()).count())
+        calibrate(model, labelled, lang_col)
+
+    monkeypatch.setattr(language, "calibrate", counted)
+    rows = [(i, f"banana {'abcdefgh'[i % 8]}bandana", "aa", "s", 15) for i in range(9000)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = dict(corpus_pipeline.STAGES)["language ID"](spark, frame.repartition(4), FOLDER)
+    assert kept.columns == COLUMNS and kept.count() == 9000
+    assert seen == [frame.where(~language.is_held_out("doc_id")).count()] and seen[0] > 5000
