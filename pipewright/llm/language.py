@@ -382,7 +382,7 @@ def rejected(model: Model) -> Column:
 
 def identify(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-    calibration_docs: int | None = None, with_text: bool = True,
+    calibration_docs: int | None = None, with_text: bool = True, learn_all: bool = False,
 ) -> DataFrame:
     """All rows with `lang_pred`, `score` (0 to 1), `entropy` (nats a symbol, of the chosen language),
     `runner_up` (of the next best), `n_symbols`, `held_out` and `rejected`.
@@ -396,22 +396,25 @@ def identify(
     learned from all rows that the models learn from. A caller who wants limits from fewer rows gives
     `calibration_docs`: about so many of each language, by a hash of the id.
 
+    With `learn_all` the models learn from every row with a language, whatever its id, also null;
+    limits then come from all of these rows whose ids are not held out.
+
     Texts are scored once: rows are written with their predictions, from which the limits follow by
     grouped aggregates. `with_text` False leaves the text out of what is written and returned.
 
     Null texts and texts without a letter are `und`, score 0, rejected; so is every row if there is
-    nothing to learn from. Rows with a null id are not learned from. Repeated rows count as often as
-    they occur. Input columns named like the new ones are replaced.
+    nothing to learn from. Rows with a null id are not learned from without `learn_all`. Repeated rows
+    count as often as they occur. Input columns named like the new ones are replaced.
     """
     context = docs.sparkSession.sparkContext
-    learnable = ~is_held_out(id_col) & F.col(id_col).isNotNull() & F.col(lang_col).isNotNull()
-    learned = F.when(learnable, F.col(lang_col).cast("string"))
-    counted = _counted(docs, learned, text_col)
+    lang = F.col(lang_col).cast("string")
+    fit = F.when(~is_held_out(id_col) & (F.lit(learn_all) | F.col(id_col).isNotNull()), lang)
+    counted = _counted(docs, lang if learn_all else fit, text_col)
     model = _learned(counted)
     shards = [context.broadcast(shard) for shard in model.shards(counted.select("key").distinct())]
     langs = model.langs
 
-    rows = without(docs.withColumn("__lang", learned), [f.name for f in ADDED])
+    rows = without(docs.withColumn("__lang", fit), [f.name for f in ADDED])
     if calibration_docs is not None:
         rows = _drawn(rows, id_col, calibration_docs)
     scored = append_columns(rows, ADDED, _predict(shards, langs, rows.columns.index(text_col)))

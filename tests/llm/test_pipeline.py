@@ -1,3 +1,7 @@
+import random
+import zlib
+from collections import Counter
+
 import corpus_pipeline
 from pipewright.llm import language
 from pipewright.llm.language import identify
@@ -104,3 +108,24 @@ def test_limits_of_the_language_stage_come_from_all_training_rows(spark, monkeyp
     kept = dict(corpus_pipeline.STAGES)["language ID"](spark, frame.repartition(4), FOLDER)
     assert kept.columns == COLUMNS and kept.count() == 9000
     assert seen == [frame.where(~language.is_held_out("doc_id")).count()] and seen[0] > 5000
+
+
+def test_models_of_the_language_stage_come_from_all_rows_with_a_language(spark):
+    """A language is known also where every id of its rows is held out elsewhere, or null."""
+    rnd = random.Random(7)
+
+    def text(words, n):
+        return " ".join(rnd.choices(words.split(), k=n))
+
+    often = "the of and house water under bridge never again small green river stone between"
+    rare = "это дом вода под мост никогда снова маленький зелёный река камень между город"
+    null = "το σπίτι νερό κάτω από γέφυρα ποτέ ξανά μικρό πράσινο ποτάμι πέτρα ανάμεσα πόλη"
+    held = [i for i in range(1000, 1100) if zlib.crc32(str(i).encode()) % 3 == 1][:9]
+    rows = [(i, text(often, 40), "en", "s", 0) for i in range(400)]
+    rows += [(i, text(rare, 40), "ru", "s", 0) for i in held]
+    rows += [(None, text(null, 40), "el", "s", 0) for _ in range(9)]
+    rows += [(2000, "日本語の文章です。" * 9, None, "s", 0)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = dict(corpus_pipeline.STAGES)["language ID"](spark, frame.repartition(4), FOLDER).collect()
+    assert Counter(r.lang for r in kept) == {"en": 400, "ru": 9, "el": 9}
+    assert {r.doc_id for r in kept if r.lang == "ru"} == set(held)
